@@ -1,10 +1,11 @@
 """Near-duplicate texts and paths (problem 2): all pairs of sets with a Jaccard similarity of at least a threshold.
 
 A record is the set of its runs of k words. The Hamming distance of two indicator vectors is the size of the
-sets' symmetric difference, which is at most (1 - t) / (1 + t) * (|A| + |B|) for similar sets. Each record gets a
-table of distances from its fingerprint to reference fingerprints. By the triangle inequality a pair whose
-coordinates differ by more than that bound cannot be similar; where references cover disjoint bits, their
-differences add up. Survivors are verified on the sets themselves. The filter loses nothing.
+sets' symmetric difference, which is at most (1 - t) / (1 + t) * (|A| + |B|) for similar sets. A record's fingerprint
+has the parities of its elements by residue, so distances of fingerprints are never more than the sets' own. Distances
+of each fingerprint to reference fingerprints are computed once; by the triangle inequality a pair whose coordinates
+differ by more than the bound is discarded. Survivors are verified, on the fingerprints and then on the sets
+themselves. No filter loses a pair.
 
 Tables of distances alone would have to be compared for all pairs, so the pairs that reach the tables come from an
 exact prefix index: two similar sets share one of their rarest elements. Rarity is counted over all records in a
@@ -25,10 +26,10 @@ from .words import distinct_runs
 
 #: Counters of the rarity table, by the upper bits of an element's hash; in blocks that are added up apart.
 RARITY_BITS, RARITY_BLOCKS = 16, 64
-#: Reference fingerprints on disjoint bits, and half-space references over all bits.
-BLOCKS, HALVES = 128, 16
+#: Reference fingerprints; the first has no bit set, the others about half of all bits.
+REFERENCES = 16
 #: Elements of the prefix index that one task takes at most, on average.
-INDEX_ELEMENTS = 500_000
+INDEX_ELEMENTS = 1_500_000
 #: Members of a class of copies up to which all their pairs are returned; larger ones give each copy's pair with the first.
 COPIES = 1000
 #: Rows up to which document ids are broadcast (8 MB).
@@ -42,21 +43,57 @@ def _signature(tokens: np.ndarray) -> int:
     return int(x.astype(np.int64))
 
 
-def _coordinates(tokens: np.ndarray) -> np.ndarray:
-    """Distances of the set's fingerprint to the references: block j's bits against none set, then half of all bits set.
-
-    The fingerprint has a bit for each residue of the hash modulo 64 * BLOCKS, set when an odd number of elements
-    falls there, so that its Hamming distances are never more than the sets' own.
-    """
-    bits = 64 * BLOCKS
-    residue, n = np.unique((tokens % np.uint64(bits)).astype(np.int64), return_counts=True)
-    on = residue[n % 2 == 1]
-    blocks = np.bincount(on % BLOCKS, minlength=BLOCKS)
-    # reference j has the bits whose j-th bit of a scrambled residue is set
-    scrambled = (on.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)
-    ours = [int(((scrambled >> np.uint64(j)) & np.uint64(1)).sum()) for j in range(HALVES)]
-    halves = len(on) - 2 * np.array(ours) + bits // 2
-    return np.concatenate([blocks, halves]).astype(np.int32)
+def _fingerprint(tokens: np.ndarray) -> bytes:
+    """Parities of the elements by residue, in 1.5 to 3 bits an element. The number of bits is a power of two, at least 128."""
+    bits = max(128, 1 << math.ceil(math.log2(1.5 * len(tokens))))
+    n = np.bincount((tokens & np.uint64(bits - 1)).astype(np.int64), minlength=bits)
+    return np.packbits((n & 1).astype(np.uint8)).tobytes()
+
+
+def _half(prints: np.ndarray) -> np.ndarray:
+    """Fingerprints of half as many bits, of the same sets."""
+    n = prints.shape[1] // 2
+    return prints[:, :n] ^ prints[:, n:]
+
+
+class _Tables:
+    """Fingerprints of one task's records and their distances to the references, for each number of bits."""
+
+    def __init__(self, prints: list[bytes]) -> None:
+        size = np.array(list(map(len, prints)))
+        self.size = size
+        self.row: dict[int, np.ndarray] = {}
+        self.print: dict[int, np.ndarray] = {}
+        self.far: dict[int, np.ndarray] = {}
+        at, rows = None, np.zeros(0, np.int64)
+        for n in sorted(set(size.tolist()), reverse=True):
+            while at is not None and at.shape[1] * 8 > n:
+                at = _half(at)
+                self._add(at.shape[1] * 8, rows, at)
+            own = np.flatnonzero(size == n)
+            new = np.frombuffer(b"".join(prints[i] for i in own), np.uint64).reshape(len(own), -1)
+            at, rows = (new, own) if at is None else (np.concatenate([at, new]), np.concatenate([rows, own]))
+            self._add(n, rows, at)
+
+    def _add(self, n: int, rows: np.ndarray, prints: np.ndarray) -> None:
+        row = np.full(len(self.size), -1)
+        row[rows] = np.arange(len(rows))
+        references = np.random.default_rng(n).integers(0, 1 << 64, (REFERENCES, n // 8), np.uint64)
+        references[0] = 0
+        self.row[n], self.print[n] = row, prints
+        self.far[n] = np.stack([np.bitwise_count(prints ^ r).sum(1, dtype=np.int32) for r in references], 1)
+
+    def near(self, a: np.ndarray, b: np.ndarray, most: np.ndarray) -> np.ndarray:
+        """Whether records a[i] and b[i] may be no more than most[i] apart."""
+        out = np.zeros(len(a), bool)
+        size = np.minimum(self.size[a], self.size[b])
+        for n in np.unique(size).tolist():
+            at = np.flatnonzero(size == n)
+            x, y = self.row[n][a[at]], self.row[n][b[at]]
+            good = np.abs(self.far[n][x] - self.far[n][y]).max(1) <= most[at]
+            at, x, y = at[good], x[good], y[good]
+            out[at] = np.bitwise_count(self.print[n][x] ^ self.print[n][y]).sum(1, dtype=np.int32) <= most[at]
+        return out
 
 
 def _prefix(n: int, threshold: float) -> int:
@@ -78,12 +115,12 @@ def similar_pairs(records: DataFrame, record: str, column: str, k: int, threshol
         for batch in batches:
             hashes, bounds = distinct_runs(batch["text"].tolist(), k)
             counts += np.bincount((hashes >> np.uint64(64 - RARITY_BITS)).astype(np.int64), minlength=len(counts))
-            rows = [(i, _signature(s), len(s), _coordinates(s).tobytes()) for i, a, b in zip(batch["id"].tolist(), bounds[:-1], bounds[1:]) if (s := hashes[a:b]).size]
-            yield pd.DataFrame(rows, columns=["id", "class", "n", "data"]).assign(block=-1)
+            rows = [(i, _signature(s)) for i, a, b in zip(batch["id"].tolist(), bounds[:-1], bounds[1:]) if (s := hashes[a:b]).size]
+            yield pd.DataFrame(rows, columns=["id", "class"]).assign(data=None, block=-1)
         for j, part in enumerate(np.split(counts, RARITY_BLOCKS)):
-            yield pd.DataFrame({"id": [0], "class": [0], "n": [0], "data": [part.tobytes()], "block": [j]})
+            yield pd.DataFrame({"id": [0], "class": [0], "data": [part.tobytes()], "block": [j]})
 
-    surveyed = checkpointed(source.mapInPandas(survey, "id long, class long, n int, data binary, block int"))
+    surveyed = checkpointed(source.mapInPandas(survey, "id long, class long, data binary, block int"))
 
     def added(parts: pd.DataFrame) -> pd.DataFrame:
         total = np.sum([np.frombuffer(d, np.int64) for d in parts["data"]], axis=0)
@@ -92,8 +129,7 @@ def similar_pairs(records: DataFrame, record: str, column: str, k: int, threshol
     # RARITY_BLOCKS rows, half a megabyte in all
     blocks = surveyed.where("block >= 0").groupBy("block").applyInPandas(added, "block int, data binary").collect()
     rarity = np.concatenate([np.frombuffer(r.data, np.int64) for r in sorted(blocks)]) if blocks else np.zeros(1 << RARITY_BITS, np.int64)
-    members = surveyed.where("block < 0").select("id", "class", "n").distinct()
-    table = surveyed.where("block < 0").groupBy("class").agg(F.min(F.struct("id", "n", "data")).alias("r")).select("class", "r.id", "r.n", "r.data")
+    members = surveyed.where("block < 0").select("id", "class").distinct()
     shared = spark.sparkContext.broadcast(rarity.astype(np.uint32 if rarity.max(initial=0) < 1 << 32 else np.uint64))
     parts = max(8, math.ceil(rarity.sum() * (1 - threshold) / INDEX_ELEMENTS))
 
@@ -116,54 +152,49 @@ def similar_pairs(records: DataFrame, record: str, column: str, k: int, threshol
                 by = np.argsort(part, kind="stable")
                 rare, part = rare[by], part[by]
                 cuts = np.flatnonzero(np.diff(part, prepend=-1))
-                place = by.astype(np.int32)
+                place = np.minimum(by, 0xFFFF).astype(np.uint16)
+                seal = _fingerprint(hashes[a:b])
                 for c, d in zip(cuts, [*cuts[1:], len(part)]):
-                    out.append((int(part[c]), own, n, hashes[rare[c:d]].tobytes(), place[c:d].tobytes()))
-            yield pd.DataFrame(out, columns=["part", "class", "n", "tokens", "places"])
+                    out.append((int(part[c]), own, n, hashes[rare[c:d]].tobytes(), place[c:d].tobytes(), seal))
+            yield pd.DataFrame(out, columns=["part", "class", "n", "tokens", "places", "print"])
 
     def candidates(group: pd.DataFrame) -> pd.DataFrame:
         group = group.drop_duplicates("class")
+        tables = _Tables(group["print"].tolist())
+        names = group["class"].to_numpy()
         lengths = group["tokens"].map(len).to_numpy() // 8
         tokens = np.frombuffer(b"".join(group["tokens"]), np.uint64)
-        place = np.frombuffer(b"".join(group["places"]), np.int32).astype(np.int64)
-        own, n = np.repeat(group["class"].to_numpy(), lengths), np.repeat(group["n"].to_numpy().astype(np.int64), lengths)
+        place = np.frombuffer(b"".join(group["places"]), np.uint16).astype(np.int32)
+        own, n = np.repeat(np.arange(len(group)), lengths), np.repeat(group["n"].to_numpy().astype(np.int32), lengths)
         order = np.lexsort((n, tokens))
         tokens, place, own, n = tokens[order], place[order], own[order], n[order]
         found = []
         step, alive = 1, np.arange(len(tokens) - 1)
-        while len(alive):  # entries with the one `step` further on: ends as soon as no list of an element goes on in size
+        while len(alive):  # each entry with the one `step` further on, until its element or the permitted size ends
             alive = alive[alive + step < len(tokens)]
-            a, b = alive, alive + step
-            go = (tokens[a] == tokens[b]) & (n[a] >= threshold * n[b] - 1e-9)
-            alive = a = a[go]
-            b = a + step
-            need = np.ceil(threshold / (1 + threshold) * (n[a] + n[b]) - 1e-9)
-            fits = 1 + np.minimum(n[a] - place[a], n[b] - place[b]) - 1 >= need
-            x, y = own[a[fits]], own[b[fits]]
-            if len(x):
-                found.append(np.stack([np.minimum(x, y), np.maximum(x, y)], 1))
-                if sum(map(len, found)) > 1 << 20:
-                    found = [np.unique(np.concatenate(found), axis=0)]
+            b = alive + step
+            alive = alive[(tokens[alive] == tokens[b]) & (n[alive] >= threshold * n[b] - 1e-9)]
+            for a in np.array_split(alive, len(alive) // 1_000_000 + 1):
+                b = a + step
+                sizes = n[a] + n[b]
+                fits = np.minimum(n[a] - place[a], n[b] - place[b]) >= np.ceil(threshold / (1 + threshold) * sizes - 1e-9)
+                a, b, sizes = own[a[fits]], own[b[fits]], sizes[fits]
+                good = tables.near(a, b, np.floor((1 - threshold) / (1 + threshold) * sizes + 1e-9))
+                x, y = names[a[good]], names[b[good]]
+                if len(x):
+                    found.append(np.stack([np.minimum(x, y), np.maximum(x, y)], 1))
+                    if sum(map(len, found)) > 1 << 20:
+                        found = [np.unique(np.concatenate(found), axis=0)]
             step += 1
         pairs = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
         return pd.DataFrame({"x": pairs[:, 0], "y": pairs[:, 1]})
 
-    indexed = source.mapInPandas(index, "part int, class long, n int, tokens binary, places binary")
+    indexed = source.mapInPandas(index, "part int, class long, n int, tokens binary, places binary, print binary")
     pairs = indexed.groupBy("part").applyInPandas(candidates, "x long, y long").distinct()
 
-    @F.pandas_udf("boolean")
-    def near(a: pd.Series, b: pd.Series, n: pd.Series) -> pd.Series:
-        if not len(a):
-            return pd.Series([], dtype=bool)
-        x = np.frombuffer(b"".join(a), np.int32).reshape(len(a), -1)
-        y = np.frombuffer(b"".join(b), np.int32).reshape(len(b), -1)
-        apart = np.abs(x - y)
-        most = np.floor((1 - threshold) / (1 + threshold) * n.to_numpy() + 1e-9)
-        return pd.Series((apart.max(axis=1) <= most) & (apart[:, :BLOCKS].sum(axis=1) <= most))
-
-    left = table.select(F.col("class").alias("x"), F.col("id").alias("ix"), F.col("n").alias("nx"), F.col("data").alias("dx"))
-    right = table.select(F.col("class").alias("y"), F.col("id").alias("iy"), F.col("n").alias("ny"), F.col("data").alias("dy"))
-    survivors = checkpointed(pairs.join(left, "x").join(right, "y").where(near("dx", "dy", F.col("nx") + F.col("ny"))).select("x", "y", "ix", "iy"))
+    first = members.groupBy("class").agg(F.min("id").alias("id"))
+    left, right = first.select(F.col("class").alias("x"), F.col("id").alias("ix")), first.select(F.col("class").alias("y"), F.col("id").alias("iy"))
+    survivors = checkpointed(pairs.join(left, "x").join(right, "y").select("x", "y", "ix", "iy"))
 
     wanted = survivors.select(F.col("ix").alias("id")).union(survivors.select(F.col("iy").alias("id"))).distinct()
     few = survivors.count() * 2 <= BROADCAST_IDS
@@ -187,7 +218,7 @@ def similar_pairs(records: DataFrame, record: str, column: str, k: int, threshol
     ta = needed.select(F.col("id").alias("ix"), F.col("tokens").alias("ta"))
     tb = needed.select(F.col("id").alias("iy"), F.col("tokens").alias("tb"))
     linked = survivors.join(ta, "ix").join(tb, "iy").where(similar("ta", "tb")).select("x", "y")
-    return _expanded(members.select("id", "class"), linked)
+    return _expanded(members, linked)
 
 
 def _expanded(members: DataFrame, linked: DataFrame) -> DataFrame:
