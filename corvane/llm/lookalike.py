@@ -20,6 +20,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
+from ..session import checkpointed
+
 # Letters of the Cyrillic and Greek scripts and the Latin letters of the same shape.
 SAME_SHAPE = """
 АA ВB ЕE ЅS ІI ЈJ КK МM НH ОO РP СC ТT УY ХX ԚQ ԜW
@@ -207,7 +209,7 @@ def same_looking_pairs(keyed_rows: DataFrame) -> DataFrame:
     all rows share costs one row here; its rows are salted before they meet those of the other forms. The
     work is in proportion to the pairs returned.
     """
-    rows = keyed_rows.distinct()
+    rows = checkpointed(keyed_rows.distinct())  # digests only; the texts are rewritten once
     forms = rows.groupBy("table_name", "shown", "raw").agg(F.count("*").alias("n"))
     several = forms.groupBy("table_name", "shown").agg(F.count("*").alias("forms")).where("forms > 1").select("table_name", "shown")
     forms = forms.join(several, ["table_name", "shown"], "left_semi")
