@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import table
-from . import lookalike, neardup
+from . import leakage, lookalike, markup, neardup, spam, splitting, tokens
 
 
 def p1_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -23,8 +23,28 @@ def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     return texts.unionByName(paths).select("field", F.col("id_a").alias("doc_id_a"), F.col("id_b").alias("doc_id_b"))
 
 
+def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+    return splitting.split(table(spark, folder, "documents"), "doc_id", longer_than=1000).distinct()
+
+
+def p6_found(spark: SparkSession, folder: str) -> DataFrame:
+    return markup.found(table(spark, folder, "documents"), "doc_id", "text")
+
+
+def p7_ids(spark: SparkSession, folder: str) -> DataFrame:
+    return tokens.encoded(table(spark, folder, "documents"), "doc_id", "text")
+
+
+def p8_found(spark: SparkSession, folder: str) -> DataFrame:
+    return leakage.found(table(spark, folder, "documents"), table(spark, folder, "eval_items"))
+
+
+def p9_found(spark: SparkSession, folder: str) -> DataFrame:
+    return spam.found(table(spark, folder, "documents"), "doc_id", "text")
+
+
 def queries() -> dict:
-    return {"p1_found": p1_found, "p2_found": p2_found}
+    return {"p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p6_found": p6_found, "p7_ids": p7_ids, "p8_found": p8_found, "p9_found": p9_found}
 
 
 def oracle_sql() -> dict[str, str]:
