@@ -45,7 +45,7 @@ def due(scan: DataFrame, manifest: DataFrame, builds: DataFrame) -> DataFrame:
     ready = (
         states.where("status = 'indexed'")
         .join(F.broadcast(signature), _hex(F.col("index_signature")) == _hex(F.col("_signature")))  # one row
-        .where((_hex(F.col("indexed_revision")) == _hex(F.col("revision")))
+        .where(_hex(F.col("indexed_revision")) == _hex(F.col("revision")))
         .select(F.col("document_id").alias("_id"), F.col("size").alias("_size"), F.col("mtime_ns").alias("_mtime"), _hex(F.col("revision")).alias("_revision"))
     )
     same = (F.col("document_id") == F.col("_id")) & (F.col("size") == F.col("_size")) & (F.col("mtime_ns") == F.col("_mtime")) & (_hex(F.col("revision")) == F.col("_revision"))
