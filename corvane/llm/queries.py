@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import table
-from . import leakage, lookalike, markup, neardup, spam, splitting, tokens
+from . import leakage, lookalike, markup, neardup, privacy, spam, splitting, tokens
 
 
 def p1_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -27,6 +27,12 @@ def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     return splitting.split(table(spark, folder, "documents"), "doc_id", longer_than=1000).distinct()
 
 
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    places = (("documents", "doc_id", "text"), ("chat_messages", "message_id", "content"), ("retrieval_runs", "request_id", "question"))
+    parts = [privacy.found(table(spark, folder, name), key, column, name) for name, key, column in places]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     return markup.found(table(spark, folder, "documents"), "doc_id", "text")
 
@@ -44,7 +50,7 @@ def p9_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p6_found": p6_found, "p7_ids": p7_ids, "p8_found": p8_found, "p9_found": p9_found}
+    return {"p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p5_found": p5_found, "p6_found": p6_found, "p7_ids": p7_ids, "p8_found": p8_found, "p9_found": p9_found}
 
 
 def oracle_sql() -> dict[str, str]:
