@@ -1,36 +1,547 @@
-"""Queries of the core over the test tables, and the same in SQL."""
+"""Queries of the core over the test tables, each with the same in SQL where SQL can say it."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Callable
 
-from .operators import changes
+from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
+
+from .functions import names, rules, text as T, vectors
+from .operators import changes, chat, chunks, context, control, events, index, search, spans
 from .session import table
 
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
 
-def p4_found(spark: SparkSession, folder: str) -> DataFrame:
-    rows = changes.due(table(spark, folder, "source_scan"), table(spark, folder, "manifest_documents"), table(spark, folder, "builds"))
-    return rows.select("document_id")
 
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    def register(f: Query) -> Query:
+        _QUERIES[f.__name__] = f
+        if sql:
+            _SQL[f.__name__] = sql
+        return f
+
+    return register
+
+
+def queries() -> dict[str, Query]:
+    return dict(_QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(_SQL)
 
-def queries() -> dict:
-    return {"p4_found": p4_found}
 
+# --- Changes (problem 4) ---
 
-P4_FOUND = """
-with files as (
+STATES = """files as (
   select * from (select distinct * from source_scan where document_id is not null)
   qualify row_number() over (partition by document_id order by seen_at desc nulls last) = 1),
 states as (
   select * from (select distinct * exclude (loaded_at) from manifest_documents where document_id is not null)
   qualify row_number() over (partition by document_id order by updated_at desc nulls last) = 1),
-b as (select index_signature as current_signature from builds order by started_at desc nulls last limit 1)
+b as (select index_signature as current_signature from builds order by started_at desc nulls last limit 1)"""
+
+
+@query(f"""with {STATES}
 select document_id from files f where not exists (
   select 1 from states s, b where s.document_id = f.document_id and s.status = 'indexed' and s.size = f.size
   and s.mtime_ns = f.mtime_ns and lower(s.revision) = lower(f.revision) and lower(s.indexed_revision) = lower(s.revision)
-  and lower(s.index_signature) = lower(b.current_signature))
+  and lower(s.index_signature) = lower(b.current_signature))""")
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    rows = changes.due(table(spark, folder, "source_scan"), table(spark, folder, "manifest_documents"), table(spark, folder, "builds"))
+    return rows.select("document_id")
+
+
+def _states(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    scan = changes.latest(table(spark, folder, "source_scan").where("document_id is not null"), "document_id", "seen_at")
+    manifest = changes.latest(table(spark, folder, "manifest_documents").drop("loaded_at").where("document_id is not null"), "document_id", "updated_at")
+    builds = table(spark, folder, "builds")
+    current = builds.agg(F.max(F.struct("started_at", "index_signature")).alias("b")).select(F.col("b.index_signature").alias("current_signature"))
+    return scan, manifest.join(F.broadcast(current)), builds  # one row
+
+
+@query(f"""with {STATES}
+select coalesce(f.document_id, s.document_id) as document_id,
+  case when f.document_id is null then 'missing' when s.document_id is null then 'new'
+       when s.status = 'indexed' and s.size = f.size and s.mtime_ns = f.mtime_ns and lower(s.revision) = lower(f.revision)
+        and lower(s.indexed_revision) = lower(s.revision) and lower(s.index_signature) = lower(b.current_signature) then 'unchanged'
+       else 'changed' end as change
+from files f full outer join states s on s.document_id = f.document_id cross join b""")
+def index_difference(spark: SparkSession, folder: str) -> DataFrame:
+    scan, manifest, builds = _states(spark, folder)
+    signature = builds.orderBy(F.desc_nulls_last("started_at")).limit(1).first()["index_signature"]
+    return index.difference(scan, manifest, F.lit(signature))
+
+
+@query(f"""with {STATES}
+select document_id, 'deleted' as status, 'source_missing' as error_code from states s
+where coalesce(status, '') <> 'deleted' and not exists (select 1 from files f where f.document_id = s.document_id)""")
+def index_missing(spark: SparkSession, folder: str) -> DataFrame:
+    scan, manifest, _ = _states(spark, folder)
+    return index.missing(scan, manifest).select("document_id", "status", "error_code")
+
+
+@query(f"""with {STATES}
+select count(*) as n from chunks c join states s on c.document_id = s.document_id and lower(c.revision) = lower(s.indexed_revision), b
+where s.status = 'indexed' and lower(s.index_signature) = lower(b.current_signature)""")
+def index_chunk_count(spark: SparkSession, folder: str) -> DataFrame:
+    _, manifest, _ = _states(spark, folder)
+    return index.indexed_chunks(table(spark, folder, "chunks"), manifest, F.col("current_signature"))
+
+
+@query(f"with {STATES} select status, count(*) as n from states group by status")
+def index_status_counts(spark: SparkSession, folder: str) -> DataFrame:
+    return index.status_counts(_states(spark, folder)[1])
+
+
+@query("""select build_id from builds where status in ('complete', 'complete_with_errors') and finished_at is not null
+order by finished_at desc, build_id desc limit 1""")
+def index_latest_build(spark: SparkSession, folder: str) -> DataFrame:
+    return index.latest_build(table(spark, folder, "builds"))
+
+
+@query("""select case when status = 'running' then 'interrupted' else status end as status, count(*) as n from builds group by 1
+union all select 'running', 1""")
+def index_start_build(spark: SparkSession, folder: str) -> DataFrame:
+    log = index.start_build(table(spark, folder, "builds"), "next", F.lit("2030-01-01").cast("timestamp_ntz"), "e1", "c1")
+    return log.groupBy("status").agg(F.count("*").alias("n"))
+
+
+@query(f"""with {STATES}, scanned as (select document_id, relative_path, lower(revision) as revision, 'discovered' as status from files)
+select document_id, relative_path, lower(revision) as revision, status from states where document_id not in (select document_id from scanned)
+union all select * from scanned""")
+def manifest_upsert(spark: SparkSession, folder: str) -> DataFrame:
+    scan, manifest, _ = _states(spark, folder)
+    old = manifest.select("document_id", "relative_path", F.lower("revision").alias("revision"), "status")
+    new = scan.select("document_id", "relative_path", F.lower("revision").alias("revision"), F.lit("discovered").alias("status"))
+    return index.upsert(old, new, "document_id", "revision")
+
+
+@query("""with c as (select distinct * from chunks), last as (select document_id, max(ordinal) as ordinal from c group by all)
+select document_id, ordinal, char_start, char_end from c where document_id not in (select document_id from last where ordinal = 1)
+union all select document_id, ordinal, 0, 1 from last where ordinal = 1""")
+def chunks_replaced(spark: SparkSession, folder: str) -> DataFrame:
+    old = table(spark, folder, "chunks").distinct().select("document_id", "ordinal", "char_start", "char_end")
+    new = old.groupBy("document_id").agg(F.max("ordinal").alias("ordinal")).where("ordinal = 1").select("document_id", "ordinal", F.lit(0).alias("char_start"), F.lit(1).alias("char_end"))
+    return index.replace_children(old, new, "document_id")
+
+
+# --- Texts and identities ---
+
+WS = r"\t\n\x0b\x0c\r\x1c-\x1f \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+WS_NO_LF = WS.replace(r"\n", "", 1)
+NORMALIZED = (
+    rf"regexp_replace(regexp_replace(regexp_replace(regexp_replace(replace(text, chr(0), ''), '\r\n?', chr(10), 'g'), '[{WS_NO_LF}]+(\n|\z)', '\1', 'g'), '\n\n\n+', chr(10) || chr(10), 'g'), '\A[{WS}]+|[{WS}]+\z', '', 'g')"
+)
+
+
+@query(f"select doc_id, md5({NORMALIZED}) as digest, coalesce(length({NORMALIZED}), -1) as n from documents")
+def normalize_documents(spark: SparkSession, folder: str) -> DataFrame:
+    clean = T.normalize_text(F.col("text"))
+    return table(spark, folder, "documents").select("doc_id", F.md5(clean.cast("binary")).alias("digest"), F.coalesce(F.length(clean), F.lit(-1)).cast("long").alias("n"))
+
+
+@query(r"select doc_id, substring(sha256(lower(replace(relative_path, '\', '/'))), 1, 32) as stable_id, sha256(text) as content_hash from documents")
+def document_identity(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "documents").select("doc_id", T.stable_document_id(F.col("relative_path")).alias("stable_id"), F.sha2(F.col("text").cast("binary"), 256).alias("content_hash"))
+
+
+QUESTIONS = "(select distinct request_id, question from retrieval_runs)"
+
+
+@query(rf"""select request_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(question, '[{WS}]+', ' ', 'g'), '\A +| +\z', '', 'g'), '[.,!?;:…。！？]+\z', ''), '[{WS}]+\z', '') as question from {QUESTIONS}""")
+def normalize_questions(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "retrieval_runs").select("request_id", "question").distinct().select("request_id", T.normalize_query(F.col("question")).alias("question"))
+
+
+@query("""select doc_id, substring(p, 1, 2000) as text, length(p) > 2000 as truncated from (select doc_id, concat_ws(' | ', source, lang, text) as p from documents)""")
+def bounded_texts(spark: SparkSession, folder: str) -> DataFrame:
+    joined = T.bounded_join(F.array_compact(F.array("source", "lang", "text")), " | ", 2000)
+    return table(spark, folder, "documents").select("doc_id", joined["text"].alias("text"), joined["truncated"].alias("truncated"))
+
+
+@query("""select distinct location_kind, location_start, location_end, trim(case location_kind when 'page' then 'стр.' when 'approx_page' then 'примерно стр.' when 'slide' then 'слайд' when 'sheet' then 'лист' else location_kind end
+ || ' ' || case when location_end is null or location_end = '' or location_end = location_start then location_start else location_start || '–' || location_end end) as label
+from chunks where location_kind <> ''""")
+def location_labels(spark: SparkSession, folder: str) -> DataFrame:
+    c = table(spark, folder, "chunks").where("location_kind <> ''").select("location_kind", "location_start", "location_end").distinct()
+    return c.withColumn("label", T.location_label(F.col("location_kind"), F.col("location_start"), F.col("location_end")))
+
+
+@query(r"""select event_type, case when regexp_full_match(lower(event_type), '[a-z0-9_]{1,80}') then lower(event_type) end as task, coalesce(nullif(regexp_replace(regexp_replace(upper(event_type), '[^A-Z0-9_]+', '_', 'g'), '^_+|_+$', '', 'g'), ''), 'ENTITY') as label, count(*) as n
+from events group by all""")
+def event_labels(spark: SparkSession, folder: str) -> DataFrame:
+    e = table(spark, folder, "events").groupBy("event_type").agg(F.count("*").alias("n"))
+    return e.select("event_type", T.task_suffix(F.col("event_type")).alias("task"), T.safe_label(F.col("event_type")).alias("label"), "n")
+
+
+# --- Chunks and locations ---
+
+CHUNKED = """with recursive d as (select doc_id, text, length(text) as n from documents where text is not null),
+ws as (select '[' || '{ws}' || ']' as cls),
+cut(doc_id, ordinal, st, en, stop, n) as (
+  select doc_id, -1, 0, 0, 0, n from d
+  union all
+  select c.doc_id, c.ordinal + 1, s.st, e.stop - (length(substring(d.text, s.st + 1, e.stop - s.st)) - length(regexp_replace(substring(d.text, s.st + 1, e.stop - s.st), '[{ws}]+\\z', ''))), e.stop, c.n
+  from cut c join d using (doc_id),
+  lateral (select case when c.ordinal < 0 then 0 else greatest(c.en - 80, c.st + 1) end as at) a,
+  lateral (select a.at + length(substring(d.text, a.at + 1)) - length(regexp_replace(substring(d.text, a.at + 1), '\\A[{ws}]+', '')) as st) s,
+  lateral (select least(c.n, s.st + 450) as target) t,
+  lateral (select greatest(s.st + 80, s.st + cast(floor(0.65 * (t.target - s.st)) as int)) as low) l,
+  lateral (select substring(d.text, l.low + 1, t.target - l.low) as w) w,
+  lateral (select case when t.target >= c.n then c.n else coalesce({ends}, t.target) end as stop) e
+  where c.stop < c.n and s.st < c.n)
 """
+_SEP = ("chr(10) || chr(10)", "'. '", "chr(10)", "'; '", "', '", "' '")
+_ENDS = ", ".join(f"case when contains(w.w, {s}) then l.low + length(w.w) - strpos(reverse(w.w), reverse({s})) + 1 end" for s in _SEP)
+CHUNKED = CHUNKED.replace("{ws}", WS).replace("{ends}", _ENDS).replace("\\\\", "\\")
 
 
-def oracle_sql() -> dict[str, str]:
-    return {"p4_found": P4_FOUND}
+def _chunked(spark: SparkSession, folder: str) -> DataFrame:
+    d = table(spark, folder, "documents")
+    return chunks.chunk(d.withColumn("document_id", F.col("doc_id").cast("string")))
+
+
+@query(CHUNKED + "select doc_id, ordinal, st as char_start, en as char_end from cut where ordinal >= 0")
+def chunk_documents(spark: SparkSession, folder: str) -> DataFrame:
+    return _chunked(spark, folder).select(F.col("document_id").cast("long").alias("doc_id"), "ordinal", "char_start", "char_end")
+
+
+@query(CHUNKED + """select lang, count(*) as chunks, sum(en - st) as chars, max(en - st) as longest from (select c.*, d2.lang from cut c join documents d2 using (doc_id) where ordinal >= 0) group by rollup(lang)""")
+def chunk_stats(spark: SparkSession, folder: str) -> DataFrame:
+    d = table(spark, folder, "documents").select(F.col("doc_id").cast("string").alias("document_id"), "lang")
+    size = F.col("char_end") - F.col("char_start")
+    c = _chunked(spark, folder).join(d, "document_id")
+    return c.rollup("lang").agg(F.count("*").alias("chunks"), F.sum(size).alias("chars"), F.max(size).alias("longest"))
+
+
+@query(CHUNKED + """, o as (select c.doc_id, c.ordinal, list_filter(d2.locations, lambda x: x.char_start < c.en and x.char_end > c.st) as l from cut c join documents d2 using (doc_id) where ordinal >= 0)
+select doc_id, ordinal, case when len(list_distinct(list_transform(l, lambda x: x.location_kind))) = 1 then l[1].location_kind else '' end as location_kind,
+ case when len(list_distinct(list_transform(l, lambda x: x.location_kind))) = 1 then l[1].location_value end as location_start,
+ case when len(list_distinct(list_transform(l, lambda x: x.location_kind))) = 1 and l[-1].location_value <> l[1].location_value then l[-1].location_value end as location_end from o""")
+def chunk_locations(spark: SparkSession, folder: str) -> DataFrame:
+    return _chunked(spark, folder).select(F.col("document_id").cast("long").alias("doc_id"), "ordinal", "location_kind", "location_start", "location_end")
+
+
+@query("""with p as (select doc_id, string_split(text, chr(10) || chr(10) || '[PAGE_BREAK]' || chr(10) || chr(10)) as parts from documents where contains(text, '[PAGE_BREAK]')),
+u as (select doc_id, i, length(parts[i]) as n, coalesce(list_sum(list_transform(parts[:i - 1], lambda x: length(x) + 16)), 0) as o from p, lateral (select unnest(range(1, len(parts) + 1)) as i))
+select doc_id, o::int as char_start, (o + n)::int as char_end, i::varchar as page from u where n > 0""")
+def page_locations(spark: SparkSession, folder: str) -> DataFrame:
+    d = table(spark, folder, "documents").where(F.contains("text", F.lit("[PAGE_BREAK]")))
+    pages = d.select("doc_id", F.explode(chunks.page_locations(F.col("text"))).alias("p"))
+    return pages.select("doc_id", "p.char_start", "p.char_end", F.col("p.location_value").alias("page"))
+
+
+@query("""select doc_id, (length(text) * (i - 1) // page_count)::int as char_start, (length(text) * i // page_count)::int as char_end, i::varchar as page
+from documents, lateral (select unnest(range(1, page_count + 1)) as i) where page_count >= 1 and length(text) > 0 and length(text) * i // page_count > length(text) * (i - 1) // page_count""")
+def approximate_pages(spark: SparkSession, folder: str) -> DataFrame:
+    d = table(spark, folder, "documents")
+    pages = d.select("doc_id", F.explode(chunks.approximate_pages(F.col("text"), F.col("page_count"))).alias("p"))
+    return pages.select("doc_id", "p.char_start", "p.char_end", F.col("p.location_value").alias("page"))
+
+
+# --- Spans, markers and masks ---
+
+@query(r"""select doc_id, m as marker, count(*) as n from (select doc_id, unnest(regexp_extract_all(text, '\[\[[^\[\]\r\n]{1,80}\]\]')) as m from documents) group by all""")
+def raw_markers(spark: SparkSession, folder: str) -> DataFrame:
+    found = table(spark, folder, "documents").select("doc_id", F.explode(T.matches(F.col("text"), rules.RULES[0].pattern)).alias("m"))
+    return found.groupBy("doc_id", F.col("m.text").alias("marker")).agg(F.count("*").alias("n"))
+
+
+@query()
+def rule_spans(spark: SparkSession, folder: str) -> DataFrame:
+    found = table(spark, folder, "documents").select("doc_id", F.explode(spans.merge(rules.detect(F.col("text")))).alias("s"))
+    return found.select("doc_id", "s.label", "s.start", "s.end")
+
+
+@query(r"""with n as (select distinct unnest(regexp_extract_all(text, '[0-9]{10,12}')) as v from documents), d as (select v, list_transform(string_split(v, ''), lambda x: x::int) as d from n)
+select v, coalesce(case when length(v) = 10 then (2*d[1]+4*d[2]+10*d[3]+3*d[4]+5*d[5]+9*d[6]+4*d[7]+6*d[8]+8*d[9]) % 11 % 10 = d[10]
+ when length(v) = 12 then (7*d[1]+2*d[2]+4*d[3]+10*d[4]+3*d[5]+5*d[6]+9*d[7]+4*d[8]+6*d[9]+8*d[10]) % 11 % 10 = d[11] and (3*d[1]+7*d[2]+2*d[3]+4*d[4]+10*d[5]+3*d[6]+5*d[7]+9*d[8]+4*d[9]+6*d[10]+8*d[11]) % 11 % 10 = d[12] end, false) as inn,
+ coalesce(case when length(v) = 11 then (case when (9*d[1]+8*d[2]+7*d[3]+6*d[4]+5*d[5]+4*d[6]+3*d[7]+2*d[8]+1*d[9]) % 101 = 100 then 0 else (9*d[1]+8*d[2]+7*d[3]+6*d[4]+5*d[5]+4*d[6]+3*d[7]+2*d[8]+1*d[9]) % 101 end) = 10*d[10]+d[11] end, false) as snils from d""")
+def number_checks(spark: SparkSession, folder: str) -> DataFrame:
+    numbers = table(spark, folder, "documents").select(F.explode(F.regexp_extract_all("text", F.lit(r"[0-9]{10,12}"), F.lit(0))).alias("v")).distinct()
+    return numbers.select("v", rules.valid_inn(F.col("v")).alias("inn"), rules.valid_snils(F.col("v")).alias("snils"))
+
+
+SPAN_ROWS = """(select distinct document_id, char_start as s, char_end as e, ordinal % 3 as p from chunks where char_end > char_start)"""
+
+
+@query(f"""with g as (select document_id, list_sort(list(row(-p, -((document_id < 'g')::int), s - e, s, e))) as l from {SPAN_ROWS} group by all),
+m as (select document_id, list_reduce(l, lambda acc, x: case when len(list_filter(acc, lambda o: x[4] < o.e and o.s < x[5])) > 0 then acc else list_append(acc, struct_pack(s := x[4], e := x[5])) end, []::struct(s int, e int)[]) as k from g)
+select document_id, u.s as char_start, u.e as char_end from m, lateral (select unnest(k) as u)""")
+def merged_spans(spark: SparkSession, folder: str) -> DataFrame:
+    c = table(spark, folder, "chunks").where("char_end > char_start").select("document_id", "char_start", "char_end", (F.col("ordinal") % 3).alias("p")).distinct()
+    one = F.struct(F.col("char_start").alias("start"), F.col("char_end").alias("end"), F.lit("X").alias("label"), F.lit(1.0).alias("score"), F.lit("t").alias("source"), F.col("p").cast("int").alias("priority"), F.lit(0).alias("seq"))
+    kept = c.groupBy("document_id").agg(spans.merge(F.collect_list(one)).alias("k"))
+    return kept.select("document_id", F.explode("k").alias("s")).select("document_id", F.col("s.start").alias("char_start"), F.col("s.end").alias("char_end"))
+
+
+CODE = r"[A-Z]{2}-[0-9]{4,}"
+
+
+def _codes(spark: SparkSession, folder: str) -> DataFrame:
+    d = table(spark, folder, "documents").where("source is not null")
+    found = d.select(F.col("source").alias("request_id"), F.col("doc_id").alias("field"), F.explode(T.matches(F.col("text"), CODE)).alias("m"))
+    return found.select("request_id", "field", F.col("m.start").alias("start"), F.col("m.end").alias("end"), F.lit("code").alias("label"), F.col("m.text").alias("value"))
+
+
+@query(rf"""with w as (select source, doc_id, regexp_extract_all(text, '{CODE}') as ms from documents where source is not null),
+v as (select source, doc_id, i, ms[i] as value from w, lateral (select unnest(range(1, len(ms) + 1)) as i)),
+f as (select source, value, min(row(doc_id, i)) as first from v group by all)
+select source as request_id, 'CODE' as label, value as display_value, '[[CODE_' || case when n < 10000 then lpad(n::varchar, 4, '0') else n::varchar end || ']]' as marker from (select *, row_number() over (partition by source order by first) as n from f)""")
+def minted_markers(spark: SparkSession, folder: str) -> DataFrame:
+    return spans.mint(_codes(spark, folder)).select("request_id", "label", "display_value", "marker")
+
+
+def _masked(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents with their codes masked, and the markers of their source's codes that they hold."""
+    found = _codes(spark, folder)
+    markers = spans.mint(found).select("request_id", F.col("identity").alias("value"), "marker")
+    marked = found.join(markers, ["request_id", "value"])
+    per = marked.groupBy("field").agg(
+        F.array_sort(F.collect_list(F.struct("start", "end", "marker"))).alias("s"), F.map_from_entries(F.collect_set(F.struct("marker", "value"))).alias("known"), F.collect_set("value").alias("values")
+    )
+    d = table(spark, folder, "documents").select("doc_id", "text")
+    return per.join(d, per["field"] == d["doc_id"]).select("doc_id", "text", spans.masked(F.col("text"), F.col("s")).alias("masked"), "known", "values")
+
+
+@query(rf"select doc_id, md5(text) as digest from documents where source is not null and regexp_matches(text, '{CODE}')")
+def mask_and_restore(spark: SparkSession, folder: str) -> DataFrame:
+    return _masked(spark, folder).select("doc_id", F.md5(spans.restored(F.col("masked"), F.col("known"), strict=False).cast("binary")).alias("digest"))
+
+
+@query(rf"select doc_id, false as leaked, length(regexp_replace(text, '{CODE}', '', 'g')) as rest from documents where source is not null and regexp_matches(text, '{CODE}')")
+def leak_check(spark: SparkSession, folder: str) -> DataFrame:
+    return _masked(spark, folder).select("doc_id", spans.leaks(F.col("masked"), F.col("values")).alias("leaked"), F.length(F.regexp_replace("masked", r"\[\[CODE_[0-9]{4,}\]\]", "")).cast("long").alias("rest"))
+
+
+@query(r"""with w as (select distinct unnest(regexp_extract_all(text, '[А-ЯЁа-яё]{4,}')) as w from documents)
+select w, case when w = upper(w) then upper(n) when substring(w, 1, 1) <> lower(substring(w, 1, 1)) then upper(substring(n, 1, 1)) || substring(n, 2) else n end as surname from (select w,
+ regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(w), '^(.{2,})(ов|ев|ёв)(?:ыми|ых|ы|ому|ого|ым|ую|ой|у|е|ом|а)$', '\1\2'), '^(.{2,})(ов)ами$', '\1\2'), '^(.{2,})(ин|ын)(?:ыми|ому|ого|ым|ую|ой|у|е|ом|а)$', '\1\2'), '^(.{2,})(ск|цк)(?:ими|ому|ого|им|ую|ой|ом|ая|ие)$', '\1\2ий') as n from w)""")
+def surname_forms(spark: SparkSession, folder: str) -> DataFrame:
+    words = table(spark, folder, "documents").select(F.explode(F.regexp_extract_all("text", F.lit("[А-ЯЁа-яё]{4,}"), F.lit(0))).alias("w")).distinct()
+    return words.select("w", names.normalize_surname(F.col("w")).alias("surname"))
+
+
+# --- Search ---
+
+def _points(spark: SparkSession, folder: str) -> DataFrame:
+    e = table(spark, folder, "embeddings")
+    return e.select(
+        F.col("vec_id").alias("chunk_id"), "embedding", F.concat(F.lit("g"), F.col("label") % 4).alias("access_group"), (F.col("label") % 5 == 1).alias("goz"), F.lit(True).alias("is_final"),
+        (F.col("vec_id") % 37).cast("string").alias("document_id"), F.lit("r1").alias("revision"), F.floor(F.col("vec_id") / 37).cast("int").alias("ordinal"), F.concat(F.lit("b"), F.col("vec_id") % 3).alias("build_id"),
+    )
+
+
+def _asked(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "embeddings").where("vec_id % 100 = 0").select(F.col("vec_id").alias("request_id"), "embedding")
+
+
+POINTS = """p as (select vec_id as chunk_id, embedding::double[] as e, 'g' || (label % 4) as access_group, label % 5 = 1 as goz, (vec_id % 37)::varchar as document_id, (vec_id // 37)::int as ordinal, 'b' || (vec_id % 3) as build_id from embeddings),
+q as (select vec_id as request_id, embedding::double[] as qe from embeddings where vec_id % 100 = 0),
+scored as (select request_id, p.*, list_cosine_similarity(e, qe) as score from p, q)"""
+HITS = POINTS + """, hits as (select *, row_number() over (partition by request_id order by score desc, chunk_id) as rank from scored qualify rank <= 12)"""
+
+
+def _hits(spark: SparkSession, folder: str) -> DataFrame:
+    return search.top_k(_points(spark, folder), _asked(spark, folder), 12)
+
+
+@query(f"with {HITS} select request_id, chunk_id, rank::int as rank, round(score, 6) as score from hits")
+def vector_topk(spark: SparkSession, folder: str) -> DataFrame:
+    return _hits(spark, folder).select("request_id", "chunk_id", "rank", F.round("score", 6).alias("score"))
+
+
+@query(f"with {POINTS} select request_id, chunk_id, row_number() over (partition by request_id order by score desc, chunk_id)::int as rank from scored where access_group = 'g1' and not goz qualify rank <= 12")
+def vector_topk_policy(spark: SparkSession, folder: str) -> DataFrame:
+    hits = search.top_k(_points(spark, folder), _asked(spark, folder), 12, search.Policy("g1").condition())
+    return hits.select("request_id", "chunk_id", "rank")
+
+
+@query(f"with {POINTS} select request_id, chunk_id, row_number() over (partition by request_id order by score desc, chunk_id)::int as rank from scored where score >= 0.2 qualify rank <= 12")
+def vector_threshold(spark: SparkSession, folder: str) -> DataFrame:
+    return search.top_k(_points(spark, folder), _asked(spark, folder), 12, least=0.2).select("request_id", "chunk_id", "rank")
+
+
+@query(f"""with {HITS}, f as (select *, min(rank) over (partition by request_id, document_id) as first from hits)
+select request_id, chunk_id, document_id from (select *, dense_rank() over (partition by request_id order by first) as place from f) where place <= 2""")
+def document_cap(spark: SparkSession, folder: str) -> DataFrame:
+    return search.cap_documents(_hits(spark, folder), 2).select("request_id", "chunk_id", "document_id")
+
+
+@query(f"""with {HITS} select h.request_id, p.chunk_id, p.ordinal, round(arg_min(h.score, h.rank), 6) as score from hits h join p on p.document_id = h.document_id and p.ordinal between h.ordinal - 1 and h.ordinal + 1 and p.ordinal <> h.ordinal
+where not exists (select 1 from hits x where x.request_id = h.request_id and x.chunk_id = p.chunk_id) group by all""")
+def adjacent_chunks(spark: SparkSession, folder: str) -> DataFrame:
+    near = search.neighbours(_hits(spark, folder), _points(spark, folder).select("chunk_id", "document_id", "revision", "ordinal"), 1)
+    return near.select("request_id", "chunk_id", "ordinal", F.round("score", 6).alias("score"))
+
+
+@query(f"""with {HITS}, g as (select *, row_number() over (partition by request_id order by score desc, chunk_id) as rank from scored where access_group = 'g2' qualify rank <= 12),
+u as (select request_id, chunk_id, 0 as s, rank from g union all select request_id, chunk_id, 1, rank from hits),
+o as (select request_id, chunk_id, min(row(s, rank)) as k from u group by all)
+select request_id, chunk_id, row_number() over (partition by request_id order by k)::int as place from o qualify place <= 15""")
+def merged_hits(spark: SparkSession, folder: str) -> DataFrame:
+    points, asked = _points(spark, folder), _asked(spark, folder)
+    return search.merged([search.top_k(points, asked, 12, F.col("access_group") == "g2"), _hits(spark, folder)], 15).select("request_id", "chunk_id", "place")
+
+
+@query(f"""with {HITS} select request_id, document_id, row_number() over (partition by request_id order by min(rank))::int as ordinal, string_agg('R' || lpad(rank::varchar, 3, '0'), ',' order by rank) as refs, round(max(score), 6) as best_score from hits group by request_id, document_id""")
+def hit_sources(spark: SparkSession, folder: str) -> DataFrame:
+    hits = _hits(spark, folder).withColumnRenamed("rank", "place").withColumns({"relative_path": F.lit("x"), "location_kind": F.lit(""), "location_start": F.lit(None).cast("string"), "location_end": F.lit(None).cast("string")})
+    return search.sources(hits).select("request_id", "document_id", "ordinal", F.array_join("citation_refs", ",").alias("refs"), F.round("best_score", 6).alias("best_score"))
+
+
+@query(f"with {HITS} select request_id, string_agg(distinct build_id, ',' order by build_id) as build_ids from hits group by request_id")
+def hit_builds(spark: SparkSession, folder: str) -> DataFrame:
+    return search.build_ids(_hits(spark, folder))
+
+
+@query("""select a.vec_id, round(list_cosine_similarity(a.embedding::double[], b.embedding::double[]), 6) as similarity from embeddings a join embeddings b on b.vec_id = a.vec_id + 1
+where list_cosine_similarity(a.embedding::double[], b.embedding::double[]) >= 0.1""")
+def rewrite_similarity(spark: SparkSession, folder: str) -> DataFrame:
+    e = table(spark, folder, "embeddings")
+    pairs = e.select("vec_id", F.col("embedding").alias("original")).join(e.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("rewritten")), "vec_id")
+    return search.similar_rewrites(pairs, 0.1).select("vec_id", F.round("similarity", 6).alias("similarity"))
+
+
+@query(r"""with w as (select request_id, unnest(regexp_extract_all(lower(question), '[\p{L}\p{N}_-]+')) as w from (select distinct request_id, question from retrieval_runs)),
+h as (select request_id, (('0x' || substring(md5(w), 1, 15))::bigint % 16)::int as cell, case when ('0x' || substring(md5(w), 16, 1))::int % 2 = 1 then 1 else -1 end as s from w),
+c as (select request_id, cell, sum(s)::double as v from h group by all)
+select request_id, cell, v from c where v <> 0""")
+def hash_embedding(spark: SparkSession, folder: str) -> DataFrame:
+    q = table(spark, folder, "retrieval_runs").select("request_id", "question").distinct()
+    cells = vectors.hash_embedding(q, "request_id", "question", 16).select("request_id", F.posexplode("embedding").alias("cell", "v"))
+    return cells.where("v <> 0")
+
+
+# --- Contexts ---
+
+FIRST = "(select doc_id, text, length(text) as n, length(text) // 3 as a, length(text) // 3 + 200 as z from documents where length(text) > 0)"
+
+
+@query(f"""with f as {FIRST}, g as (select *, least(a, n) as s, least(greatest(z, least(a, n)), n) as e from f), r as (select *, 1000 - (e - s) as spare from g),
+h as (select *, least(s, spare // 2) as b0 from r), i as (select *, least(n - e, spare - b0) as af from h), j as (select *, least(s, spare - af) as bf from i)
+select doc_id, (case when n <= 1000 then 0 else s - bf end)::int as char_start, (case when n <= 1000 then n else e + af end)::int as char_end from j""")
+def parent_window(spark: SparkSession, folder: str) -> DataFrame:
+    d = table(spark, folder, "documents").where("length(text) > 0")
+    third = F.floor(F.length("text") / 3).cast("int")
+    w = T.window(F.lit(0), F.length("text"), third, third + 200, F.lit(1000))
+    return d.select("doc_id", w["start"].alias("char_start"), w["end"].alias("char_end"))
+
+
+@query(f"""with f as {FIRST}, r as (select *, least(n, 300) as top, greatest(1, 900 - 300 - 5) as m from f), g as (select *, least(greatest(z, a), n) as e from r), h as (select *, m - (e - a) as spare from g),
+i as (select *, least(a, spare // 2) as b0 from h), j as (select *, least(n - e, spare - b0) as af from i), k as (select *, least(a, spare - af) as bf from j)
+select doc_id, md5(case when n <= 900 then text when a <= top then substring(text, 1, 900) else substring(substring(text, 1, top) || chr(10) || '...' || chr(10) || case when n <= m then text else substring(text, a - bf + 1, (e + af) - (a - bf)) end, 1, 900) end) as digest from k""")
+def table_excerpt(spark: SparkSession, folder: str) -> DataFrame:
+    d = table(spark, folder, "documents").where("length(text) > 0")
+    third = F.floor(F.length("text") / 3).cast("int")
+    part = T.table_excerpt(F.col("text"), F.lit(0), F.length("text"), third, third + 200, F.lit(900))
+    return d.select("doc_id", F.md5(part["text"].cast("binary")).alias("digest"))
+
+
+@query()
+def parent_contexts(spark: SparkSession, folder: str) -> DataFrame:
+    d = table(spark, folder, "documents").where("text is not null and source is not null")
+    picked = d.withColumn("place", F.row_number().over(W.partitionBy("source").orderBy("doc_id"))).where("place <= 24")
+    hits = picked.select(
+        F.col("source").alias("request_id"), "place", "document_id", "revision", F.col("doc_id").cast("string").alias("chunk_id"), F.lit(0).alias("char_start"), F.least(F.lit(450), F.length("text")).alias("char_end"),
+        F.substring("text", 1, 450).alias("text"), F.regexp_extract("relative_path", r"\.(\w+)$", 1).alias("source_type"),
+    )
+    return context.parents(hits, d, context.Budget(total=20_000, logical_parent=4_000)).select("request_id", "place", "document_id", "char_start", "char_end", F.length("text").alias("chars"), "context_scope")
+
+
+# --- Chat ---
+
+MESSAGES = f"""m as (select * exclude (raw), regexp_replace(raw, '\\A[{WS}]+|[{WS}]+\\z', '', 'g') as content from (select user_id, chat_id, position, role, max(content) as raw from chat_messages group by all) where role in ('system', 'user', 'assistant', 'tool')),
+u as (select * from m where content <> '')"""
+
+
+def _messages(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "chat_messages").groupBy("user_id", "chat_id", "position", "role").agg(F.max("content").alias("content"))
+
+
+@query(f"""with {MESSAGES}, n as (select *, row_number() over w as i, coalesce(sum(length(content)) over (partition by user_id, chat_id order by position desc rows between unbounded preceding and 1 preceding), 0) as before from u window w as (partition by user_id, chat_id order by position desc) qualify i <= 10)
+select user_id, chat_id, position, role, right(content, (900 - before)::bigint) as content from n where before < 900""")
+def chat_trim(spark: SparkSession, folder: str) -> DataFrame:
+    return chat.trim(_messages(spark, folder), 10, 900).select("user_id", "chat_id", "position", "role", "content")
+
+
+@query(f"with {MESSAGES} select user_id, chat_id, arg_max(content, position) as question from u where role = 'user' group by all")
+def latest_question(spark: SparkSession, folder: str) -> DataFrame:
+    return chat.latest_question(_messages(spark, folder))
+
+
+CONTEXT = f"""with {MESSAGES}, l as (select user_id, chat_id, max(position) as last from u where role = 'user' group by all), c as (select u.* from u join l using (user_id, chat_id) where position < last)"""
+
+
+@query(CONTEXT + """, n as (select *, row_number() over (partition by user_id, chat_id order by position desc) as i, case role when 'system' then 'Система' when 'user' then 'Пользователь' when 'assistant' then 'Ассистент' else 'Инструмент' end as label from c qualify i <= 8),
+b as (select *, 600 - coalesce(sum(length(label) + 2 + length(content)) over (partition by user_id, chat_id order by position desc rows between unbounded preceding and 1 preceding), 0) - length(label) - 2 as room from n),
+s as (select *, max((room <= 0)::int) over (partition by user_id, chat_id order by position desc rows unbounded preceding) as stopped from b)
+select user_id, chat_id, string_agg(label || ':' || chr(10) || right(content, room::bigint), chr(10) || chr(10) order by position) as context from s where stopped = 0 group by all""")
+def conversation_context(spark: SparkSession, folder: str) -> DataFrame:
+    return chat.conversation_context(_messages(spark, folder), 8, 600)
+
+
+@query(CONTEXT + """, n as (select *, row_number() over (partition by user_id, chat_id order by position desc) as i, 150 - coalesce(sum(length(content)) over (partition by user_id, chat_id order by position desc rows between unbounded preceding and 1 preceding), 0) as room from c where role = 'user' qualify i <= 3)
+select user_id, chat_id, 'Предыдущие вопросы пользователя:' || chr(10) || string_agg('- ' || right(content, room::bigint), chr(10) order by position) as context from n where room > 0 group by all""")
+def retrieval_context(spark: SparkSession, folder: str) -> DataFrame:
+    return chat.retrieval_context(_messages(spark, folder), 3, 150)
+
+
+@query(f"""with {MESSAGES}, e as (select user_id, chat_id, position, role, content from u where position < 6), l as (select user_id, chat_id, max(position) as last, arg_max(role, position) as r, arg_max(content, position) as t from e group by all),
+i as (select user_id, chat_id, position, role, content from u where position = 6),
+n as (select i.user_id, i.chat_id, coalesce(l.last + 1, i.position) as position, i.role, i.content from i left join l using (user_id, chat_id) where l.last is null or l.r <> i.role or l.t <> i.content)
+select user_id, chat_id, (row_number() over (partition by user_id, chat_id order by position) - 1)::int as position, role, content from (select * from e union all select * from n)""")
+def chat_sync(spark: SparkSession, folder: str) -> DataFrame:
+    m = chat.usable(_messages(spark, folder))
+    return chat.synced(m.where("position < 6"), m.where("position = 6"))
+
+
+@query()
+def control_envelopes(spark: SparkSession, folder: str) -> DataFrame:
+    """Questions as commands: whole, without an end, and as plain text, by turns of the request id."""
+    q = table(spark, folder, "retrieval_runs").select("request_id", "question").distinct()
+    command = F.concat(F.lit("<retrieval_request>"), F.to_json(F.struct(F.array("question").alias("queries"), F.array(F.lit("R001")).alias("expand_citations"))), F.lit("</retrieval_request>"))
+    turn = F.pmod(F.crc32("request_id"), F.lit(3))
+    sent = F.when(turn == 0, command).when(turn == 1, F.substring_index(command, "</", 1)).otherwise(F.col("question"))
+    return q.select("request_id", control.parse(sent).alias("c")).select("request_id", "c.queries", "c.expand_citations", "c.error")
+
+
+# --- Events ---
+
+@query("""select event_id, event_type, list_sort(list_filter(json_keys(props), lambda k: k in ('page', 'ref', 'k'))) as kept from events""")
+def event_details(spark: SparkSession, folder: str) -> DataFrame:
+    e = table(spark, folder, "events").withColumn("details", F.from_json("props", "map<string,string>"))
+    kept = e.select("event_id", "event_type", events.allowed(F.col("details"), ["page", "ref", "k"]).alias("d"))
+    return kept.select("event_id", "event_type", F.array_sort(F.map_keys("d")).alias("kept"))
+
+
+@query("""select user_id, count(*) as n, round(max(gap), 3) as longest from (select user_id, epoch(ts) - epoch(lag(ts) over (partition by user_id order by ts, event_id)) as gap from events) group by user_id""")
+def event_gaps(spark: SparkSession, folder: str) -> DataFrame:
+    e = table(spark, folder, "events").withColumn("t", F.unix_micros(F.col("ts").cast("timestamp")) / 1e6)
+    gap = F.col("t") - F.lag("t").over(W.partitionBy("user_id").orderBy("t", "event_id"))
+    return e.withColumn("gap", gap).groupBy("user_id").agg(F.count("*").alias("n"), F.round(F.max("gap"), 3).alias("longest"))
+
+
+@query("""select time_bucket(interval '1 hour', ts) as hour, event_type, count(*) as n, round(sum(value), 4) as total from events group by all""")
+def event_windows(spark: SparkSession, folder: str) -> DataFrame:
+    e = table(spark, folder, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    g = e.groupBy(F.window("ts", "1 hour"), "event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
+    return g.select(F.col("window.start").cast("timestamp_ntz").alias("hour"), "event_type", "n", "total")
+
+
+# --- Beyond the operators above: what the engine gives over the star schema ---
+
+@query("""select l_returnflag, l_linestatus, round(sum(l_quantity), 2) as quantity, round(sum(l_extendedprice * (1 - l_discount)), 2) as revenue, count(*) as n from lineitem where l_shipdate <= timestamp '1998-09-02' group by all""")
+def pricing_summary(spark: SparkSession, folder: str) -> DataFrame:
+    li = table(spark, folder, "lineitem").where(F.col("l_shipdate") <= F.lit("1998-09-02").cast("timestamp_ntz"))
+    return li.groupBy("l_returnflag", "l_linestatus").agg(F.round(F.sum("l_quantity"), 2).alias("quantity"), F.round(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))), 2).alias("revenue"), F.count("*").alias("n"))
+
+
+@query("""select r_name, n_name, count(*) as orders, round(sum(o_totalprice), 2) as total from orders join customer on o_custkey = c_custkey join nation on c_nationkey = n_nationkey join region on n_regionkey = r_regionkey group by rollup(r_name, n_name)""")
+def orders_by_nation(spark: SparkSession, folder: str) -> DataFrame:
+    o, c, n, r = (table(spark, folder, t) for t in ("orders", "customer", "nation", "region"))
+    joined = o.join(c, o["o_custkey"] == c["c_custkey"]).join(n, c["c_nationkey"] == n["n_nationkey"]).join(r, n["n_regionkey"] == r["r_regionkey"])
+    return joined.rollup("r_name", "n_name").agg(F.count("*").alias("orders"), F.round(F.sum("o_totalprice"), 2).alias("total"))
