@@ -41,20 +41,21 @@ class Rule:
     pattern: str
     group: int = 0
     valid: object = None
+    anchor: str = ""  #: a quick pattern that every text with a match also matches
 
 
 # Labels, priorities and shapes of the rules.
 RULES = (
-    Rule("RAW_MARKER", 2000, r"\[\[[^\[\]\r\n]{1,80}\]\]"),
-    Rule("EMAIL", 1200, r"(?U)(?<![\w.+-])[\w.+-]+@(?:[\w-]+\.)+[\w-]{2,}(?![\w-])"),
+    Rule("RAW_MARKER", 2000, r"\[\[[^\[\]\r\n]{1,80}\]\]", anchor=r"\[\["),
+    Rule("EMAIL", 1200, r"(?U)(?<![\w.+-])[\w.+-]+@(?:[\w-]+\.)+[\w-]{2,}(?![\w-])", anchor="@"),
     Rule("SNILS", 1190, r"(?U)(?<!\d)\d{3}[- ]?\d{3}[- ]?\d{3}[ ]?\d{2}(?!\d)", 0, valid_snils),
     Rule("INN", 1180, r"(?U)(?<!\d)(?:\d{12}|\d{10})(?!\d)", 0, valid_inn),
-    Rule("BANK_ACCOUNT", 1170, r"(?iuU)(?:р(?:асч[её]тный)?\s*/?\s*с(?:ч[её]т)?|сч[её]т|account)\s*(?:№|N|:)?\s*(\d{20})(?!\d)", 1),
-    Rule("BANK_ACCOUNT", 1135, r"(?U)(?<!\d)\d{20}(?!\d)"),
-    Rule("BANK_ACCOUNT", 1160, r"(?U)(?<!\d)(\d{4}(?:[ -]\d{4}){4})(?!\d)", 1),
+    Rule("BANK_ACCOUNT", 1170, r"(?iuU)(?:р(?:асч[её]тный)?\s*/?\s*с(?:ч[её]т)?|сч[её]т|account)\s*(?:№|N|:)?\s*(\d{20})(?!\d)", 1, anchor=r"\p{Nd}{20}"),
+    Rule("BANK_ACCOUNT", 1135, r"(?U)(?<!\d)\d{20}(?!\d)", anchor=r"\p{Nd}{20}"),
+    Rule("BANK_ACCOUNT", 1160, r"(?U)(?<!\d)(\d{4}(?:[ -]\d{4}){4})(?!\d)", 1, anchor=r"\p{Nd}{4}[ -]\p{Nd}{4}[ -]\p{Nd}{4}[ -]"),
     Rule("PHONE", 1150, r"(?U)(?<!\d)(?:\+7|8)[ \-]?\(?\d{3}\)?[ \-]?\d{3}[ \-]?\d{2}[ \-]?\d{2}(?!\d)"),
     Rule("PASSPORT", 1140, r"(?U)(?<!\d)(?:\d{2}\s+\d{2}\s+\d{6}|\d{4}\s+\d{6})(?!\d)"),
-    Rule("MONEY", 1100, r"(?iuU)(?<!\w)(?:\d{1,15}|\d{1,3}(?:[ \xa0]\d{3})+)(?:[.,]\d{1,2})?\s*(?:₽|руб(?:л(?:ь|я|ей))?\.?)(?!\w)"),
+    Rule("MONEY", 1100, r"(?iuU)(?<!\w)(?:\d{1,15}|\d{1,3}(?:[ \xa0]\d{3})+)(?:[.,]\d{1,2})?\s*(?:₽|руб(?:л(?:ь|я|ей))?\.?)(?!\w)", anchor="₽|(?iu)руб"),
 )
 
 
@@ -63,6 +64,8 @@ def detect(c: Column, rules: tuple[Rule, ...] = RULES) -> Column:
     found = []
     for number, rule in enumerate(rules):
         spans = matches(c, rule.pattern, rule.group)
+        if rule.anchor:
+            spans = F.when(c.rlike(rule.anchor), spans).otherwise(F.array().cast("array<struct<start:int,end:int,text:string>>"))
         if rule.valid is not None:
             spans = F.filter(spans, lambda m: rule.valid(m["text"]))
         found.append(

@@ -43,28 +43,30 @@ def matches(c: Column, pattern: str, group: int = 0) -> Column:
 
     With `group`, the offsets are of that group inside its match (its first occurrence there).
     """
-    whole = F.regexp_extract_all(c, F.lit(pattern), F.lit(0))
-    parts = F.split(c, pattern, -1)
-    # start of match i: the lengths of the pieces up to i and of the matches before i
-    sizes = F.transform(whole, lambda m, i: F.struct(m.alias("m"), F.length(F.element_at(parts, i + 1)).alias("gap"), i.alias("i")))
+    # arrays are zipped, not looked up by place: a look-up inside a lambda would match the text again for each element
+    whole, parts = F.regexp_extract_all(c, F.lit(pattern), F.lit(0)), F.split(c, pattern, -1)
+    sizes = F.zip_with(whole, parts, lambda m, p: F.struct(m.alias("m"), F.length(p).alias("gap")))
+    none = F.array().cast("array<struct<start:int,end:int,text:string>>")
     folded = F.aggregate(
         sizes,
-        F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,text:string>>").alias("out")),
-        lambda acc, x: F.struct(
-            (acc["at"] + x["gap"] + F.length(x["m"])).alias("at"),
-            F.concat(acc["out"], F.array(F.struct((acc["at"] + x["gap"]).alias("start"), (acc["at"] + x["gap"] + F.length(x["m"])).alias("end"), x["m"].alias("text")))).alias("out"),
+        F.struct(F.lit(0).alias("at"), none.alias("out")),
+        lambda acc, x: F.when(x["m"].isNull(), acc).otherwise(
+            F.struct(
+                (acc["at"] + x["gap"] + F.length(x["m"])).alias("at"),
+                F.concat(acc["out"], F.array(F.struct((acc["at"] + x["gap"]).alias("start"), (acc["at"] + x["gap"] + F.length(x["m"])).alias("end"), x["m"].alias("text")))).alias("out"),
+            )
         ),
         lambda acc: acc["out"],
     )
+    folded = F.when(F.size(whole) > 0, folded).when(F.size(whole) == 0, none)  # most texts need one scan only
     if not group:
         return folded
     inner = F.regexp_extract_all(c, F.lit(pattern), F.lit(group))
-    return F.transform(
+    return F.zip_with(
         folded,
-        lambda m, i: F.struct(
-            (m["start"] + F.instr(m["text"], F.element_at(inner, i + 1)) - 1).cast("int").alias("start"),
-            (m["start"] + F.instr(m["text"], F.element_at(inner, i + 1)) - 1 + F.length(F.element_at(inner, i + 1))).cast("int").alias("end"),
-            F.element_at(inner, i + 1).alias("text"),
+        inner,
+        lambda m, g: F.struct(
+            (m["start"] + F.instr(m["text"], g) - 1).cast("int").alias("start"), (m["start"] + F.instr(m["text"], g) - 1 + F.length(g)).cast("int").alias("end"), g.alias("text")
         ),
     )
 

@@ -75,15 +75,15 @@ def mint(values: DataFrame, existing: DataFrame | None = None) -> DataFrame:
 
 def masked(text: Column, spans: Column) -> Column:
     """`text` with each of spans (struct<start,end,marker>, by start, without overlaps) replaced by its marker."""
-    folded = F.aggregate(
+    return F.aggregate(
         spans,
         F.struct(F.lit(0).alias("at"), F.lit("").alias("out")),
         lambda acc, s: F.when(
             (s["start"] >= acc["at"]) & (s["end"] <= F.length(text)),
             F.struct(s["end"].alias("at"), F.concat(acc["out"], T.slice_text(text, acc["at"], s["start"]), s["marker"]).alias("out")),
         ).otherwise(acc),
+        lambda acc: F.concat(acc["out"], T.slice_text(text, acc["at"], F.length(text))),
     )
-    return F.concat(folded["out"], T.slice_text(text, folded["at"], F.length(text)))
 
 
 def unknown_markers(text: Column, known: Column) -> Column:
@@ -94,23 +94,33 @@ def unknown_markers(text: Column, known: Column) -> Column:
 def restored(text: Column, known: Column, strict: bool = True) -> Column:
     """`text` with markers replaced by their values. Strict: a marker the map lacks is an error."""
     found, parts = F.regexp_extract_all(text, F.lit(MARKER), F.lit(0)), F.split(text, MARKER, -1)
-    whole = F.array_join(F.transform(parts, lambda p, i: F.concat(p, F.coalesce(F.try_element_at(known, F.get(found, i)), F.get(found, i), F.lit("")))), "")
+    whole = F.array_join(F.zip_with(parts, found, lambda p, m: F.concat(p, F.coalesce(F.try_element_at(known, m), m, F.lit("")))), "")
     return F.when(F.size(unknown_markers(text, known)) > 0, F.raise_error(F.lit("unknown_marker"))).otherwise(whole) if strict else whole
 
 
-def known_value_pattern(value: Column) -> Column:
-    """A pattern of a value as a whole word, whatever its case; null for values of fewer than three characters."""
+def _whole_word(value: Column) -> Column:
     v = F.trim(value)
     quoted = F.concat(F.lit(r"\Q"), F.replace(v, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E"))
     before = F.when(F.substring(v, 1, 1).rlike(r"\p{L}"), F.lit(r"(?<!\w)")).otherwise(F.lit(""))
     after = F.when(F.substring(v, -1, 1).rlike(r"\p{L}"), F.lit(r"(?!\w)")).otherwise(F.lit(""))
-    return F.when(F.length(v) >= 3, F.concat(F.lit("(?iuU)"), before, quoted, after))
+    return F.concat(before, quoted, after)
+
+
+def known_value_pattern(value: Column) -> Column:
+    """A pattern of a value as a whole word, whatever its case; null for values of fewer than three characters."""
+    return F.when(F.length(F.trim(value)) >= 3, F.concat(F.lit("(?iuU)"), _whole_word(value)))
 
 
 def leaks(text: Column, aliases: Column) -> Column:
-    """Whether any alias stands in the text outside its markers."""
+    """Whether any alias of three characters or more stands in the text outside its markers.
+
+    Aliases that don't occur at all are sorted out by plain search, so a pattern runs for few texts, once.
+    """
     bare = F.regexp_replace(text, MARKER, "")
-    return F.exists(aliases, lambda a: F.coalesce(F.rlike(bare, known_value_pattern(a)), F.lit(False)))
+    # the array of one makes the small form be computed once, not for each alias
+    held = F.flatten(F.transform(F.array(F.lower(bare)), lambda b: F.filter(aliases, lambda a: (F.length(F.trim(a)) >= 3) & F.contains(b, F.lower(F.trim(a))))))
+    pattern = F.concat(F.lit("(?iuU)(?:"), F.array_join(F.transform(held, _whole_word), "|"), F.lit(")"))
+    return F.when(F.size(held) > 0, F.rlike(bare, pattern)).otherwise(F.lit(False))
 
 
 def checked(text: Column, aliases: Column) -> Column:
