@@ -90,7 +90,7 @@ def window(low: Column, high: Column, focus_start: Column, focus_end: Column, bu
     )
 
 
-def table_excerpt(text: Column, low: Column, high: Column, focus_start: Column, focus_end: Column, budget: Column, separator: str = "\n...\n", header: int = 3000) -> Column:
+def table_excerpt(text: Column, low: Column, high: Column, focus_start: Column, focus_end: Column, budget: Column, separator: str, header: int = 3000) -> Column:
     """struct<text,start,end>: the table's head, a separator and the window around the match, within `budget`."""
     head = F.least(F.lit(header), F.greatest(F.lit(1), (budget / 3).cast("int")))
     head_end = F.least(high, low + head)

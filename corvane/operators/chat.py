@@ -8,7 +8,7 @@ from ..functions import text as T
 
 ROLES = ("system", "user", "assistant", "tool")
 # The names of the roles and the heading in contexts.
-LABELS = {"system": "Система", "user": "Пользователь", "assistant": "Ассистент", "tool": "Инструмент"}
+LABELS = {"system": "Инструкции агента/проекта", "user": "Пользователь", "assistant": "Ассистент", "tool": "Инструмент"}
 HEADING = "Предыдущие вопросы пользователя:"
 KEYS = ("user_id", "chat_id")
 

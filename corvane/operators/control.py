@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 TAG = "retrieval_request"
-ENVELOPE = rf"(?s)\A<{TAG}>\s*(\{{.*\}})\s*</{TAG}>\z"
+ENVELOPE = rf"(?s)\A<{TAG}>(\{{.*\}})</{TAG}>\z"
 CITATION = r"\AR\d{3}\z"
 
 
@@ -48,4 +48,4 @@ def parse(text: Column, most_queries: int = 3, most_chars: int = 300, most_citat
     result = F.struct(
         F.when(good, F.array_distinct(clean)).otherwise(none).alias("queries"), F.when(good, F.array_distinct(citations)).otherwise(none).alias("expand_citations"), error.alias("error")
     )
-    return F.when((payload != "") | error.isNotNull(), result)
+    return F.when(text.isNotNull() & ((payload != "") | error.isNotNull()), result)

@@ -112,7 +112,7 @@ def similar_rewrites(pairs: DataFrame, least: float) -> DataFrame:
 
 def cited(hits: DataFrame, citations: DataFrame, request: str = "request_id") -> DataFrame:
     """Hits that citations such as R002 name, unless they are whole documents already."""
-    wanted = citations.select(request, F.regexp_extract("citation_ref", r"\AR(\d{3})\z", 1).cast("int").alias("place")).distinct()
+    wanted = citations.select(request, F.regexp_extract("citation_ref", r"\AR(\d{3})\z", 1).try_cast("int").alias("place")).distinct()
     return hits.join(wanted, [request, "place"]).where("context_scope <> 'whole_document' or context_scope is null")
 
 

@@ -437,7 +437,7 @@ select doc_id, md5(case when n <= 900 then text when a <= top then substring(tex
 def table_excerpt(spark: SparkSession, folder: str) -> DataFrame:
     d = table(spark, folder, "documents").where("length(text) > 0")
     third = F.floor(F.length("text") / 3).cast("int")
-    part = T.table_excerpt(F.col("text"), F.lit(0), F.length("text"), third, third + 200, F.lit(900))
+    part = T.table_excerpt(F.col("text"), F.lit(0), F.length("text"), third, third + 200, F.lit(900), "\n...\n")
     return d.select("doc_id", F.md5(part["text"].cast("binary")).alias("digest"))
 
 
@@ -476,7 +476,7 @@ def latest_question(spark: SparkSession, folder: str) -> DataFrame:
 CONTEXT = f"""with {MESSAGES}, l as (select user_id, chat_id, max(position) as last from u where role = 'user' group by all), c as (select u.* from u join l using (user_id, chat_id) where position < last)"""
 
 
-@query(CONTEXT + """, n as (select *, row_number() over (partition by user_id, chat_id order by position desc) as i, case role when 'system' then 'Система' when 'user' then 'Пользователь' when 'assistant' then 'Ассистент' else 'Инструмент' end as label from c qualify i <= 8),
+@query(CONTEXT + """, n as (select *, row_number() over (partition by user_id, chat_id order by position desc) as i, case role when 'system' then 'Инструкции агента/проекта' when 'user' then 'Пользователь' when 'assistant' then 'Ассистент' else 'Инструмент' end as label from c qualify i <= 8),
 b as (select *, 600 - coalesce(sum(length(label) + 2 + length(content)) over (partition by user_id, chat_id order by position desc rows between unbounded preceding and 1 preceding), 0) - length(label) - 2 as room from n),
 s as (select *, max((room <= 0)::int) over (partition by user_id, chat_id order by position desc rows unbounded preceding) as stopped from b)
 select user_id, chat_id, string_agg(label || ':' || chr(10) || right(content, room::bigint), chr(10) || chr(10) order by position) as context from s where stopped = 0 group by all""")
