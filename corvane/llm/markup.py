@@ -185,7 +185,8 @@ RULES: dict[str, list[tuple[re.Pattern[str], str]]] = {
     ],
     "latex": [
         (re.compile(r"(?<!\\)%.*$\n?", re.M), ""),
-        (re.compile(r"\\(?:footnote|cite|label|ref|usepackage|documentclass|includegraphics)\*?(?:\[[^\]]*\])?\{[^{}]*\}\n?"), ""),
+        (re.compile(r"\\(?:usepackage|documentclass|includegraphics)\*?(?:\[[^\]]*\])?\{[^{}]*\}\n?"), ""),
+        (re.compile(r"\\(?:footnote|cite|label|ref)\*?(?:\[[^\]]*\])?\{[^{}]*\}"), ""),
         (re.compile(r"\\(?:begin|end)\{[^{}]*\}(?:\[[^\]]*\])?\n?"), ""),
         (re.compile(r"^[ \t]*\\item(?:\[[^\]]*\])?[ \t]*", re.M), "• "),
         (re.compile(r"\\(?:maketitle|centering|tableofcontents|hline|newline|linebreak)\b"), ""),
