@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from .functions import names, rules, text as T, vectors
-from .operators import changes, chat, chunks, context, control, events, index, search, spans
+from .operators import changes, chat, chunks, context, control, events, files, index, search, spans
 from .session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -128,6 +128,26 @@ def chunks_replaced(spark: SparkSession, folder: str) -> DataFrame:
     return index.replace_children(old, new, "document_id")
 
 
+@query(f"""with {STATES} select coalesce(f.document_id, s.document_id) as path, case when f.document_id is null then 'extra' when s.document_id is null then 'absent' when lower(f.revision) = lower(s.revision) then 'same' else 'differs' end as state
+from files f full outer join states s on f.document_id = s.document_id""")
+def file_drift(spark: SparkSession, folder: str) -> DataFrame:
+    scan, manifest, _ = _states(spark, folder)
+    return files.drift(scan.select(F.col("document_id").alias("path"), F.col("revision").alias("digest")), manifest.select(F.col("document_id").alias("path"), F.col("revision").alias("digest")))
+
+
+@query(f"""with {STATES} select c.document_id, count(*) as n from (select distinct * from chunks) c where exists (select 1 from states s join files f using (document_id)
+ where s.document_id = c.document_id and s.size = f.size and s.mtime_ns = f.mtime_ns and lower(s.revision) = lower(f.revision) and lower(c.revision) = lower(s.revision)) group by all""")
+def fresh_chunks(spark: SparkSession, folder: str) -> DataFrame:
+    scan, manifest, _ = _states(spark, folder)
+    return files.fresh(table(spark, folder, "chunks").distinct(), manifest, scan).groupBy("document_id").agg(F.count("*").alias("n"))
+
+
+@query("""select doc_id, i::int as first, least(i + 510, n)::int as last from (select doc_id, length(text) as n from documents where length(text) > 0), lateral (select unnest(range(0, n, 446)) as i) where i = 0 or i + 64 < n""")
+def model_windows(spark: SparkSession, folder: str) -> DataFrame:
+    w = table(spark, folder, "documents").where("length(text) > 0").select("doc_id", F.explode(files.model_windows(F.length("text"))).alias("w"))
+    return w.select("doc_id", "w.first", "w.last")
+
+
 # --- Texts and identities ---
 
 WS = r"\t\n\x0b\x0c\r\x1c-\x1f \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
@@ -532,6 +552,20 @@ def event_windows(spark: SparkSession, folder: str) -> DataFrame:
     return g.select(F.col("window.start").cast("timestamp_ntz").alias("hour"), "event_type", "n", "total")
 
 
+@query("""with g as (select *, case when ts - lag(ts) over w < interval 10 minute then 0 else 1 end as fresh from events window w as (partition by user_id order by ts, event_id)),
+s as (select *, sum(fresh) over (partition by user_id order by ts, event_id rows unbounded preceding) as k from g)
+select user_id, min(ts) as began, count(*) as n from s group by user_id, k""")
+def event_sessions(spark: SparkSession, folder: str) -> DataFrame:
+    e = table(spark, folder, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    g = e.groupBy("user_id", F.session_window("ts", "10 minutes")).agg(F.count("*").alias("n"))
+    return g.select("user_id", F.col("session_window.start").cast("timestamp_ntz").alias("began"), "n")
+
+
+@query("""select document_id from source_scan where document_id is not null except select document_id from manifest_documents""")
+def never_indexed(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "source_scan").select("document_id").where("document_id is not null").subtract(table(spark, folder, "manifest_documents").select("document_id"))
+
+
 # --- Beyond the operators above: what the engine gives over the star schema ---
 
 @query("""select l_returnflag, l_linestatus, round(sum(l_quantity), 2) as quantity, round(sum(l_extendedprice * (1 - l_discount)), 2) as revenue, count(*) as n from lineitem where l_shipdate <= timestamp '1998-09-02' group by all""")
@@ -545,3 +579,18 @@ def orders_by_nation(spark: SparkSession, folder: str) -> DataFrame:
     o, c, n, r = (table(spark, folder, t) for t in ("orders", "customer", "nation", "region"))
     joined = o.join(c, o["o_custkey"] == c["c_custkey"]).join(n, c["c_nationkey"] == n["n_nationkey"]).join(r, n["n_regionkey"] == r["r_regionkey"])
     return joined.rollup("r_name", "n_name").agg(F.count("*").alias("orders"), F.round(F.sum("o_totalprice"), 2).alias("total"))
+
+
+@query("""select p_brand, s_name, round(sum(l_extendedprice), 2) as total, rank() over (partition by p_brand order by round(sum(l_extendedprice), 2) desc, s_name)::int as place from lineitem join part on l_partkey = p_partkey join supplier on l_suppkey = s_suppkey
+group by p_brand, s_name qualify place <= 3""")
+def best_suppliers(spark: SparkSession, folder: str) -> DataFrame:
+    li, p, s = (table(spark, folder, t) for t in ("lineitem", "part", "supplier"))
+    sums = li.join(p, li["l_partkey"] == p["p_partkey"]).join(s, li["l_suppkey"] == s["s_suppkey"]).groupBy("p_brand", "s_name").agg(F.round(F.sum("l_extendedprice"), 2).alias("total"))
+    return sums.withColumn("place", F.rank().over(W.partitionBy("p_brand").orderBy(F.desc("total"), "s_name"))).where("place <= 3")
+
+
+@query("""select c_custkey from customer where not exists (select 1 from orders where o_custkey = c_custkey) union select c_custkey from customer where c_acctbal < 0""")
+def idle_customers(spark: SparkSession, folder: str) -> DataFrame:
+    c, o = table(spark, folder, "customer"), table(spark, folder, "orders")
+    idle = c.join(o, c["c_custkey"] == o["o_custkey"], "left_anti").select("c_custkey")
+    return idle.union(c.where("c_acctbal < 0").select("c_custkey")).distinct()

@@ -61,3 +61,33 @@ def test_index_state(spark, tmp_path):
     store.write(index.upsert(store.read(), manifest.where("document_id = 'a'").withColumn("size", F.lit(7).cast("long")), "document_id", "updated_at"))
     assert {r["document_id"]: r["size"] for r in store.read().collect()} == {"a": 7, "b": 1, "c": 1}
     assert index.signature({"b": 1, "a": 2}) == index.signature({"a": 2, "b": 1}) != index.signature({"a": 3, "b": 1})
+
+
+def test_files(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from corvane.operators import files
+
+    a = spark.createDataFrame([("x", "AA"), ("y", "bb"), ("z", None)], "path string, digest string")
+    b = spark.createDataFrame([("x", "aa"), ("y", "cc"), ("w", "1")], "path string, digest string")
+    assert {r[0]: r[1] for r in files.drift(a, b).collect()} == {"x": "same", "y": "differs", "z": "absent", "w": "extra"}
+    w = spark.createDataFrame([(0,), (5,), (510,), (511,), (1200,)], "n int").select("n", files.model_windows(F.col("n")).alias("w")).collect()
+    for r in w:
+        covered = set().union(*[range(x["first"], x["last"]) for x in r["w"]]) if r["w"] else set()
+        assert covered == set(range(r["n"])) and all(x["last"] - x["first"] <= 510 for x in r["w"])
+    assert len(w[2]["w"]) == 1 and len(w[3]["w"]) == 2
+    tries = []
+
+    def work():
+        tries.append(1)
+        if len(tries) < 3:
+            raise TimeoutError
+        return 7
+
+    assert files.retried(work, pause=0) == 7
+    (tmp_path / "s").mkdir()
+    store = index.Snapshots(spark, str(tmp_path / "s" / "t"))
+    (tmp_path / "s" / "t").mkdir()
+    store.write(a)
+    sums = files.backup(str(tmp_path / "s"), str(tmp_path / "copy"))
+    assert index.Snapshots(spark, str(tmp_path / "copy" / "t")).read().count() == 3 and sums
