@@ -16,6 +16,11 @@ def p1_found(spark: SparkSession, folder: str) -> DataFrame:
     return lookalike.same_looking_pairs(rows)
 
 
+def p1_text(spark: SparkSession, folder: str) -> DataFrame:
+    documents, messages = table(spark, folder, "documents").select("doc_id", "text"), table(spark, folder, "chat_messages").select("content")
+    return lookalike.normalize(documents, "text", lookalike.representatives(documents.select("text"), messages))
+
+
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     documents = table(spark, folder, "documents")
     texts = neardup.similar_pairs(documents, "doc_id", "text", 3, 0.6).withColumn("field", F.lit("text"))
@@ -33,6 +38,14 @@ def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
+def p5_text(spark: SparkSession, folder: str) -> DataFrame:
+    return privacy.redacted(table(spark, folder, "documents").select("doc_id", "text"), "text")
+
+
+def p6_text(spark: SparkSession, folder: str) -> DataFrame:
+    return markup.cleaned(table(spark, folder, "documents").select("doc_id", "text"), "text")
+
+
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     return markup.found(table(spark, folder, "documents"), "doc_id", "text")
 
@@ -50,8 +63,10 @@ def p9_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p5_found": p5_found, "p6_found": p6_found, "p7_ids": p7_ids, "p8_found": p8_found, "p9_found": p9_found}
+    found = (p1_found, p1_text, p2_found, p3_found, p5_found, p5_text, p6_found, p6_text, p7_ids, p8_found, p9_found)
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
+    """None: SQL cannot say these; they are tested against brute force, plain forms and another encoder."""
     return {}
