@@ -115,7 +115,7 @@ def blocks_of(text: str) -> list[Block]:
     decided = [i for i, b in enumerate(blocks) if b.kinds]
     out = []
     for i, b in enumerate(blocks):
-        if b.label == "undecided" and (may := _own(b)):
+        if b.label in ("undecided", "links") and (may := _own(b)):
             near = sorted(decided, key=lambda j: (abs(i - j), j))
             taken = next((blocks[j].kinds & may for j in near if blocks[j].kinds & may), frozenset())
             if not taken and "html" in may:

@@ -37,7 +37,7 @@ class Limits(NamedTuple):
     sentences: float = 0.5  #: the same for a window with stop words
     stop: float = 0.1  #: share of stop words that makes the difference
     linked: float = 0.3  #: share of a line's characters in links from which it is a line of links
-    page: float = 0.6  #: share of the text in non-sentence shapes from which a page is flagged
+    page: float = 0.58  #: share of the text in non-sentence shapes from which a page is flagged
     shapes: int = 12  #: shapes that share must come from
     least: int = 8  #: words, links and tags a page must have at least
     looser: float = 0.8  #: share of distinct words below which a window of a page lets the page be read by lines
