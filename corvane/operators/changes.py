@@ -31,25 +31,53 @@ def _hex(c: Column) -> Column:
     return F.lower(c)
 
 
+def fold(events: DataFrame, now: int) -> DataFrame:
+    """(item, version, state, token, owner): each version of an item as its events leave it at `now`.
+
+    Done counts only from the holder of the last lease; a lease that has expired leaves the item pending. One
+    aggregation with partial results; an item with very many events costs no more than others.
+    """
+    done = F.max(F.when(F.col("kind") == "done", F.col("token")))
+    lease = F.max(F.when(F.col("kind") == "leased", F.struct("token", "until", "owner")))
+    folded = events.groupBy("item", "version").agg(done.alias("done"), lease.alias("lease"))
+    state = F.when(F.col("done") == F.col("lease.token"), "done").when(F.col("lease.until") > now, "leased").otherwise("pending")
+    return folded.select("item", "version", state.alias("state"), F.coalesce("lease.token", F.lit(0)).alias("token"), F.col("lease.owner").alias("owner"))
+
+
+def _version(size: str, mtime: str, revision: str, signature: Column) -> Column:
+    """What a file must be read again for; null if any part is."""
+    return F.concat(F.col(size).cast("string"), F.lit("|"), F.col(mtime).cast("string"), F.lit("|"), _hex(F.col(revision)), F.lit("|"), _hex(signature))
+
+
+def manifest_events(states: DataFrame) -> DataFrame:
+    """The ledger's events that a manifest's current rows stand for: (item, version, kind, token, owner, until).
+
+    An indexed row whose indexed_revision equals its revision was leased and done; one left extracting was leased by
+    a build that is over, so its lease has expired; any other is pending.
+    """
+    indexed = (F.col("status") == "indexed") & (_hex(F.col("indexed_revision")) == _hex(F.col("revision")))
+    kinds = F.when(indexed, F.array(F.lit("leased"), F.lit("done"))).when(F.col("status") == "extracting", F.array(F.lit("leased"))).otherwise(F.array(F.lit("pending")))
+    return states.select(
+        F.col("document_id").alias("item"), _version("size", "mtime_ns", "revision", F.col("index_signature")).alias("version"), F.explode(kinds).alias("kind"),
+        F.lit(1).cast("long").alias("token"), F.lit(None).cast("string").alias("owner"), F.lit(0).cast("long").alias("until"),
+    ).where("version is not null")
+
+
 def due(scan: DataFrame, manifest: DataFrame, builds: DataFrame) -> DataFrame:
-    """The current rows of files that the due build must read.
+    """The current rows of files that the due build must read: work items that the ledger leaves pending.
 
-    A file is up to date only if its manifest state is indexed with the scan's size, mtime_ns and revision, its
-    indexed_revision equals its revision, and its index_signature is that of the build with the greatest started_at.
-    A null in any compared column, a missing state or no build at all makes a file due; so nothing is left out.
-    Hex is compared without regard to case.
+    Items are the scan's files, their version is size, mtime_ns, revision and the current index_signature, that of the
+    build with the greatest started_at. The manifest's current rows are folded as ledger events; a file is up to date
+    only if its version is done. A null in any part, a missing state or no build at all makes a file due, so nothing is
+    left out. Hex is compared without regard to case.
     """
     files = latest(scan.where("document_id is not null"), "document_id", "seen_at")
     states = latest(manifest.where("document_id is not null"), "document_id", "updated_at")
-    signature = builds.agg(F.max(F.struct(F.col("started_at"), F.col("index_signature"))).alias("b")).select(F.col("b.index_signature").alias("_signature"))
-    ready = (
-        states.where("status = 'indexed'")
-        .join(F.broadcast(signature), _hex(F.col("index_signature")) == _hex(F.col("_signature")))  # one row
-        .where(_hex(F.col("indexed_revision")) == _hex(F.col("revision")))
-        .select(F.col("document_id").alias("_id"), F.col("size").alias("_size"), F.col("mtime_ns").alias("_mtime"), _hex(F.col("revision")).alias("_revision"))
-    )
-    same = (F.col("document_id") == F.col("_id")) & (F.col("size") == F.col("_size")) & (F.col("mtime_ns") == F.col("_mtime")) & (_hex(F.col("revision")) == F.col("_revision"))
-    return files.join(ready, same, "left_anti")
+    signature = builds.agg(F.max(F.struct(F.col("started_at"), F.col("index_signature"))).alias("b")).select(F.col("b.index_signature").alias("_signature"), F.lit(1).alias("_one"))
+    done = fold(manifest_events(states), 0).where("state = 'done'").select(F.col("item").alias("_item"), F.col("version").alias("_done"))
+    offered = files.withColumn("_one", F.lit(1)).join(F.broadcast(signature), "_one")  # one row
+    offered = offered.withColumn("_version", _version("size", "mtime_ns", "revision", F.col("_signature")))
+    return offered.join(done, (F.col("document_id") == F.col("_item")) & (F.col("_version") == F.col("_done")), "left_anti").select(*scan.columns)
 
 
 @dataclass(frozen=True)
@@ -72,14 +100,7 @@ class Ledger:
 
     def states(self, now: int) -> DataFrame:
         """(item, version, state, token, owner): each version of an item as it stands at `now`."""
-        e = self.events()
-        done = F.max(F.when(F.col("kind") == "done", F.col("token")))
-        lease = F.max(F.when(F.col("kind") == "leased", F.struct("token", "until", "owner")))
-        folded = e.groupBy("item", "version").agg(done.alias("done"), lease.alias("lease"))
-        held = F.col("lease.until") > now
-        # a result counts only from the holder of the last lease
-        state = F.when(F.col("done") == F.col("lease.token"), "done").when(held, "leased").otherwise("pending")
-        return folded.select("item", "version", state.alias("state"), F.coalesce("lease.token", F.lit(0)).alias("token"), F.col("lease.owner").alias("owner"))
+        return fold(self.events(), now)
 
     def offer(self, items: DataFrame, now: int) -> None:
         """Adds (item, version) pairs as pending; those that the ledger has in any state stay as they are."""

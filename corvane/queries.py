@@ -229,7 +229,7 @@ def chunk_documents(spark: SparkSession, folder: str) -> DataFrame:
     return _chunked(spark, folder).select(F.col("document_id").cast("long").alias("doc_id"), "ordinal", "char_start", "char_end")
 
 
-@query(CHUNKED + """select lang, count(*) as chunks, sum(en - st) as chars, max(en - st) as longest from (select c.*, d2.lang from cut c join documents d2 using (doc_id) where ordinal >= 0) group by rollup(lang)""")
+@query(CHUNKED + """select lang, count(*) as chunks, sum(en - st)::bigint as chars, max(en - st) as longest from (select c.*, d2.lang from cut c join documents d2 using (doc_id) where ordinal >= 0) group by rollup(lang)""")
 def chunk_stats(spark: SparkSession, folder: str) -> DataFrame:
     d = table(spark, folder, "documents").select(F.col("doc_id").cast("string").alias("document_id"), "lang")
     size = F.col("char_end") - F.col("char_start")
@@ -531,11 +531,11 @@ def control_envelopes(spark: SparkSession, folder: str) -> DataFrame:
 
 # --- Events ---
 
-@query("""select event_id, event_type, list_sort(list_filter(json_keys(props), lambda k: k in ('page', 'ref', 'k'))) as kept from events""")
+@query("""select event_id, event_type, array_to_string(list_sort(list_filter(json_keys(props), lambda k: k in ('page', 'ref', 'k'))), ',') as kept from events""")
 def event_details(spark: SparkSession, folder: str) -> DataFrame:
     e = table(spark, folder, "events").withColumn("details", F.from_json("props", "map<string,string>"))
     kept = e.select("event_id", "event_type", events.allowed(F.col("details"), ["page", "ref", "k"]).alias("d"))
-    return kept.select("event_id", "event_type", F.array_sort(F.map_keys("d")).alias("kept"))
+    return kept.select("event_id", "event_type", F.array_join(F.array_sort(F.map_keys("d")), ",").alias("kept"))
 
 
 @query("""select user_id, count(*) as n, round(max(gap), 3) as longest from (select user_id, epoch(ts) - epoch(lag(ts) over (partition by user_id order by ts, event_id)) as gap from events) group by user_id""")
