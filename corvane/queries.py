@@ -519,14 +519,18 @@ def chat_sync(spark: SparkSession, folder: str) -> DataFrame:
     return chat.synced(m.where("position < 6"), m.where("position = 6"))
 
 
-@query()
+@query(rf"""with r as (select distinct request_id, question as q, length(question) % 3 as t from retrieval_runs), n as (select *, regexp_replace(regexp_replace(q, '[{WS}]+', ' ', 'g'), '^ | $', '', 'g') as c from r),
+b as (select *, regexp_matches(q, '[\x00-\x1f]') or c = '' or length(c) > 300 as bad from n)
+select request_id, case when t = 0 and not bad then c when t < 2 then '' end as queries, case when t = 0 and not bad then 'R001' when t < 2 then '' end as citations,
+ case when t = 0 and bad then 'invalid_retrieval_query' when t = 1 then 'invalid_retrieval_control_envelope' end as error from b""")
 def control_envelopes(spark: SparkSession, folder: str) -> DataFrame:
-    """Questions as commands: whole, without an end, and as plain text, by turns of the request id."""
+    """Questions as commands: whole, without an end, and as plain text, by turns of their length."""
     q = table(spark, folder, "retrieval_runs").select("request_id", "question").distinct()
     command = F.concat(F.lit("<retrieval_request>"), F.to_json(F.struct(F.array("question").alias("queries"), F.array(F.lit("R001")).alias("expand_citations"))), F.lit("</retrieval_request>"))
-    turn = F.pmod(F.crc32("request_id"), F.lit(3))
+    turn = F.length("question") % 3
     sent = F.when(turn == 0, command).when(turn == 1, F.substring_index(command, "</", 1)).otherwise(F.col("question"))
-    return q.select("request_id", control.parse(sent).alias("c")).select("request_id", "c.queries", "c.expand_citations", "c.error")
+    parsed = q.select("request_id", control.parse(sent).alias("c"))
+    return parsed.select("request_id", F.array_join("c.queries", "|").alias("queries"), F.array_join("c.expand_citations", "|").alias("citations"), "c.error")
 
 
 # --- Events ---
