@@ -30,8 +30,10 @@ RARITY_BITS, RARITY_BLOCKS = 16, 64
 REFERENCES = 16
 #: Elements of the prefix index that one task takes at most, on average.
 INDEX_ELEMENTS = 1_500_000
-#: Members of a class of copies up to which all their pairs are returned; larger ones give each copy's pair with the first.
-COPIES = 1000
+#: None: all pairs of all classes. A number is a limit that a caller may set: of a class of more members, only the first stands in pairs.
+COPIES: int | None = None
+#: Members of a class in one block, on average; one row pairs two blocks.
+BLOCK = 1024
 #: Rows up to which document ids are broadcast (8 MB).
 BROADCAST_IDS = 1_000_000
 
@@ -104,8 +106,8 @@ def similar_pairs(records: DataFrame, record: str, column: str, k: int, threshol
     """(id_a, id_b) of records whose sets of k-word runs have a Jaccard similarity of at least `threshold`.
 
     Null and blank texts and texts of fewer than k words have no run and are in no pair. Equal rows of one id count
-    once. Copies (equal sets) are paired with each other and with everything their class is similar to; of a class of
-    more than COPIES members only the first stands in pairs, and each other member is paired with it.
+    once. Copies (equal sets, whose texts may differ) are paired with each other and with everything their class is
+    similar to, however many they are.
     """
     source = records.select(F.col(record).cast("long").alias("id"), F.col(column).alias("text")).where("id is not null and text is not null")
     spark = records.sparkSession
@@ -222,16 +224,29 @@ def similar_pairs(records: DataFrame, record: str, column: str, k: int, threshol
 
 
 def _expanded(members: DataFrame, linked: DataFrame) -> DataFrame:
-    """Pairs of records from linked classes and from the classes themselves."""
+    """Pairs of records from linked classes and from the classes themselves.
+
+    A class is cut into blocks of about BLOCK ids and pairs of blocks are spread over all tasks, so what a task holds
+    at once doesn't grow with a class. The work is in proportion to the pairs returned.
+    """
     sizes = members.groupBy("class").agg(F.count("*").alias("size"), F.min("id").alias("first"))
-    several = members.join(sizes.where("size > 1"), "class")
-    a = several.where(F.col("size") <= COPIES).select("class", F.col("id").alias("a"))
-    b = several.where(F.col("size") <= COPIES).select("class", F.col("id").alias("b"))
-    copies = a.join(b, "class").where("a < b").select("a", "b").unionByName(several.where((F.col("size") > COPIES) & (F.col("id") > F.col("first"))).select(F.col("first").alias("a"), F.col("id").alias("b")))
-    standing = members.join(sizes, "class").where((F.col("size") <= COPIES) | (F.col("id") == F.col("first"))).select("class", "id")
-    across = (
-        linked.join(standing.select(F.col("class").alias("x"), F.col("id").alias("a")), "x")
-        .join(standing.select(F.col("class").alias("y"), F.col("id").alias("b")), "y")
-        .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    firsts = None
+    if COPIES is not None:
+        firsts = members.join(sizes.where(F.col("size") > COPIES), "class").where("id > first").select(F.col("first").alias("a"), F.col("id").alias("b"))
+        sizes = sizes.withColumn("size", F.when(F.col("size") > COPIES, 1).otherwise(F.col("size")))
+    several = members.join(sizes.where("size > 1"), "class").withColumn("block", F.pmod(F.xxhash64("id"), F.ceil(F.col("size") / F.lit(BLOCK))))
+    blocks = several.groupBy("class", "block").agg(F.collect_list("id").alias("ids"))
+    blocks = blocks.unionByName(sizes.where("size = 1").select("class", F.lit(0).cast("long").alias("block"), F.array("first").alias("ids")))
+    links = linked.select("x", "y").unionByName(sizes.where("size > 1").select(F.col("class").alias("x"), F.col("class").alias("y")))
+    met = (
+        links.join(blocks.select(F.col("class").alias("x"), F.col("block").alias("bx"), F.col("ids").alias("as")), "x")
+        .join(blocks.select(F.col("class").alias("y"), F.col("block").alias("by"), F.col("ids").alias("bs")), "y")
+        .where("x <> y or bx <= by")
+        .repartition(int(members.sparkSession.conf.get("spark.sql.shuffle.partitions")), "x", "bx", "y", "by")  # a stated number, as few bytes may stand for many pairs
     )
-    return copies.unionByName(across).select(F.col("a").alias("id_a"), F.col("b").alias("id_b")).distinct()
+    own = (F.col("x") == F.col("y")) & (F.col("bx") == F.col("by"))  # a block with itself
+    pairs = met.select(own.alias("own"), F.explode("as").alias("a"), "bs").select("own", "a", F.explode("bs").alias("b")).where("if(own, a < b, a <> b)")
+    pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    if firsts is not None:
+        pairs = pairs.unionByName(firsts)
+    return pairs.select(F.col("a").alias("id_a"), F.col("b").alias("id_b")).distinct()

@@ -82,6 +82,14 @@ def test_many_copies_stay_whole(spark, monkeypatch):
     assert neardup.similar_pairs(spark.createDataFrame([], "d long, t string"), "d", "t", 3, 0.6).count() == 0
 
 
+def test_large_classes_give_all_pairs(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "BLOCK", 100)
+    text = "one two three four five six seven eight"
+    rows = [(i, (text, text.upper(), text.replace(" ", ", "))[i % 3]) for i in range(1005)] + [(2000 + i, text.replace("eight", "nine")) for i in range(3)]
+    got = neardup.similar_pairs(spark.createDataFrame(rows, "d long, t string"), "d", "t", 3, 0.6).selectExpr("count(*)", "count(distinct id_a, id_b)", "count_if(id_a < id_b)", "count_if(id_a < 2000 and id_b >= 2000)").first()
+    assert tuple(got) == (1008 * 1007 // 2,) * 3 + (1005 * 3,)
+
+
 def test_fingerprints_never_exceed_the_distance():
     rng = np.random.default_rng(5)
     for _ in range(50):
