@@ -3,7 +3,7 @@
 Lines are reduced to shapes: the bucket of their word count, their share of capitals, their separators, links and
 tags, whether they end as a sentence, and how far they repeat few words. Lines of one shape are grouped; shapes that
 no sentence, table or list of contents has are counted by their length. A page is flagged when most of its text
-belongs to few such shapes.
+belongs to such shapes.
 """
 
 from __future__ import annotations
@@ -13,15 +13,14 @@ from collections import Counter
 from collections.abc import Iterator
 from typing import NamedTuple
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from .markup import ENTITY, STOP_WORDS, TAG, plain_signs
-from .words import words_of
 
 LINK = re.compile(r"<a\s[^>]*>|</a>|\]\((?:https?://)?[^)\s]*\)|https?://\S+|\bwww\.\S+", re.I)
 WORD = re.compile(r"[^\W\d_]+")
+DIGIT = re.compile(r"\d")
 HASHTAG = re.compile(r"(?<![\w&])#[\w-]+")
 CAMEL = re.compile(r"[A-ZА-ЯЁÀ-ÖØ-Þ]?[a-zа-яёß-öø-ÿ]+|\d+[A-Z]*|[A-ZА-ЯЁÀ-ÖØ-Þ]+(?![a-zа-яёß-öø-ÿ])")
 REFERENCE = re.compile(r"^\s*(?:\[\d+\]|\(\d+\)|\d+[.)])\s")
@@ -38,10 +37,9 @@ class Limits(NamedTuple):
     stop: float = 0.1  #: share of stop words that makes the difference
     linked: float = 0.3  #: share of a line's characters in links from which it is a line of links
     page: float = 0.58  #: share of the text in non-sentence shapes from which a page is flagged
-    shapes: int = 12  #: shapes that share must come from
     least: int = 8  #: words, links and tags a page must have at least
-    looser: float = 0.8  #: share of distinct words below which a window of a page lets the page be read by lines
-    windows: float = 0.25  #: share of such windows from which it does; links and tags do by themselves
+    whole: float = 0.5  #: share of distinct words below which a page's lists, taken together, repeat their words
+    letters: float = 0.65  #: share of letters from which a line is a list of words, not of figures
 
 
 class Shape(NamedTuple):
@@ -83,9 +81,16 @@ def _repeats(words: list[str], limits: Limits) -> bool:
     return len(content) >= limits.window // 3 and len(set(content)) < most * len(content)
 
 
-def shapes_of(text: str, limits: Limits = Limits()) -> list[tuple[Shape, int]]:
-    """(shape, characters) of each line."""
-    text = plain_signs(text)
+class _Line(NamedTuple):
+    line: str
+    links: list[str]
+    bare: str  #: without links, tags and entities
+    tags: list[str]
+    words: list[str]  #: small letters
+    found: list[str]  #: as written
+
+
+def _read(text: str, limits: Limits) -> list[_Line]:
     parts = []
     for line in _lines(text, limits):
         links = LINK.findall(line) if "http" in line or "](" in line or "<a" in line or "www." in line else []
@@ -97,22 +102,54 @@ def shapes_of(text: str, limits: Limits = Limits()) -> list[tuple[Shape, int]]:
         tags = HASHTAG.findall(bare) if "#" in bare else []
         found = WORD.findall(bare)
         words = [w for t in tags for w in CAMEL.findall(t[1:])] if len(tags) > 1 and sum(map(len, tags)) > len(bare) / 2 else found
-        parts.append((line, links, bare, tags, [w.lower() for w in words if len(w) > 1], found))
-    # repetition is judged on windows of neighbouring lines
+        parts.append(_Line(line, links, bare, tags, [w.lower() for w in words if len(w) > 1], found))
+    return parts
+
+
+def _repeated(parts: list[_Line], limits: Limits) -> list[bool]:
+    """Which lines repeat few words, judged on windows of neighbouring lines and on all lists of the page together."""
     few = [False] * len(parts)
     start, gathered = 0, []
     for i, p in enumerate(parts):
-        gathered += p[4]
+        gathered += p.words
         if len(gathered) >= limits.window or i == len(parts) - 1:
             if i == len(parts) - 1 and len(gathered) < limits.window and start:
                 few[start : i + 1] = [few[start - 1] and (not gathered or len(set(gathered)) < 0.9 * len(gathered) or len(gathered) < 8)] * (i + 1 - start)
             else:
                 few[start : i + 1] = [_repeats(gathered, limits)] * (i + 1 - start)
             start, gathered = i + 1, []
+    # a list longer than a window repeats only on the page: lines of words without sentences, of one make by separator
+    lists: dict[str, list[int]] = {}
+    content: dict[str, list[str]] = {}
+    for i, p in enumerate(parts):
+        own = [w for w in p.words if w not in STOP_WORDS]
+        if own and len(p.words) - len(own) < limits.stop * len(p.words) and sum(map(len, p.found)) >= limits.letters * len(p.bare.strip()) and not END.search(p.bare):
+            separator = _separator(p.line)
+            lists.setdefault(separator, []).append(i)
+            content.setdefault(separator, []).extend(own)
+    for separator, at in lists.items():
+        if len(content[separator]) >= limits.window and len(set(content[separator])) < limits.whole * len(content[separator]):
+            for i in at:
+                few[i] = True
+    return few
+
+
+def _separator(line: str) -> str:
+    n, most = max((line.count(s), s) for s in SEPARATORS)
+    return most if n > 1 else ""
+
+
+def shapes_of(text: str, limits: Limits = Limits()) -> list[tuple[Shape, int]]:
+    """(shape, characters) of each line."""
+    parts = _read(plain_signs(text), limits)
+    return _shapes(parts, _repeated(parts, limits), limits)
+
+
+def _shapes(parts: list[_Line], few: list[bool], limits: Limits) -> list[tuple[Shape, int]]:
     out = []
-    for (line, links, bare, tags, words, found), repeated in zip(parts, few):
+    for (line, links, bare, tags, _, found), repeated in zip(parts, few):
         linked = (len(line) - len(bare) if links else 0) / len(line)
-        data = bool(LEADER.search(line) or CODE.search(bare) and "SKU" not in bare or line.count("\t") >= 2 or line.count(";") - line.count("; ") >= 3)
+        data = bool(LEADER.search(line) or CODE.search(bare) and "SKU" not in bare or line.count("\t") >= 2 or line.count(";") - line.count("; ") >= 3 or len(DIGIT.findall(bare)) > sum(map(len, found)))
         if links and linked >= limits.linked and not (REFERENCE.match(line) and "](" not in line):
             label = "links"
         elif len(tags) >= 2 and sum(map(len, tags)) > len(line) / 2:
@@ -123,10 +160,8 @@ def shapes_of(text: str, limits: Limits = Limits()) -> list[tuple[Shape, int]]:
             label = "keywords"
         else:
             label = "text"
-        counts = [(line.count(s), s) for s in SEPARATORS]
-        most = max(counts)
         shape = Shape(
-            len(found).bit_length(), 10 * sum(w[0].isupper() for w in found) // max(1, len(found)), most[1] if most[0] > 1 else "",
+            len(found).bit_length(), 10 * sum(w[0].isupper() for w in found) // max(1, len(found)), _separator(line),
             len(links).bit_length(), len(tags).bit_length(), bool(END.search(line)), label,
         )
         out.append((shape, len(line)))
@@ -134,37 +169,20 @@ def shapes_of(text: str, limits: Limits = Limits()) -> list[tuple[Shape, int]]:
 
 
 def score(text: str | None, limits: Limits = Limits()) -> float:
-    """The share of the text in its most frequent non-sentence shapes; 0 for null, blank and very short texts."""
+    """The share of the text in non-sentence shapes; 0 for null, blank and very short texts."""
     if not text or text.isspace():
         return 0.0
-    lines = shapes_of(text, limits)
+    parts = _read(plain_signs(text), limits)
+    few = _repeated(parts, limits)
+    if not any(few) and not any(p.links or len(p.tags) > 1 for p in parts):  # no line can be of such a shape
+        return 0.0
+    lines = _shapes(parts, few, limits)
     weight: Counter[Shape] = Counter()
     for shape, n in lines:
         weight[shape] += n
-    bad = sorted((n for s, n in weight.items() if s.label in ("links", "tags", "keywords")), reverse=True)
     if sum(s.links + s.tags + s.words for s, _ in lines) < limits.least:
         return 0.0
-    return sum(bad[: limits.shapes]) / max(1, sum(weight.values()))
-
-
-def suspects(texts: list[str], limits: Limits = Limits()) -> np.ndarray:
-    """Which texts may be such pages at all, by word windows of the whole batch. Only these are read line by line."""
-    words = words_of(texts)
-    out = np.array([t.count("http") + t.count("](") + t.count("#") + t.count("www.") + t.count("：／／") > 4 for t in texts], bool)
-    if len(words.hashes):
-        first = np.searchsorted(words.text, np.arange(len(texts)))
-        window = words.text * (1 << 32) + (np.arange(len(words.text)) - first[words.text]) // limits.window
-        ids, at, n = np.unique(window, return_index=True, return_counts=True)
-        inside = np.repeat(np.arange(len(ids)), n)
-        order = np.lexsort((words.hashes, inside))
-        h, w = words.hashes[order], inside[order]
-        new = np.ones(len(h), bool)
-        new[1:] = (h[1:] != h[:-1]) | (w[1:] != w[:-1])
-        low = np.bincount(w[new], minlength=len(ids)) < limits.looser * n
-        of = words.text[at]
-        share = np.bincount(of, low, len(texts)) / np.maximum(1, np.bincount(of, minlength=len(texts)))
-        out |= share >= limits.windows
-    return out
+    return sum(n for s, n in weight.items() if s.label in ("links", "tags", "keywords")) / max(1, sum(weight.values()))
 
 
 def found(df: DataFrame, record: str, column: str, limits: Limits = Limits()) -> DataFrame:
@@ -173,7 +191,6 @@ def found(df: DataFrame, record: str, column: str, limits: Limits = Limits()) ->
     @F.pandas_udf("double")
     def share(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in texts:
-            texts = batch.tolist()
-            yield pd.Series([score(t, limits) if s else 0.0 for t, s in zip(texts, suspects(texts, limits))], dtype=float)
+            yield pd.Series([score(t, limits) for t in batch], dtype=float)
 
     return df.where(F.col(column).isNotNull()).select(F.col(record), share(F.col(column)).alias("share")).where(F.col("share") > limits.page).select(record).distinct()

@@ -244,5 +244,18 @@ def test_keyword_pages():
         assert spam.score(good) <= 0.6
 
 
+def test_long_lists_and_many_shapes_are_keyword_pages(spark):
+    rng = random.Random(10)
+    make = lambda k, n: ["".join(rng.choice("bdfglmnprstvz") + rng.choice("aeiou") for _ in range((n + 1) // 2))[:n] for _ in range(k)]
+    long, short = make(75, 7), make(49, 6)
+    lines = [" ".join(rng.choice(short[:12]).title() if rng.random() < c / 10 else rng.choice(short[:12]) for _ in range(n)) + e for c in range(0, 11, 2) for n in (3, 6, 12, 25) for e in ("", " | " + short[0] + " | " + short[1] + " |", ".")]
+    pages = [", ".join(long * 100), " ".join(long * 100), "\n".join(long * 100), ", ".join(short * 20), "\n".join(lines * 3)]
+    glossary = "\n".join(f"{a.title()} - {b} {c}" for a, b, c in zip(make(60, 6), make(60, 8), make(60, 6)))
+    figures = "\n".join(f"| lamp | {rng.randint(100, 99999)} | {rng.random():.5f} | {rng.randint(1000, 9999999)} |" for _ in range(100))
+    real = "\n".join("The keeper of the harbour wrote that the tide was high and the boats were late again." for _ in range(3)) + "\n" + glossary
+    df = spark.createDataFrame(list(enumerate([*pages, glossary, figures, real, None])), "d long, t string")
+    assert sorted(r["d"] for r in spam.found(df, "d", "t").collect()) == list(range(len(pages)))
+
+
 def test_queries_are_registered():
     assert {f"p{n}_found" for n in (1, 2, 3, 5, 6, 8, 9)} | {"p7_ids"} <= set(queries.queries())
