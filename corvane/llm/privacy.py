@@ -101,14 +101,12 @@ class Text:
             self._edit([(m.start(), m.end(), " " if m[0][0] == "&" and m[0] != "&quot;" or m[0].lower().startswith("<br") else "") for m in INLINE.finditer(t)])
 
     def spelled(self) -> None:
-        low = self.out.lower()
-        if any(w in low for w in ("zero", "seven", "ноль", "семь", "null ", "sieben", "zéro", "sept ")):
-            edits = []
-            for m in SPELLED.finditer(self.out):
-                for w in re.finditer(r"[^\W\d_]+|[\s-]+", m[0]):
-                    v = w[0].lower()
-                    edits.append((m.start() + w.start(), m.start() + w.end(), DIGITS.get(v, "+" if v in ("plus", "плюс") else "")))
-            self._edit(edits)
+        edits = []
+        for m in SPELLED.finditer(self.out):
+            for w in re.finditer(r"[^\W\d_]+|[\s-]+", m[0]):
+                v = w[0].lower()
+                edits.append((m.start() + w.start(), m.start() + w.end(), DIGITS.get(v, "+" if v in ("plus", "плюс") else "")))
+        self._edit(edits)
 
     def lines(self) -> None:
         """In a text wrapped at a fixed width, the ends of lines inside paragraphs become blanks."""

@@ -149,6 +149,16 @@ def test_personal_data(text, expected):
     assert [(s.kind, text[s.start : s.end]) for s in privacy.detect(text)] == expected
 
 
+@pytest.mark.parametrize("text,expected", [
+    ("call plus four nine one five one two three four five six eight now", [("PHONE", "plus four nine one five one two three four five six eight")]),
+    ("Nummer eins-null-zwei-drei-vier-fünf-eins-zwei-drei-null\nEnde", [("ID_NUMBER", "eins-null-zwei-drei-vier-fünf-eins-zwei-drei-null")]),
+    ("numéro un deux trois quatre cinq six huit neuf un deux fin", [("ID_NUMBER", "un deux trois quatre cinq six huit neuf un deux")]),
+    ("one two three four", []),
+])
+def test_spelled_numbers_of_any_digits(text, expected):
+    assert [(s.kind, text[s.start : s.end]) for s in privacy.detect(text)] == expected
+
+
 def test_redaction_keeps_the_rest(spark):
     df = spark.createDataFrame([(1, "Mail ivo@mail.test, or +44 7700 900123."), (2, None), (3, "nothing")], "id int, t string")
     assert [r["t"] for r in privacy.redacted(df, "t").orderBy("id").collect()] == ["Mail [EMAIL], or [PHONE].", None, "nothing"]
