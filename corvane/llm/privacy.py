@@ -36,7 +36,7 @@ ODD = re.compile(r"[\x00-\x08\x0e-\x1f\xa0\xad\u2000-\u200f\u2010\u2011\u202a-\u
 MIXED = re.compile(r"[A-Za-z][\u0370-\u04ff]|[\u0370-\u04ff][A-Za-z]")
 WORD = re.compile(r"[^\W\d_]+")
 INLINE = re.compile(
-    r"(?=[<*~`'\[\]\\}!_&])(?:</?[A-Za-z][^<>\n]{0,120}>|\*\*|~~|`|'''?|\[\[(?![A-Z]+_\d)(?:[^\[\]|\n]{0,60}\|)?|(?<=[^\d\]])\]\]|(?<=\d)\]\](?<!_\d\d\d\d\]\])|\\(?:emph|textbf|texttt|textit)\{|(?<=[\w.)])\}"
+    r"(?=[<*~`'\[\]\\}!_&])(?:</?(?!(?:at|chez|arobase|dot|punkt|point)\s*>)[A-Za-z][^<>\n]{0,120}>|\*\*|~~|`|'''?|\[\[(?![A-Z]+_\d)(?:[^\[\]|\n]{0,60}\|)?|(?<=[^\d\]])\]\]|(?<=\d)\]\](?<!_\d\d\d\d\]\])|\\(?:emph|textbf|texttt|textit)\{|(?<=[\w.)])\}"
     r"|!?\[(?=[^\]\[\n]{1,120}\]\([^)\s]*\))|\]\([^)\s]*\)|(?<![\w@.+])_(?=\w)|(?<=[\w.])_(?![\w@.+])|&quot;|&nbsp;|&mdash;|&#8211;|(?<=\S)~(?=\s))"
 )
 # The names of the digits in the four languages.
@@ -123,11 +123,17 @@ class Text:
 # --- Detectors ---
 
 EMAIL = re.compile(r"(?<![\w.+%-])[^\W_][\w.+%-]{0,80}@[^\W_](?:[\w-]*[^\W_])?(?:\.[^\W_](?:[\w-]*[^\W_])?)+")
-_AT = r"(?:\s*[\[({<]\s*(?:at|собака|chez|arobase|ät)\s*[\])}>]\s*|\s+(?:at|собака|arobase)\s+|\s*@\s*)"
-_DOT = r"(?:\s*[\[({<]\s*(?:dot|точка|punkt|point)\s*[\])}>]\s*|\s+(?:dot|точка)\s+|\.)"
+# Words for the signs of an address, in brackets and (the second of each) also bare.
+_AT_WORDS, _AT_BARE = "at|собака|chez|arobase|ät", "at|собака|arobase"
+_DOT_WORDS, _DOT_BARE = "dot|точка|punkt|point", "dot|точка"
+_AT = rf"(?:\s*[\[({{<]\s*(?:{_AT_WORDS})\s*[\])}}>]\s*|\s+(?:{_AT_BARE})\s+|\s*@\s*)"
+_DOT = rf"(?:\s*[\[({{<]\s*(?:{_DOT_WORDS})\s*[\])}}>]\s*|\s+(?:{_DOT_BARE})\s+|\.)"
 WRITTEN_EMAIL = re.compile(rf"(?<![\w.+@-])[^\W_][\w.+-]{{0,80}}{_AT}[^\W_][\w-]*(?:{_DOT}[^\W_][\w-]*)+", re.I)
-_SIGNS = (" dot ", "(dot", "[dot", "{dot", "(at)", "[at]", "{at}", " точка ", "(точка", "[точка", "собака", "arobase")
-WRITTEN_SIGN = re.compile(r"[\[({]\s*(?:at|dot|собака|точка|arobase)\s*[\])}]|\s(?:dot|точка)\s", re.I)
+#: What only a written-out address has; a bare 'at' before a domain is none.
+_BARE = tuple(sorted({*_AT_BARE.split("|"), *_DOT_BARE.split("|")} - {"at"}))
+_BRACKETED = rf"[\[({{<]\s*(?:{_AT_WORDS}|{_DOT_WORDS})\s*[\])}}>]"
+BRACKETED_SIGN = re.compile(_BRACKETED, re.I)
+WRITTEN_SIGN = re.compile(rf"{_BRACKETED}|\s(?:{'|'.join(_BARE)})\s", re.I)
 
 NUMBERS = re.compile(r"[+(]?\d[\d ().\-]{7,}\d")
 PHONES = re.compile(
@@ -181,16 +187,24 @@ def _names(text: str, low: str) -> Iterator[tuple[int, int]]:
                     yield a, b
 
 
-def _near(low: str, anchors: tuple[str, ...], before: int, after: int) -> list[tuple[int, int]]:
-    """Windows around the anchors, joined where they overlap. Patterns run inside them, so their work is bounded."""
+def _places(low: str, anchors: tuple[str, ...]) -> list[tuple[int, int]]:
     at = []
     for a in anchors:
         i = low.find(a)
         while i >= 0:
-            at.append((max(0, i - before), i + len(a) + after))
+            at.append((i, i + len(a)))
             i = low.find(a, i + 1)
+    return at
+
+
+def _near(low: str, anchors: tuple[str, ...], before: int, after: int) -> list[tuple[int, int]]:
+    """Windows around the anchors, joined where they overlap. Patterns run inside them, so their work is bounded."""
+    return _windows(_places(low, anchors), before, after)
+
+
+def _windows(at: list[tuple[int, int]], before: int, after: int) -> list[tuple[int, int]]:
     out: list[tuple[int, int]] = []
-    for a, b in sorted(at):
+    for a, b in sorted((max(0, a - before), b + after) for a, b in at):
         if out and a <= out[-1][1]:
             out[-1] = (out[-1][0], max(b, out[-1][1]))
         else:
@@ -213,7 +227,8 @@ def detect(text: str | None) -> list[Span]:
     found: list[tuple[int, int, int, str]] = []  # the third puts surer kinds first
     for a, b in _near(low, ("@",), 100, 160):
         found += [(m.start(), m.end(), 0, "EMAIL") for m in EMAIL.finditer(s, a, b)]
-    for a, b in _near(low, _SIGNS, 120, 160):
+    signs = [m.span() for m in BRACKETED_SIGN.finditer(s)] + _places(low, _BARE)
+    for a, b in _windows(signs, 120, 160):
         found += [(m.start(), m.end(), 1, "EMAIL") for m in WRITTEN_EMAIL.finditer(s, a, b) if WRITTEN_SIGN.search(m[0])]
     for anchors, pattern in ADDRESSES:
         for a, b in _near(low, anchors, 70, 70):

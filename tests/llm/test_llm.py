@@ -159,6 +159,14 @@ def test_spelled_numbers_of_any_digits(text, expected):
     assert [(s.kind, text[s.start : s.end]) for s in privacy.detect(text)] == expected
 
 
+@pytest.mark.parametrize("mail", ["ivo (ät) firma (punkt) de", "ivo [chez] firme (point) fr", "ivo ( at ) mail.test", "ivo <at> mail.test", "ivo собака mail.test", "ivo arobase firme.fr", "ivo@firma < punkt > de"])
+@pytest.mark.parametrize("after", ["", " <b>now</b>"])
+def test_written_addresses_in_all_forms(mail, after):
+    text = f"Write: {mail}, today{after}"
+    assert [(s.kind, text[s.start : s.end]) for s in privacy.detect(text)] == [("EMAIL", mail)]
+    assert privacy.detect("Look at mail.test, the point (c) is made") == []
+
+
 def test_redaction_keeps_the_rest(spark):
     df = spark.createDataFrame([(1, "Mail ivo@mail.test, or +44 7700 900123."), (2, None), (3, "nothing")], "id int, t string")
     assert [r["t"] for r in privacy.redacted(df, "t").orderBy("id").collect()] == ["Mail [EMAIL], or [PHONE].", None, "nothing"]
