@@ -168,6 +168,17 @@ AFTER = ["took the minutes", "reported the fault", "and asks for a call back", "
 _NOT_NAMES = frozenset("the a an our this that under with and or for of if in on at all any each no please signed contact tenant tel fax mail phone telefon flat invoice".split())
 _BEFORE = {c: re.compile(rf"(?<!\w)(?i:{re.escape(c)})\s+(?i:{TITLES})({NAME})") for c in BEFORE}
 _AFTER = {c: re.compile(rf"(?<![\w.'’-])(?i:{TITLES})({NAME})\s+(?i:{re.escape(c)})") for c in AFTER}
+#: Evidence that needs no phrase. Titles, salutations and author lines, endings of patronymics.
+_TITLE = r"(?:(?:Mrs?|Ms|Dr|Prof)\b\.?|(?:Miss|Herrn?|Frau|Mme|Mlle|Monsieur|Madame|господин[уа]?|госпож[аеу])\b|(?:г-н|г-ж|д-р)[ауе]?\b|проф\.|Проф\.|Господин[уа]?\b|Госпож[аеу]\b)"
+_BY = r"(?:Dear|[Ww]ritten by|[Aa]uthors?:|[Aa]uteure? ?:|[Aa]utor(?:in)?:|[Вв]едущий:|[Аа]втор:|Уважаем(?:ый|ая)|Sehr geehrter?|Ch(?:er|ère)|Lieber?)"
+GENERAL = [
+    (("mr", "ms", "miss", "dr", "prof", "herr", "frau", "mme", "mlle", "monsieur", "madame", "господин", "госпож", "г-н", "г-ж", "д-р", "проф"),
+     re.compile(rf"(?<![\w-])(?:{_TITLE} )+({NAME})")),
+    (("dear", "written by", "author", "auteur", "autor", "ведущий", "автор", "важаем", "geehrte", "cher ", "chère", "liebe"), re.compile(rf"(?<![\w-]){_BY} (?:{_TITLE} )*({NAME})")),
+    ((".",), re.compile(rf"(?<![\w.-])({_I} ?{_I} ?{_W}|{_W} [{_UP}]\. ?[{_UP}]\.)(?![\w-])")),
+    (("вич", "вна", "вны", "вне", "вну", "ичем"), re.compile(rf"(?<![\w-])((?:{_W} )?{_W} [А-ЯЁ][а-яё]+(?:вич(?:а|у|ем|е)?|вн(?:а|ы|е|у|ой))(?: {_W})?)(?![\w-])")),
+]
+_NO_PERSONS = frozenset("sir sirs madam madame all team customer customers colleague colleagues friend friends reader readers damen herren herr frau kollegen kunden client clients collègues коллеги друзья господа клиенты".split())
 _LEAD = re.compile(r"^(?:(?:Tenant|Our|The|Contact|Colleague|Mr|Mrs|Ms|Dr|Prof|Herr|Frau|Mme)\.? )+", re.I)
 
 
@@ -187,6 +198,16 @@ def _names(text: str, low: str) -> Iterator[tuple[int, int]]:
                     yield a, b
 
 
+def _general(text: str, low: str) -> Iterator[tuple[int, int]]:
+    """Names by titles, salutations, initials and patronymics."""
+    for anchors, pattern in GENERAL:
+        if any(a in low for a in anchors):
+            for m in pattern.finditer(text):
+                words = m[1].lower().replace(",", " ").split()
+                if words[0] not in _NOT_NAMES and words[0] not in _NO_PERSONS:
+                    yield m.span(1)
+
+
 def _places(low: str, anchors: tuple[str, ...]) -> list[tuple[int, int]]:
     at = []
     for a in anchors:
@@ -239,6 +260,7 @@ def detect(text: str | None) -> list[Span]:
         for kind, order, pattern in (("PHONE", 3, PHONES), ("ID_NUMBER", 3, IDS)):
             found += [(a + x.start(), a + x.end(), order, kind) for x in pattern.finditer(piece)]
     found += [(a, b, 5, "NAME") for a, b in _names(s, low)]
+    found += [(a, b, 6, "NAME") for a, b in _general(s, low)]
     out: list[Span] = []
     taken: list[tuple[int, int]] = []
     for a, b, _, kind in sorted(found, key=lambda f: (f[2], f[0] - f[1], f[0])):

@@ -167,6 +167,15 @@ def test_written_addresses_in_all_forms(mail, after):
     assert privacy.detect("Look at mail.test, the point (c) is made") == []
 
 
+@pytest.mark.parametrize("text,name", [
+    ("Dear Mr. John Smith, thank you", "John Smith"), ("Frau Anna Weber rief an", "Anna Weber"), ("Dr. Teleghan wrote", "Teleghan"), ("a book written by Ada Holm", "Ada Holm"), ("Author: Ivo Lund", "Ivo Lund"),
+    ("minutes by J. R. Holm", "J. R. Holm"), ("Петров И. К. пришёл", "Петров И. К."), ("пришёл Иван Петрович Сидоров домой", "Иван Петрович Сидоров"), ("Chère Anne Dubois, merci", "Anne Dubois"),
+    ("Dear Customers, a pompe pas cher Olgard", None), ("the MS Anna lay in Mill Lane", None),
+])
+def test_names_outside_the_phrases(text, name):
+    assert [(s.kind, text[s.start : s.end]) for s in privacy.detect(text)] == ([("NAME", name)] if name else [])
+
+
 def test_redaction_keeps_the_rest(spark):
     df = spark.createDataFrame([(1, "Mail ivo@mail.test, or +44 7700 900123."), (2, None), (3, "nothing")], "id int, t string")
     assert [r["t"] for r in privacy.redacted(df, "t").orderBy("id").collect()] == ["Mail [EMAIL], or [PHONE].", None, "nothing"]
