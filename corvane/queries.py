@@ -463,11 +463,16 @@ def table_excerpt(spark: SparkSession, folder: str) -> DataFrame:
 
 @query()
 def parent_contexts(spark: SparkSession, folder: str) -> DataFrame:
+    """Every piece of 450 characters of every document leads a request, and follows in those of the two documents before it."""
     d = table(spark, folder, "documents").where("text is not null and source is not null")
-    picked = d.withColumn("place", F.row_number().over(W.partitionBy("source").orderBy("doc_id"))).where("place <= 24")
+    of_source = W.partitionBy("source")
+    ordered = d.withColumn("i", F.row_number().over(of_source.orderBy("doc_id")) - 1).withColumn("n", F.count("*").over(of_source)).withColumn("pieces", F.greatest(F.lit(1), F.ceil(F.length("text") / F.lit(450))))
+    turned = ordered.withColumn("k", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2)))).where("k < n").withColumn("r", F.pmod(F.col("i") - F.col("k"), F.col("n")))
+    picked = turned.withColumn("most", F.max("pieces").over(W.partitionBy("source", "r"))).withColumn("piece", F.explode(F.expr("sequence(0L, most - 1)")))
+    start = (F.least("piece", F.col("pieces") - 1) * 450).cast("int")
     hits = picked.select(
-        F.col("source").alias("request_id"), "place", "document_id", "revision", F.col("doc_id").cast("string").alias("chunk_id"), F.lit(0).alias("char_start"), F.least(F.lit(450), F.length("text")).alias("char_end"),
-        F.substring("text", 1, 450).alias("text"), F.regexp_extract("relative_path", r"\.(\w+)$", 1).alias("source_type"),
+        F.concat_ws("/", "source", "r", "piece").alias("request_id"), (F.col("k") + 1).alias("place"), "document_id", "revision", F.concat_ws("/", "doc_id", start).alias("chunk_id"), start.alias("char_start"),
+        F.least(start + 450, F.length("text")).alias("char_end"), F.substring("text", start + 1, F.lit(450)).alias("text"), F.regexp_extract("relative_path", r"\.(\w+)$", 1).alias("source_type"),
     )
     return context.parents(hits, d, context.Budget(total=20_000, logical_parent=4_000)).select("request_id", "place", "document_id", "char_start", "char_end", F.length("text").alias("chars"), "context_scope")
 

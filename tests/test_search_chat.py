@@ -111,3 +111,14 @@ def test_windows_stream(spark, tmp_path):
     q.awaitTermination()
     assert sorted(r["total"] for r in spark.table("w").collect()) == [3.0, 4.0]
     assert sorted(r["n"] for r in streams.sessions(e.withColumn("ts", F.col("ts").cast("timestamp")), "1 hour").collect()) == [1, 2]
+
+
+def test_parent_contexts_cover_every_document(spark):
+    from corvane import queries
+
+    folder = "/root/testdata/sf0.001"
+    want = spark.read.parquet(f"{folder}/documents.parquet").where("text <> '' and source is not null")
+    got = queries.parent_contexts(spark, folder).cache()
+    assert want.join(got, "document_id", "left_anti").count() == 0
+    assert got.where("context_scope = 'logical_parent' and char_start > 0").count() > 0
+    assert got.groupBy("request_id").sum("chars").where("`sum(chars)` > 20000").count() == 0
