@@ -2,34 +2,45 @@
 
 A record is the set of its runs of k words. The Hamming distance of two indicator vectors is the size of the
 sets' symmetric difference, which is at most (1 - t) / (1 + t) * (|A| + |B|) for similar sets. A record's fingerprint
-has the parities of its elements by residue, so distances of fingerprints are never more than the sets' own. Distances
-of each fingerprint to reference fingerprints are computed once; by the triangle inequality a pair whose coordinates
-differ by more than the bound is discarded. Survivors are verified, on the fingerprints and then on the sets
-themselves. No filter loses a pair.
+has the parities of its elements by residue, so distances of fingerprints are never more than the sets' own.
+Reference fingerprints are taken from the data: of each two records that meet, the one that meets more others. The
+distances of records to the references they meet are computed once and kept in tables; by the triangle inequality a
+pair whose coordinates differ by more than the bound is discarded. Survivors are verified on the sets themselves. No
+filter loses a pair.
 
 Tables of distances alone would have to be compared for all pairs, so the pairs that reach the tables come from an
-exact prefix index: two similar sets share one of their rarest elements. Rarity is counted over all records in a
-table of fixed size. Copies (equal sets) are one class throughout.
+exact prefix index: two similar sets share `_shared` of their rarest elements. Rarity is counted over all records in a
+table of fixed size. Small sets, whose elements are frequent, are indexed by combinations of elements. Copies (equal
+sets) are one class throughout.
+
+What is shuffled of the index is four bytes of each element, its place and its record's number and size: tasks pack
+the entries of many records for one part into one row, so an entry costs at most 22 bytes however many parts there are.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import lru_cache
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from ..session import checkpointed
-from .words import distinct_runs
+from .words import _mix, distinct_runs
 
 #: Counters of the rarity table, by the upper bits of an element's hash; in blocks that are added up apart.
 RARITY_BITS, RARITY_BLOCKS = 16, 64
-#: Reference fingerprints; the first has no bit set, the others about half of all bits.
-REFERENCES = 16
-#: Elements of the prefix index that one task takes at most, on average.
-INDEX_ELEMENTS = 1_500_000
+#: Entries of the prefix index that one part holds, on average, and that a task packs at once.
+PART_ENTRIES, PACKED_ENTRIES = 1_500_000, 2_000_000
+#: Entries of one element that are compared at once; longer lists are cut into blocks, and pairs of blocks are spread over tasks.
+LIST_BLOCK = 32_768
+#: Records that meet one reference in one group of the distance tables at most, on average.
+TABLE_BLOCK = 4096
+#: Pairs that one group of the distance tables decides, on average.
+TABLE_ROWS = 200_000
 #: None: all pairs of all classes. A number is a limit that a caller may set: of a class of more members, only the first stands in pairs.
 COPIES: int | None = None
 #: Members of a class in one block, on average; one row pairs two blocks.
@@ -52,65 +63,241 @@ def _fingerprint(tokens: np.ndarray) -> bytes:
     return np.packbits((n & 1).astype(np.uint8)).tobytes()
 
 
-def _half(prints: np.ndarray) -> np.ndarray:
-    """Fingerprints of half as many bits, of the same sets."""
-    n = prints.shape[1] // 2
-    return prints[:, :n] ^ prints[:, n:]
-
-
-class _Tables:
-    """Fingerprints of one task's records and their distances to the references, for each number of bits."""
-
-    def __init__(self, prints: list[bytes]) -> None:
-        size = np.array(list(map(len, prints)))
-        self.size = size
-        self.row: dict[int, np.ndarray] = {}
-        self.print: dict[int, np.ndarray] = {}
-        self.far: dict[int, np.ndarray] = {}
-        at, rows = None, np.zeros(0, np.int64)
-        for n in sorted(set(size.tolist()), reverse=True):
-            while at is not None and at.shape[1] * 8 > n:
-                at = _half(at)
-                self._add(at.shape[1] * 8, rows, at)
-            own = np.flatnonzero(size == n)
-            new = np.frombuffer(b"".join(prints[i] for i in own), np.uint64).reshape(len(own), -1)
-            at, rows = (new, own) if at is None else (np.concatenate([at, new]), np.concatenate([rows, own]))
-            self._add(n, rows, at)
-
-    def _add(self, n: int, rows: np.ndarray, prints: np.ndarray) -> None:
-        row = np.full(len(self.size), -1)
-        row[rows] = np.arange(len(rows))
-        references = np.random.default_rng(n).integers(0, 1 << 64, (REFERENCES, n // 8), np.uint64)
-        references[0] = 0
-        self.row[n], self.print[n] = row, prints
-        self.far[n] = np.stack([np.bitwise_count(prints ^ r).sum(1, dtype=np.int32) for r in references], 1)
-
-    def near(self, a: np.ndarray, b: np.ndarray, most: np.ndarray) -> np.ndarray:
-        """Whether records a[i] and b[i] may be no more than most[i] apart."""
-        out = np.zeros(len(a), bool)
-        size = np.minimum(self.size[a], self.size[b])
-        for n in np.unique(size).tolist():
-            at = np.flatnonzero(size == n)
-            x, y = self.row[n][a[at]], self.row[n][b[at]]
-            good = np.abs(self.far[n][x] - self.far[n][y]).max(1) <= most[at]
-            at, x, y = at[good], x[good], y[good]
-            out[at] = np.bitwise_count(self.print[n][x] ^ self.print[n][y]).sum(1, dtype=np.int32) <= most[at]
-        return out
-
-
-def _prefix(n: int, threshold: float) -> int:
-    return n - math.ceil(threshold * n - 1e-9) + 1
+def _folded(prints: np.ndarray, width: int) -> np.ndarray:
+    """The fingerprints of the same sets in `width` words of 64 bits."""
+    while prints.shape[1] > width:
+        n = prints.shape[1] // 2
+        prints = prints[:, :n] ^ prints[:, n:]
+    return prints
 
 
-def similar_pairs(records: DataFrame, record: str, column: str, k: int, threshold: float) -> DataFrame:
-    """(id_a, id_b) of records whose sets of k-word runs have a Jaccard similarity of at least `threshold`.
+# --- The prefix index ---
 
-    Null and blank texts and texts of fewer than k words have no run and are in no pair. Equal rows of one id count
-    once. Copies (equal sets, whose texts may differ) are paired with each other and with everything their class is
-    similar to, however many they are.
+
+def _level(n: int, threshold: float) -> int:
+    """Elements in one key of the index for pairs whose larger set has n elements."""
+    return min(3 if n <= 10 else 2 if n <= 16 else 1, math.ceil(threshold * n - 1e-9))
+
+
+def _shared(n: np.ndarray | int) -> np.ndarray | int:
+    """Elements that two similar sets of at least n elements share among their prefixes, where keys are single elements."""
+    return 1 + n // 64
+
+
+def _prefix(n: int, threshold: float, shared: int) -> int:
+    """Of a set's n elements in the common order, how many must be looked at to see `shared` that a similar set has too."""
+    return min(n, n - math.ceil(threshold * n - 1e-9) + shared)
+
+
+@lru_cache(256)
+def _choices(n: int, level: int) -> np.ndarray:
+    return np.array(list(combinations(range(n), level)))
+
+
+def keys_of(tokens: np.ndarray, threshold: float) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(level, keys, places) of a set whose elements are given from the rarest to the most frequent."""
+    n = len(tokens)
+    for level in sorted({_level(m, threshold) for m in range(n, min(math.floor(n / threshold + 1e-9), 16 if n <= 16 else n) + 1)} | ({1} if math.floor(n / threshold + 1e-9) > 16 else set())):
+        if level == 1:
+            p = _prefix(n, threshold, _shared(n))
+            yield 1, tokens[:p], np.arange(p)
+        elif level <= n:
+            chosen = _choices(_prefix(n, threshold, level), level)
+            keys = np.full(len(chosen), level, np.uint64)
+            for c in np.sort(tokens[chosen], axis=1).T:  # in an order that doesn't depend on the set
+                keys = _mix(keys * np.uint64(0x9E3779B97F4A7C15) + c)
+            yield level, keys, np.zeros(len(chosen), np.int64)
+
+
+class _Entries:
+    """Entries of the index: of each the key's upper bits, its place, its record's class and size."""
+
+    def __init__(self, token: np.ndarray, place: np.ndarray, name: np.ndarray, n: np.ndarray, level: np.ndarray) -> None:
+        self.token, self.place, self.name, self.n, self.level = token, place, name, n, level
+
+    def take(self, at: np.ndarray | slice) -> _Entries:
+        return _Entries(self.token[at], self.place[at], self.name[at], self.n[at], self.level[at])
+
+    COLUMNS = ("tokens", "places", "names", "sizes", "counts", "levels")
+
+    def packed(self) -> tuple[bytes, ...]:
+        """Bytes of the columns; neighbouring entries of one record hold its class and size once."""
+        first = np.flatnonzero(np.diff(self.name, prepend=~self.name[:1]) != 0)
+        counts = np.diff(first, append=len(self.name)).astype(np.uint32)
+        one = (self.level[:1] if (self.level == self.level[:1]).all() else self.level).astype(np.uint8)
+        return self.token.tobytes(), self.place.tobytes(), self.name[first].tobytes(), self.n[first].tobytes(), counts.tobytes(), one.tobytes()
+
+    @staticmethod
+    def unpacked(rows: pd.DataFrame) -> _Entries:
+        def joined(column: str, kind: type) -> np.ndarray:
+            return np.frombuffer(b"".join(rows[column]), kind)
+
+        token, counts = joined("tokens", np.uint32), joined("counts", np.uint32)
+        level = np.concatenate([np.frombuffer(b * (len(t) // 4) if len(b) == 1 else b, np.uint8) for b, t in zip(rows["levels"], rows["tokens"])])
+        return _Entries(token, joined("places", np.uint16), np.repeat(joined("names", np.int64), counts), np.repeat(joined("sizes", np.int32), counts), level)
+
+
+def _met(e: _Entries, threshold: float, across: np.ndarray | None = None) -> pd.DataFrame:
+    """(x, y, met, need) of pairs whose entries, ordered by level, key and size, meet; `across`: only of different marks."""
+    found: list[pd.DataFrame] = []
+    step, alive = 1, np.arange(len(e.token) - 1)
+    while len(alive):  # each entry with the one `step` further on, until its key or the permitted size ends
+        alive = alive[alive + step < len(e.token)]
+        b = alive + step
+        alive = alive[(e.token[alive] == e.token[b]) & (e.level[alive] == e.level[b]) & (e.n[alive] >= threshold * e.n[b] - 1e-9)]
+        for a in np.array_split(alive, len(alive) // 1_000_000 + 1):
+            b = a + step
+            n, m, level = e.n[a], e.n[b], e.level[a]
+            need = np.where(level == 1, _shared(n), 1)
+            # what is left of both sets, with the elements that may be shared before, must do for the similarity
+            fits = np.minimum(n - e.place[a], m - e.place[b]) + need - 1 >= np.ceil(threshold / (1 + threshold) * (n + m) - 1e-9)
+            fits &= e.name[a] != e.name[b]
+            if across is not None:
+                fits &= across[a] != across[b]
+            x, y = e.name[a[fits]], e.name[b[fits]]
+            found.append(pd.DataFrame({"x": np.minimum(x, y), "y": np.maximum(x, y), "met": 1, "need": need[fits]}))
+        if sum(map(len, found)) > 1 << 21:
+            found = [_added(found)]
+        step += 1
+    return _added(found)
+
+
+def _added(found: list[pd.DataFrame]) -> pd.DataFrame:
+    if not found:
+        return pd.DataFrame({"x": [], "y": [], "met": [], "need": []}).astype("int64")
+    return pd.concat(found).groupby(["x", "y"], as_index=False).agg({"met": "sum", "need": "min"}).astype("int64")
+
+
+_PACKED = "tokens binary, places binary, names binary, sizes binary, counts binary, levels binary"
+
+
+def candidate_pairs(source: DataFrame, k: int, threshold: float, rarity: np.ndarray) -> DataFrame:
+    """(x, y) of classes that share enough of their rarest elements. `source`: (id, text)."""
+    shared = source.sparkSession.sparkContext.broadcast(rarity.astype(np.uint32 if rarity.max(initial=0) < 1 << 32 else np.uint64))
+    parts = max(8, math.ceil(rarity.sum() * (1 - threshold) / PART_ENTRIES))
+
+    def index(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        seen: set[int] = set()
+        held: list[tuple] = []
+        size = 0
+
+        def flushed() -> pd.DataFrame:
+            keys, place, level = (np.concatenate([h[i] for h in held]) for i in range(3))
+            names, sizes = (np.repeat(np.array([h[i] for h in held], t), [len(h[0]) for h in held]) for i, t in ((3, np.int64), (4, np.int32)))
+            part = (keys % np.uint64(parts)).astype(np.int32)
+            order = np.argsort(part, kind="stable")
+            whole = _Entries((keys >> np.uint64(32)).astype(np.uint32), np.minimum(place, 0xFFFF).astype(np.uint16), names, sizes, level).take(order)
+            part = part[order]
+            cuts = np.flatnonzero(np.diff(part, prepend=-1))
+            return pd.DataFrame([(int(part[c]), *whole.take(slice(c, d)).packed()) for c, d in zip(cuts, [*cuts[1:], len(part)])], columns=["part", *_Entries.COLUMNS])
+
+        for batch in batches:
+            hashes, bounds = distinct_runs(batch["text"].tolist(), k)
+            count = shared.value[(hashes >> np.uint64(64 - RARITY_BITS)).astype(np.int64)]
+            for a, b in zip(bounds[:-1], bounds[1:]):
+                if a == b or (own := _signature(hashes[a:b])) in seen:
+                    continue
+                if len(seen) < 1_000_000:  # copies in this task; those in others fall together in the index
+                    seen.add(own)
+                # ascending hashes break ties of rarity alike in all records
+                rare = hashes[a:b][np.argsort(count[a:b], kind="stable")]
+                for level, keys, place in keys_of(rare, threshold):
+                    held.append((keys, place, np.full(len(keys), level, np.uint8), own, int(b - a)))
+                    size += len(keys)
+                if size >= PACKED_ENTRIES:
+                    yield flushed()
+                    held.clear()
+                    size = 0
+        if held:
+            yield flushed()
+
+    def lists(group: pd.DataFrame) -> pd.DataFrame:
+        e = _Entries.unpacked(group)
+        e = e.take(np.lexsort((e.name, e.place, e.n, e.token, e.level)))
+        same = np.zeros(len(e.token), bool)  # copies in several tasks
+        same[1:] = (e.token[1:] == e.token[:-1]) & (e.level[1:] == e.level[:-1]) & (e.name[1:] == e.name[:-1]) & (e.place[1:] == e.place[:-1])
+        e = e.take(~same)
+        start = np.flatnonzero((np.diff(e.token, prepend=~e.token[:1]) != 0) | (np.diff(e.level, prepend=~e.level[:1]) != 0))
+        length = np.diff(start, append=len(e.token))
+        out, short = [], np.ones(len(e.token), bool)
+        for i in np.flatnonzero(length > LIST_BLOCK):  # to other tasks, in pairs of blocks whose sizes may be similar
+            short[start[i] : start[i] + length[i]] = False
+            cuts = [*range(start[i], start[i] + length[i], LIST_BLOCK), start[i] + length[i]]
+            blocks = [e.take(slice(c, d)) for c, d in zip(cuts, cuts[1:])]
+            for j, left in enumerate(blocks):
+                for h in range(j, len(blocks)):
+                    if left.n[-1] >= threshold * blocks[h].n[0] - 1e-9:
+                        for side in {j, h}:
+                            out.append((int(e.token[start[i]]), j, h, side, *blocks[side].packed()))
+        near = _met(e.take(short) if out else e, threshold).astype(object).assign(**dict.fromkeys(FAR))
+        far = pd.DataFrame(out, columns=FAR[1:], dtype=object).assign(part=group["part"].iloc[0], **dict.fromkeys(NEAR))
+        return (pd.concat([near, far]) if out else near)[[*NEAR, *FAR]]
+
+    NEAR, FAR = ["x", "y", "met", "need"], ["part", "token", "j", "h", "side", *_Entries.COLUMNS]
+
+    def crossed(group: pd.DataFrame) -> pd.DataFrame:
+        sides = [_Entries.unpacked(rows) for _, rows in group.groupby("side")]
+        mark = np.repeat(np.arange(len(sides)), [len(s.token) for s in sides])
+        e = _Entries(*[np.concatenate([getattr(s, c) for s in sides]) for c in ("token", "place", "name", "n", "level")])
+        order = np.argsort(e.n, kind="stable")
+        return _met(e.take(order), threshold, mark[order] if len(sides) > 1 else None)
+
+    indexed = source.mapInPandas(index, f"part int, {_PACKED}")
+    found = indexed.groupBy("part").applyInPandas(lists, f"x long, y long, met long, need long, part int, token long, j int, h int, side int, {_PACKED}")
+    near = found.where("x is not null").select("x", "y", "met", "need")
+    if rarity.max(initial=0) > LIST_BLOCK:  # no element's list is longer than its counter
+        found = checkpointed(found)
+        near = found.where("x is not null").select("x", "y", "met", "need")
+        far = found.where("x is null").drop("x", "y", "met", "need").groupBy("part", "token", "j", "h").applyInPandas(crossed, "x long, y long, met long, need long")
+        near = near.unionByName(far)
+    return near.groupBy("x", "y").agg(F.sum("met").alias("met"), F.min("need").alias("need")).where("met >= need").select("x", "y")
+
+
+# --- Distance tables ---
+
+
+def tabled(pairs: DataFrame, prints: DataFrame, threshold: float, groups: int = 8) -> DataFrame:
+    """The `pairs` (x, y) that distances to reference fingerprints don't discard. `prints`: (class, n, print).
+
+    The references are the records that meet most others. A table holds the distance of each record to each
+    reference it meets; a reference is at distance 0 from itself. What meets one reference is spread over groups of
+    bounded size.
     """
+    degree = pairs.select(F.explode(F.array("x", "y")).alias("c")).groupBy("c").agg(F.count("*").alias("d"))
+    sided = pairs.join(degree.select(F.col("c").alias("x"), F.col("d").alias("dx")), "x").join(degree.select(F.col("c").alias("y"), F.col("d").alias("dy")), "y")
+    first = F.col("dx") >= F.col("dy")
+    sided = sided.select(
+        F.when(first, F.col("x")).otherwise(F.col("y")).alias("reference"), F.when(first, F.col("y")).otherwise(F.col("x")).alias("class"),
+        F.pmod(F.xxhash64(F.when(first, F.col("y")).otherwise(F.col("x"))), F.ceil(F.greatest("dx", "dy") / F.lit(TABLE_BLOCK))).alias("block"),
+    )
+    rows = sided.unionByName(sided.select("reference", F.col("reference").alias("class"), "block").distinct())
+    rows = rows.join(prints, "class").withColumn("group", F.pmod(F.xxhash64("reference", "block"), F.lit(groups)))
+
+    def kept(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values(["reference", "block"], kind="stable").reset_index(drop=True)
+        width = group["print"].map(len).to_numpy() // 8
+        own = group[group["reference"] == group["class"]]
+        of = group[["reference", "block"]].merge(own.reset_index()[["reference", "block", "index"]], how="left")["index"].to_numpy()  # each row's reference
+        n = group["n"].to_numpy()
+        far = np.zeros(len(group), np.int64)
+        shared = np.minimum(width, width[of])
+        for w in np.unique(shared):
+            at = np.flatnonzero(shared == w)
+            for v in np.unique(np.stack([width[at], width[of[at]]], 1), axis=0):
+                some = at[(width[at] == v[0]) & (width[of[at]] == v[1])]
+                mine, theirs = (_folded(np.frombuffer(b"".join(group["print"].iloc[i]), np.uint64).reshape(len(i), -1), w) for i in (some, of[some]))
+                far[some] = np.bitwise_count(mine ^ theirs).sum(1, dtype=np.int64)
+        # of the two coordinates the reference's own is 0
+        good = (np.abs(far - far[of]) <= np.floor((1 - threshold) / (1 + threshold) * (n + n[of]) + 1e-9)) & (of != np.arange(len(group)))
+        x, y = group["reference"].to_numpy()[good], group["class"].to_numpy()[good]
+        return pd.DataFrame({"x": np.minimum(x, y), "y": np.maximum(x, y)})
+
+    return rows.groupBy("group").applyInPandas(kept, "x long, y long")
+
+
+def linked_classes(records: DataFrame, record: str, column: str, k: int, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """Membership (id, class) of all records with a run, and links (x, y) of classes that are similar, each given once."""
     source = records.select(F.col(record).cast("long").alias("id"), F.col(column).alias("text")).where("id is not null and text is not null")
-    spark = records.sparkSession
 
     def survey(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         counts = np.zeros(1 << RARITY_BITS, np.int64)
@@ -132,81 +319,22 @@ def similar_pairs(records: DataFrame, record: str, column: str, k: int, threshol
     blocks = surveyed.where("block >= 0").groupBy("block").applyInPandas(added, "block int, data binary").collect()
     rarity = np.concatenate([np.frombuffer(r.data, np.int64) for r in sorted(blocks)]) if blocks else np.zeros(1 << RARITY_BITS, np.int64)
     members = surveyed.where("block < 0").select("id", "class").distinct()
-    shared = spark.sparkContext.broadcast(rarity.astype(np.uint32 if rarity.max(initial=0) < 1 << 32 else np.uint64))
-    parts = max(8, math.ceil(rarity.sum() * (1 - threshold) / INDEX_ELEMENTS))
 
-    def index(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        seen: set[int] = set()
-        for batch in batches:
-            hashes, bounds = distinct_runs(batch["text"].tolist(), k)
-            count = shared.value[(hashes >> np.uint64(64 - RARITY_BITS)).astype(np.int64)]
-            where = (hashes % np.uint64(parts)).astype(np.int32)
-            out: list[tuple] = []
-            for a, b in zip(bounds[:-1], bounds[1:]):
-                if a == b or (own := _signature(hashes[a:b])) in seen:
-                    continue
-                if len(seen) < 1_000_000:  # copies in this task; those in others fall together in the index
-                    seen.add(own)
-                n = int(b - a)
-                # ascending hashes break ties of rarity alike in all records
-                rare = a + np.argsort(count[a:b], kind="stable")[: _prefix(n, threshold)]
-                part = where[rare]
-                by = np.argsort(part, kind="stable")
-                rare, part = rare[by], part[by]
-                cuts = np.flatnonzero(np.diff(part, prepend=-1))
-                place = np.minimum(by, 0xFFFF).astype(np.uint16)
-                seal = _fingerprint(hashes[a:b])
-                for c, d in zip(cuts, [*cuts[1:], len(part)]):
-                    out.append((int(part[c]), own, n, hashes[rare[c:d]].tobytes(), place[c:d].tobytes(), seal))
-            yield pd.DataFrame(out, columns=["part", "class", "n", "tokens", "places", "print"])
-
-    def candidates(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.drop_duplicates("class")
-        tables = _Tables(group["print"].tolist())
-        names = group["class"].to_numpy()
-        lengths = group["tokens"].map(len).to_numpy() // 8
-        tokens = np.frombuffer(b"".join(group["tokens"]), np.uint64)
-        place = np.frombuffer(b"".join(group["places"]), np.uint16).astype(np.int32)
-        own, n = np.repeat(np.arange(len(group)), lengths), np.repeat(group["n"].to_numpy().astype(np.int32), lengths)
-        order = np.lexsort((n, tokens))
-        tokens, place, own, n = tokens[order], place[order], own[order], n[order]
-        found = []
-        step, alive = 1, np.arange(len(tokens) - 1)
-        while len(alive):  # each entry with the one `step` further on, until its element or the permitted size ends
-            alive = alive[alive + step < len(tokens)]
-            b = alive + step
-            alive = alive[(tokens[alive] == tokens[b]) & (n[alive] >= threshold * n[b] - 1e-9)]
-            for a in np.array_split(alive, len(alive) // 1_000_000 + 1):
-                b = a + step
-                sizes = n[a] + n[b]
-                fits = np.minimum(n[a] - place[a], n[b] - place[b]) >= np.ceil(threshold / (1 + threshold) * sizes - 1e-9)
-                a, b, sizes = own[a[fits]], own[b[fits]], sizes[fits]
-                good = tables.near(a, b, np.floor((1 - threshold) / (1 + threshold) * sizes + 1e-9))
-                x, y = names[a[good]], names[b[good]]
-                if len(x):
-                    found.append(np.stack([np.minimum(x, y), np.maximum(x, y)], 1))
-                    if sum(map(len, found)) > 1 << 20:
-                        found = [np.unique(np.concatenate(found), axis=0)]
-            step += 1
-        pairs = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
-        return pd.DataFrame({"x": pairs[:, 0], "y": pairs[:, 1]})
-
-    indexed = source.mapInPandas(index, "part int, class long, n int, tokens binary, places binary, print binary")
-    pairs = indexed.groupBy("part").applyInPandas(candidates, "x long, y long").distinct()
-
-    first = members.groupBy("class").agg(F.min("id").alias("id"))
-    left, right = first.select(F.col("class").alias("x"), F.col("id").alias("ix")), first.select(F.col("class").alias("y"), F.col("id").alias("iy"))
-    survivors = checkpointed(pairs.join(left, "x").join(right, "y").select("x", "y", "ix", "iy"))
-
-    wanted = survivors.select(F.col("ix").alias("id")).union(survivors.select(F.col("iy").alias("id"))).distinct()
-    few = survivors.count() * 2 <= BROADCAST_IDS
+    pairs = checkpointed(candidate_pairs(source, k, threshold, rarity))
+    wanted = pairs.select(F.explode(F.array("x", "y")).alias("class")).distinct()
+    met = pairs.count()
+    few = met * 2 <= BROADCAST_IDS
+    firsts = members.join(F.broadcast(wanted) if few else wanted, "class", "left_semi").groupBy("class").agg(F.min("id").alias("id"))
 
     def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             hashes, bounds = distinct_runs(batch["text"].tolist(), k)
-            yield pd.DataFrame({"id": batch["id"], "tokens": [hashes[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:])]})
+            rows = [(c, len(s), _fingerprint(s), s.tobytes()) for c, a, b in zip(batch["class"].tolist(), bounds[:-1], bounds[1:]) if len(s := hashes[a:b])]
+            yield pd.DataFrame(rows, columns=["class", "n", "print", "tokens"])
 
-    needed = source.join(F.broadcast(wanted) if few else wanted, "id", "left_semi").mapInPandas(sets, "id long, tokens binary").dropDuplicates(["id"])
+    read = source.join(F.broadcast(firsts) if few else firsts, "id").select("class", "text").mapInPandas(sets, "class long, n int, print binary, tokens binary")
+    held = checkpointed(read.dropDuplicates(["class"]))
+    survivors = tabled(pairs, held.select("class", "n", "print"), threshold, max(8, met // TABLE_ROWS))
 
     @F.pandas_udf("boolean")
     def similar(a: pd.Series, b: pd.Series) -> pd.Series:
@@ -217,10 +345,32 @@ def similar_pairs(records: DataFrame, record: str, column: str, k: int, threshol
             out.append(both >= threshold * (len(s) + len(t) - both) - 1e-9)
         return pd.Series(out, dtype=bool)
 
-    ta = needed.select(F.col("id").alias("ix"), F.col("tokens").alias("ta"))
-    tb = needed.select(F.col("id").alias("iy"), F.col("tokens").alias("tb"))
-    linked = survivors.join(ta, "ix").join(tb, "iy").where(similar("ta", "tb")).select("x", "y")
-    return _expanded(members, linked)
+    ta = held.select(F.col("class").alias("x"), F.col("tokens").alias("ta"))
+    tb = held.select(F.col("class").alias("y"), F.col("tokens").alias("tb"))
+    return members, survivors.join(ta, "x").join(tb, "y").where(similar("ta", "tb")).select("x", "y").distinct()
+
+
+def similar_pairs(records: DataFrame, record: str, column: str, k: int, threshold: float) -> DataFrame:
+    """(id_a, id_b) of records whose sets of k-word runs have a Jaccard similarity of at least `threshold`.
+
+    Null and blank texts and texts of fewer than k words have no run and are in no pair. Equal rows of one id count
+    once. Copies (equal sets, whose texts may differ) are paired with each other and with everything their class is
+    similar to, however many they are.
+    """
+    return _expanded(*linked_classes(records, record, column, k, threshold))
+
+
+def similar_classes(records: DataFrame, record: str, column: str, k: int, threshold: float) -> DataFrame:
+    """(id, class_id, size, links): each record with its class of equal sets, named by its smallest id, and the number of other records it is similar to.
+
+    Rows are in proportion to the records, also where a class holds a third of them. Records without a run have no row.
+    """
+    members, linked = linked_classes(records, record, column, k, threshold)
+    sizes = members.groupBy("class").agg(F.count("*").alias("size"), F.min("id").alias("class_id"))
+    both = linked.unionByName(linked.select(F.col("y").alias("x"), F.col("x").alias("y")))
+    links = both.join(sizes.select(F.col("class").alias("y"), "size"), "y").groupBy(F.col("x").alias("class")).agg(F.sum("size").alias("others"))
+    known = sizes.join(links, "class", "left").select("class", "class_id", "size", (F.col("size") - 1 + F.coalesce("others", F.lit(0))).alias("links"))
+    return members.join(known, "class").select("id", "class_id", "size", "links")
 
 
 def _expanded(members: DataFrame, linked: DataFrame) -> DataFrame:

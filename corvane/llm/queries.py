@@ -28,6 +28,13 @@ def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     return texts.unionByName(paths).select("field", F.col("id_a").alias("doc_id_a"), F.col("id_b").alias("doc_id_b"))
 
 
+def p2_classes(spark: SparkSession, folder: str) -> DataFrame:
+    documents = table(spark, folder, "documents")
+    texts = neardup.similar_classes(documents, "doc_id", "text", 3, 0.6).withColumn("field", F.lit("text"))
+    paths = neardup.similar_classes(documents, "doc_id", "relative_path", 1, 0.7).withColumn("field", F.lit("relative_path"))
+    return texts.unionByName(paths).select("field", F.col("id").alias("doc_id"), "class_id", "size", "links")
+
+
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     return splitting.split(table(spark, folder, "documents"), "doc_id", longer_than=1000).distinct()
 
@@ -63,7 +70,7 @@ def p9_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict:
-    found = (p1_found, p1_text, p2_found, p3_found, p5_found, p5_text, p6_found, p6_text, p7_ids, p8_found, p9_found)
+    found = (p1_found, p1_text, p2_found, p2_classes, p3_found, p5_found, p5_text, p6_found, p6_text, p7_ids, p8_found, p9_found)
     return {f.__name__: f for f in found}
 
 

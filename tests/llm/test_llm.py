@@ -94,9 +94,29 @@ def test_fingerprints_never_exceed_the_distance():
     rng = np.random.default_rng(5)
     for _ in range(50):
         a, b = (np.unique(rng.integers(0, 300, rng.integers(1, 200)).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) for _ in range(2))
-        apart = len(np.setxor1d(a, b))
-        tables = neardup._Tables([neardup._fingerprint(a), neardup._fingerprint(b)])
-        assert tables.near(np.array([0]), np.array([1]), np.array([apart]))[0]
+        x, y = (np.frombuffer(neardup._fingerprint(s), np.uint64).reshape(1, -1) for s in (a, b))
+        width = min(x.shape[1], y.shape[1])
+        assert np.bitwise_count(neardup._folded(x, width) ^ neardup._folded(y, width)).sum() <= len(np.setxor1d(a, b))
+
+
+def test_long_lists_are_cut_into_blocks(spark, monkeypatch):
+    rng = random.Random(3)
+    vocabulary = [f"w{i}" for i in range(14)]
+    rows = [(i, " ".join(rng.sample(vocabulary, rng.choice([3, 5, 9, 12, 14])) + [f"u{j}" for j in range(rng.choice([0, 0, 30]))])) for i in range(120)]
+    expected = brute(rows, 1, 0.6)
+    monkeypatch.setattr(neardup, "LIST_BLOCK", 7)
+    monkeypatch.setattr(neardup, "TABLE_BLOCK", 3)
+    monkeypatch.setattr(neardup, "BROADCAST_IDS", 0)
+    monkeypatch.setattr(neardup, "PACKED_ENTRIES", 500)
+    got = neardup.similar_pairs(spark.createDataFrame(rows, "d long, t string"), "d", "t", 1, 0.6).collect()
+    assert len(expected) > 100 and sorted((r["id_a"], r["id_b"]) for r in got) == expected
+
+
+def test_classes_name_every_record_once(spark):
+    text = "one two three four five six seven eight"
+    rows = [(i, text if i % 2 else text.upper()) for i in range(40)] + [(100, text.replace("eight", "nine")), (101, "quite another text of several words"), (102, None), (103, " ")]
+    got = {r["id"]: (r["class_id"], r["size"], r["links"]) for r in neardup.similar_classes(spark.createDataFrame(rows * 2, "d long, t string"), "d", "t", 3, 0.6).collect()}
+    assert got == {i: (0, 40, 40) for i in range(40)} | {100: (100, 1, 40), 101: (101, 1, 0)}
 
 
 # --- 3 ---
@@ -117,7 +137,7 @@ def cut(t, limit=1000, overlap=120):
                     break
         last = len(t[:end].rstrip()) if t[:end].rstrip() else end
         out.append((at, last))
-        if end >= n:
+        if last >= n:
             break
         at = max(last - overlap, at + 1)
     return out
