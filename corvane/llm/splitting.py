@@ -53,7 +53,11 @@ class Strongest:
 
 
 def pieces(text: str, limit: int = 1000, overlap: int = 120, least: int = 80, share: float = 0.65) -> list[tuple[int, int]]:
-    """(start, end) of each piece in code points. A text without anything but blanks has none."""
+    """(start, end) of each piece in code points. A text without anything but blanks has none.
+
+    A piece is the last if it reaches the end of the text after the blanks at its end are dropped. Where blanks end a
+    text none does, so pieces follow from every further non-blank place within the overlap of the last one.
+    """
     codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
     blank = np.isin(codes, BLANKS) if not text.isascii() else (codes == 32) | ((codes >= 9) & (codes <= 13)) | ((codes >= 28) & (codes <= 31))
     solid = np.flatnonzero(~blank)
@@ -75,7 +79,7 @@ def pieces(text: str, limit: int = 1000, overlap: int = 120, least: int = 80, sh
             end = _cut(value, index, start + low, start + limit)
         last = int(solid[np.searchsorted(solid, end) - 1]) + 1
         out.append((start, last))
-        if end >= n or last >= n:
+        if last >= n:
             break
         at = max(last - overlap, start + 1)
     return out
