@@ -1,25 +1,27 @@
 """Near-duplicate texts and paths (problem 2): all pairs of sets with a Jaccard similarity of at least a threshold.
 
-A record is the set of its runs of k words. The Hamming distance of two indicator vectors is the size of the
-sets' symmetric difference, which is at most (1 - t) / (1 + t) * (|A| + |B|) for similar sets. A record's fingerprint
-has the parities of its elements by residue, so distances of fingerprints are never more than the sets' own.
-Reference fingerprints are taken from the data: of each two records that meet, the one that meets more others. The
-distances of records to the references they meet are computed once and kept in tables; by the triangle inequality a
-pair whose coordinates differ by more than the bound is discarded. Survivors are verified on the sets themselves. No
-filter loses a pair.
+A record is the set of its runs of k words. Sets are cut into regions by their elements' hashes: where two sets reach
+the threshold, they reach it in at least one region, so it is enough to look for pairs region by region. The Hamming
+distance of two indicator vectors is the size of the sets' symmetric difference, which is at most
+(1 - t) / (1 + t) * (|A| + |B|) for similar sets. A region's fingerprint has 64 parities of its elements by residue, so
+distances of fingerprints are never more than the sets' own.
 
 Tables of distances alone would have to be compared for all pairs, so the pairs that reach the tables come from an
-exact prefix index: two similar sets share `_shared` of their rarest elements. Rarity is counted over all records in a
-table of fixed size. Small sets, whose elements are frequent, are indexed by combinations of elements. Copies (equal
-sets) are one class throughout.
-
-What is shuffled of the index is four bytes of each element, its place and its record's number and size: tasks pack
-the entries of many records for one part into one row, so an entry costs at most 22 bytes however many parts there are.
+exact prefix index: two similar sets share one of their rarest elements. Rarity is counted over all records in a table
+of fixed size. Small sets, whose elements are frequent, are indexed by combinations of elements. Of each list of the
+index up to REFERENCES members are the reference fingerprints; the distances of all members to them are computed once,
+and by the triangle inequality a pair whose coordinates differ by more than the bound anywhere is discarded. Survivors
+are verified, on the fingerprints and then on the sets themselves. No filter loses a pair. Copies (equal sets) are one
+class throughout.
+
+Tasks pack the entries of many records for one part of the index into one row, so an entry costs at most 24 bytes of
+shuffle however many parts there are.
 """
 
 from __future__ import annotations
 
 import math
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import combinations
@@ -34,13 +36,13 @@ from .words import _mix, distinct_runs
 #: Counters of the rarity table, by the upper bits of an element's hash; in blocks that are added up apart.
 RARITY_BITS, RARITY_BLOCKS = 16, 64
 #: Entries of the prefix index that one part holds, on average, and that a task packs at once.
-PART_ENTRIES, PACKED_ENTRIES = 1_500_000, 2_000_000
-#: Entries of one element that are compared at once; longer lists are cut into blocks, and pairs of blocks are spread over tasks.
+PART_ENTRIES, PACKED_ENTRIES = 1_500_000, 1_000_000
+#: Groups of regions that parts are made of.
+REGION_GROUPS = 8
+#: Members of a list that are references, spread over its sizes.
+REFERENCES = 16
+#: Entries of one list that are compared at once; longer lists are cut into blocks, and pairs of blocks are spread over tasks.
 LIST_BLOCK = 32_768
-#: Records that meet one reference in one group of the distance tables at most, on average.
-TABLE_BLOCK = 4096
-#: Pairs that one group of the distance tables decides, on average.
-TABLE_ROWS = 200_000
 #: None: all pairs of all classes. A number is a limit that a caller may set: of a class of more members, only the first stands in pairs.
 COPIES: int | None = None
 #: Members of a class in one block, on average; one row pairs two blocks.
@@ -56,22 +58,18 @@ def _signature(tokens: np.ndarray) -> int:
     return int(x.astype(np.int64))
 
 
-def _fingerprint(tokens: np.ndarray) -> bytes:
-    """Parities of the elements by residue, in 1.5 to 3 bits an element. The number of bits is a power of two, at least 128."""
-    bits = max(128, 1 << math.ceil(math.log2(1.5 * len(tokens))))
-    n = np.bincount((tokens & np.uint64(bits - 1)).astype(np.int64), minlength=bits)
-    return np.packbits((n & 1).astype(np.uint8)).tobytes()
+def _fingerprint(tokens: np.ndarray) -> int:
+    """64 parities of the elements by residue."""
+    n = np.bincount((tokens & np.uint64(63)).astype(np.int64), minlength=64)
+    return int(np.packbits((n & 1).astype(np.uint8)).view(np.uint64)[0])
 
 
-def _folded(prints: np.ndarray, width: int) -> np.ndarray:
-    """The fingerprints of the same sets in `width` words of 64 bits."""
-    while prints.shape[1] > width:
-        n = prints.shape[1] // 2
-        prints = prints[:, :n] ^ prints[:, n:]
-    return prints
+# --- The prefix index ---
 
 
-# --- The prefix index ---
+def _regions(n: int) -> int:
+    """Regions of pairs whose larger set has n elements; of 5 to 40 elements each."""
+    return 8 ** max(0, math.ceil(math.log(max(n, 1) / 40, 8) - 1e-9))
 
 
 def _level(n: int, threshold: float) -> int:
@@ -79,9 +77,12 @@ def _level(n: int, threshold: float) -> int:
     return min(3 if n <= 10 else 2 if n <= 16 else 1, math.ceil(threshold * n - 1e-9))
 
 
-def _shared(n: np.ndarray | int) -> np.ndarray | int:
-    """Elements that two similar sets of at least n elements share among their prefixes, where keys are single elements."""
-    return 1 + n // 64
+@lru_cache(100_000)
+def _forms(n: int, threshold: float) -> list[tuple[int, int]]:
+    """(level, regions) of all pairs that a set of n elements may be the smaller one of."""
+    largest = math.floor(n / threshold + 1e-9)
+    sizes = [*range(n, min(largest, 16) + 1), n, largest, *(m for e in range(1, 12) if n < (m := 40 * 8**e) <= largest), *([17] if n < 17 <= largest else []), *([40] if n <= 40 <= largest else [])]
+    return sorted({(_level(m, threshold), _regions(m)) for m in sizes})
 
 
 def _prefix(n: int, threshold: float, shared: int) -> int:
@@ -94,87 +95,108 @@ def _choices(n: int, level: int) -> np.ndarray:
     return np.array(list(combinations(range(n), level)))
 
 
-def keys_of(tokens: np.ndarray, threshold: float) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(level, keys, places) of a set whose elements are given from the rarest to the most frequent."""
-    n = len(tokens)
-    for level in sorted({_level(m, threshold) for m in range(n, min(math.floor(n / threshold + 1e-9), 16 if n <= 16 else n) + 1)} | ({1} if math.floor(n / threshold + 1e-9) > 16 else set())):
-        if level == 1:
-            p = _prefix(n, threshold, _shared(n))
-            yield 1, tokens[:p], np.arange(p)
-        elif level <= n:
-            chosen = _choices(_prefix(n, threshold, level), level)
-            keys = np.full(len(chosen), level, np.uint64)
-            for c in np.sort(tokens[chosen], axis=1).T:  # in an order that doesn't depend on the set
-                keys = _mix(keys * np.uint64(0x9E3779B97F4A7C15) + c)
-            yield level, keys, np.zeros(len(chosen), np.int64)
+def _keys(tokens: np.ndarray, threshold: float, level: int) -> np.ndarray:
+    """Keys of a small set whose elements are given from the rarest to the most frequent."""
+    if level > len(tokens):
+        return tokens[:0]
+    chosen = tokens[_choices(_prefix(len(tokens), threshold, level), level)]
+    keys = np.full(len(chosen), level, np.uint64)
+    with np.errstate(over="ignore"):
+        for c in np.sort(chosen, axis=1).T:  # in an order that doesn't depend on the set
+            keys = _mix(keys * np.uint64(0x9E3779B97F4A7C15) + c)
+    return keys
+
+
+def entries_of(tokens: np.ndarray, count: np.ndarray, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(region, keys, sizes, prints) of a set: of each key its region's number, size and fingerprint. `count` says how frequent an element is."""
+    for level, regions in _forms(len(tokens), threshold):
+        if regions == 1:
+            order = np.argsort(count, kind="stable")  # ascending hashes break ties of rarity alike in all records
+            keys = _keys(tokens[order], threshold, level)
+            size = len(keys)
+            yield np.zeros(size, np.uint64), keys, np.full(size, len(tokens), np.uint16), np.full(size, _fingerprint(tokens), np.uint64)
+            continue
+        region = (tokens >> np.uint64(20)) % np.uint64(regions)
+        order = np.lexsort((tokens, count, region))
+        region, ordered = region[order], tokens[order]
+        start = np.flatnonzero(np.diff(region, prepend=~region[:1]))
+        size = np.diff(start, append=len(ordered))
+        parity = np.bitwise_xor.reduceat(np.uint64(1) << (ordered & np.uint64(63)), start)
+        place = np.arange(len(ordered)) - np.repeat(start, size)
+        kept = place < np.repeat(size - np.ceil(threshold * size - 1e-9).astype(np.int64) + 1, size)
+        of = np.repeat(np.arange(len(start)), size)[kept]
+        with np.errstate(over="ignore"):
+            yield _mix(region[kept] + np.uint64(regions)), _mix(ordered[kept] + np.uint64(regions)), np.minimum(size[of], 0xFFFF).astype(np.uint16), parity[of]
 
 
 class _Entries:
-    """Entries of the index: of each the key's upper bits, its place, its record's class and size."""
+    """Entries of the index: of each the key's upper bits, its record's class, and size and fingerprint of its region."""
 
-    def __init__(self, token: np.ndarray, place: np.ndarray, name: np.ndarray, n: np.ndarray, level: np.ndarray) -> None:
-        self.token, self.place, self.name, self.n, self.level = token, place, name, n, level
+    COLUMNS = ("tokens", "names", "sizes", "prints", "counts")
 
-    def take(self, at: np.ndarray | slice) -> _Entries:
-        return _Entries(self.token[at], self.place[at], self.name[at], self.n[at], self.level[at])
+    def __init__(self, token: np.ndarray, name: np.ndarray, n: np.ndarray, print_: np.ndarray) -> None:
+        self.token, self.name, self.n, self.print = token, name, n, print_
 
-    COLUMNS = ("tokens", "places", "names", "sizes", "counts", "levels")
+    def take(self, at: np.ndarray | slice) -> _Entries:
+        return _Entries(self.token[at], self.name[at], self.n[at], self.print[at])
 
     def packed(self) -> tuple[bytes, ...]:
-        """Bytes of the columns; neighbouring entries of one record hold its class and size once."""
-        first = np.flatnonzero(np.diff(self.name, prepend=~self.name[:1]) != 0)
-        counts = np.diff(first, append=len(self.name)).astype(np.uint32)
-        one = (self.level[:1] if (self.level == self.level[:1]).all() else self.level).astype(np.uint8)
-        return self.token.tobytes(), self.place.tobytes(), self.name[first].tobytes(), self.n[first].tobytes(), counts.tobytes(), one.tobytes()
+        """Bytes of the columns; neighbouring entries of one region of a record hold what they share once."""
+        first = np.flatnonzero((np.diff(self.name, prepend=~self.name[:1]) != 0) | (np.diff(self.print, prepend=~self.print[:1]) != 0) | (np.diff(self.n, prepend=~self.n[:1]) != 0))
+        counts = np.diff(first, append=len(self.name)).astype(np.uint16)  # a region's prefix is no longer
+        return self.token.tobytes(), self.name[first].tobytes(), self.n[first].tobytes(), self.print[first].tobytes(), counts.tobytes()
 
     @staticmethod
     def unpacked(rows: pd.DataFrame) -> _Entries:
-        def joined(column: str, kind: type) -> np.ndarray:
-            return np.frombuffer(b"".join(rows[column]), kind)
+        token, name, n, print_, counts = (np.frombuffer(b"".join(rows[c]), t) for c, t in zip(_Entries.COLUMNS, (np.uint32, np.int64, np.uint16, np.uint64, np.uint16)))
+        return _Entries(token, np.repeat(name, counts), np.repeat(n, counts), np.repeat(print_, counts))
+
 
-        token, counts = joined("tokens", np.uint32), joined("counts", np.uint32)
-        level = np.concatenate([np.frombuffer(b * (len(t) // 4) if len(b) == 1 else b, np.uint8) for b, t in zip(rows["levels"], rows["tokens"])])
-        return _Entries(token, joined("places", np.uint16), np.repeat(joined("names", np.int64), counts), np.repeat(joined("sizes", np.int32), counts), level)
+def _tables(e: _Entries) -> np.ndarray:
+    """The distance tables: a row for each entry, ordered by key, with its distances to the references of its list."""
+    start = np.flatnonzero(np.diff(e.token, prepend=~e.token[:1]) != 0)
+    length = np.diff(start, append=len(e.token))
+    out = np.empty((len(e.token), REFERENCES), np.int8)
+    for r in range(REFERENCES):
+        out[:, r] = np.bitwise_count(e.print ^ e.print[np.repeat(start + (r * length) // REFERENCES if r else start, length)])
+    return out
 
 
-def _met(e: _Entries, threshold: float, across: np.ndarray | None = None) -> pd.DataFrame:
-    """(x, y, met, need) of pairs whose entries, ordered by level, key and size, meet; `across`: only of different marks."""
-    found: list[pd.DataFrame] = []
+def _met(e: _Entries, threshold: float, across: np.ndarray | None = None, tally: Counter | None = None) -> pd.DataFrame:
+    """(x, y) of pairs whose entries, ordered by key and size, meet and which no distance discards; `across`: only of different marks."""
+    far = _tables(e) if len(e.token) else None
+    found: list[np.ndarray] = []
     step, alive = 1, np.arange(len(e.token) - 1)
     while len(alive):  # each entry with the one `step` further on, until its key or the permitted size ends
         alive = alive[alive + step < len(e.token)]
         b = alive + step
-        alive = alive[(e.token[alive] == e.token[b]) & (e.level[alive] == e.level[b]) & (e.n[alive] >= threshold * e.n[b] - 1e-9)]
+        alive = alive[(e.token[alive] == e.token[b]) & (e.n[alive] >= threshold * e.n[b] - 1e-9)]
         for a in np.array_split(alive, len(alive) // 1_000_000 + 1):
+            a = a[e.name[a] != e.name[a + step]] if across is None else a[(across[a] != across[a + step]) & (e.name[a] != e.name[a + step])]
             b = a + step
-            n, m, level = e.n[a], e.n[b], e.level[a]
-            need = np.where(level == 1, _shared(n), 1)
-            # what is left of both sets, with the elements that may be shared before, must do for the similarity
-            fits = np.minimum(n - e.place[a], m - e.place[b]) + need - 1 >= np.ceil(threshold / (1 + threshold) * (n + m) - 1e-9)
-            fits &= e.name[a] != e.name[b]
-            if across is not None:
-                fits &= across[a] != across[b]
-            x, y = e.name[a[fits]], e.name[b[fits]]
-            found.append(pd.DataFrame({"x": np.minimum(x, y), "y": np.maximum(x, y), "met": 1, "need": need[fits]}))
+            most = np.floor((1 - threshold) / (1 + threshold) * (e.n[a].astype(np.int64) + e.n[b]) + 1e-9)
+            good = np.abs(far[a] - far[b]).max(1, initial=0) <= most
+            if tally is not None:
+                tally.update(met=len(a), discarded=int((~good).sum()))
+            a, b, most = a[good], b[good], most[good]
+            good = np.bitwise_count(e.print[a] ^ e.print[b]) <= most
+            x, y = e.name[a[good]], e.name[b[good]]
+            if len(x):
+                found.append(np.stack([np.minimum(x, y), np.maximum(x, y)], 1))
         if sum(map(len, found)) > 1 << 21:
-            found = [_added(found)]
+            found = [np.unique(np.concatenate(found), axis=0)]
         step += 1
-    return _added(found)
-
-
-def _added(found: list[pd.DataFrame]) -> pd.DataFrame:
-    if not found:
-        return pd.DataFrame({"x": [], "y": [], "met": [], "need": []}).astype("int64")
-    return pd.concat(found).groupby(["x", "y"], as_index=False).agg({"met": "sum", "need": "min"}).astype("int64")
+    pairs = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
+    return pd.DataFrame({"x": pairs[:, 0], "y": pairs[:, 1]})
 
 
-_PACKED = "tokens binary, places binary, names binary, sizes binary, counts binary, levels binary"
+_PACKED = "tokens binary, names binary, sizes binary, prints binary, counts binary"
 
 
 def candidate_pairs(source: DataFrame, k: int, threshold: float, rarity: np.ndarray) -> DataFrame:
-    """(x, y) of classes that share enough of their rarest elements. `source`: (id, text)."""
+    """(x, y) of classes that no distance table discards, each once. `source`: (id, text)."""
     shared = source.sparkSession.sparkContext.broadcast(rarity.astype(np.uint32 if rarity.max(initial=0) < 1 << 32 else np.uint64))
-    parts = max(8, math.ceil(rarity.sum() * (1 - threshold) / PART_ENTRIES))
+    shares = max(1, math.ceil(rarity.sum() * (1 - threshold) / PART_ENTRIES / REGION_GROUPS))  # parts of each group of regions
 
     def index(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen: set[int] = set()
@@ -182,11 +204,11 @@ def candidate_pairs(source: DataFrame, k: int, threshold: float, rarity: np.ndar
         size = 0
 
         def flushed() -> pd.DataFrame:
-            keys, place, level = (np.concatenate([h[i] for h in held]) for i in range(3))
-            names, sizes = (np.repeat(np.array([h[i] for h in held], t), [len(h[0]) for h in held]) for i, t in ((3, np.int64), (4, np.int32)))
-            part = (keys % np.uint64(parts)).astype(np.int32)
+            region, keys, sizes, prints = (np.concatenate([h[i] for h in held]) for i in range(4))
+            names = np.repeat(np.array([h[4] for h in held], np.int64), [len(h[0]) for h in held])
+            part = ((region % np.uint64(REGION_GROUPS)) * np.uint64(shares) + keys % np.uint64(shares)).astype(np.int32)
             order = np.argsort(part, kind="stable")
-            whole = _Entries((keys >> np.uint64(32)).astype(np.uint32), np.minimum(place, 0xFFFF).astype(np.uint16), names, sizes, level).take(order)
+            whole = _Entries((keys >> np.uint64(32)).astype(np.uint32), names, sizes, prints).take(order)
             part = part[order]
             cuts = np.flatnonzero(np.diff(part, prepend=-1))
             return pd.DataFrame([(int(part[c]), *whole.take(slice(c, d)).packed()) for c, d in zip(cuts, [*cuts[1:], len(part)])], columns=["part", *_Entries.COLUMNS])
@@ -199,11 +221,9 @@ def candidate_pairs(source: DataFrame, k: int, threshold: float, rarity: np.ndar
                     continue
                 if len(seen) < 1_000_000:  # copies in this task; those in others fall together in the index
                     seen.add(own)
-                # ascending hashes break ties of rarity alike in all records
-                rare = hashes[a:b][np.argsort(count[a:b], kind="stable")]
-                for level, keys, place in keys_of(rare, threshold):
-                    held.append((keys, place, np.full(len(keys), level, np.uint8), own, int(b - a)))
-                    size += len(keys)
+                for entry in entries_of(hashes[a:b], count[a:b], threshold):
+                    held.append((*entry, own))
+                    size += len(entry[0])
                 if size >= PACKED_ENTRIES:
                     yield flushed()
                     held.clear()
@@ -211,13 +231,15 @@ def candidate_pairs(source: DataFrame, k: int, threshold: float, rarity: np.ndar
         if held:
             yield flushed()
 
+    NEAR, FAR = ["x", "y"], ["part", "token", "j", "h", "side", *_Entries.COLUMNS]
+
     def lists(group: pd.DataFrame) -> pd.DataFrame:
         e = _Entries.unpacked(group)
-        e = e.take(np.lexsort((e.name, e.place, e.n, e.token, e.level)))
+        e = e.take(np.lexsort((e.name, e.n, e.token)))
         same = np.zeros(len(e.token), bool)  # copies in several tasks
-        same[1:] = (e.token[1:] == e.token[:-1]) & (e.level[1:] == e.level[:-1]) & (e.name[1:] == e.name[:-1]) & (e.place[1:] == e.place[:-1])
+        same[1:] = (e.token[1:] == e.token[:-1]) & (e.name[1:] == e.name[:-1]) & (e.n[1:] == e.n[:-1]) & (e.print[1:] == e.print[:-1])
         e = e.take(~same)
-        start = np.flatnonzero((np.diff(e.token, prepend=~e.token[:1]) != 0) | (np.diff(e.level, prepend=~e.level[:1]) != 0))
+        start = np.flatnonzero(np.diff(e.token, prepend=~e.token[:1]) != 0)
         length = np.diff(start, append=len(e.token))
         out, short = [], np.ones(len(e.token), bool)
         for i in np.flatnonzero(length > LIST_BLOCK):  # to other tasks, in pairs of blocks whose sizes may be similar
@@ -233,66 +255,21 @@ def candidate_pairs(source: DataFrame, k: int, threshold: float, rarity: np.ndar
         far = pd.DataFrame(out, columns=FAR[1:], dtype=object).assign(part=group["part"].iloc[0], **dict.fromkeys(NEAR))
         return (pd.concat([near, far]) if out else near)[[*NEAR, *FAR]]
 
-    NEAR, FAR = ["x", "y", "met", "need"], ["part", "token", "j", "h", "side", *_Entries.COLUMNS]
-
     def crossed(group: pd.DataFrame) -> pd.DataFrame:
         sides = [_Entries.unpacked(rows) for _, rows in group.groupby("side")]
         mark = np.repeat(np.arange(len(sides)), [len(s.token) for s in sides])
-        e = _Entries(*[np.concatenate([getattr(s, c) for s in sides]) for c in ("token", "place", "name", "n", "level")])
+        e = _Entries(*[np.concatenate([getattr(s, c) for s in sides]) for c in ("token", "name", "n", "print")])
         order = np.argsort(e.n, kind="stable")
         return _met(e.take(order), threshold, mark[order] if len(sides) > 1 else None)
 
     indexed = source.mapInPandas(index, f"part int, {_PACKED}")
-    found = indexed.groupBy("part").applyInPandas(lists, f"x long, y long, met long, need long, part int, token long, j int, h int, side int, {_PACKED}")
-    near = found.where("x is not null").select("x", "y", "met", "need")
+    found = indexed.groupBy("part").applyInPandas(lists, f"x long, y long, part int, token long, j int, h int, side int, {_PACKED}")
+    near = found.where("x is not null").select("x", "y")
     if rarity.max(initial=0) > LIST_BLOCK:  # no element's list is longer than its counter
         found = checkpointed(found)
-        near = found.where("x is not null").select("x", "y", "met", "need")
-        far = found.where("x is null").drop("x", "y", "met", "need").groupBy("part", "token", "j", "h").applyInPandas(crossed, "x long, y long, met long, need long")
-        near = near.unionByName(far)
-    return near.groupBy("x", "y").agg(F.sum("met").alias("met"), F.min("need").alias("need")).where("met >= need").select("x", "y")
-
-
-# --- Distance tables ---
-
-
-def tabled(pairs: DataFrame, prints: DataFrame, threshold: float, groups: int = 8) -> DataFrame:
-    """The `pairs` (x, y) that distances to reference fingerprints don't discard. `prints`: (class, n, print).
-
-    The references are the records that meet most others. A table holds the distance of each record to each
-    reference it meets; a reference is at distance 0 from itself. What meets one reference is spread over groups of
-    bounded size.
-    """
-    degree = pairs.select(F.explode(F.array("x", "y")).alias("c")).groupBy("c").agg(F.count("*").alias("d"))
-    sided = pairs.join(degree.select(F.col("c").alias("x"), F.col("d").alias("dx")), "x").join(degree.select(F.col("c").alias("y"), F.col("d").alias("dy")), "y")
-    first = F.col("dx") >= F.col("dy")
-    sided = sided.select(
-        F.when(first, F.col("x")).otherwise(F.col("y")).alias("reference"), F.when(first, F.col("y")).otherwise(F.col("x")).alias("class"),
-        F.pmod(F.xxhash64(F.when(first, F.col("y")).otherwise(F.col("x"))), F.ceil(F.greatest("dx", "dy") / F.lit(TABLE_BLOCK))).alias("block"),
-    )
-    rows = sided.unionByName(sided.select("reference", F.col("reference").alias("class"), "block").distinct())
-    rows = rows.join(prints, "class").withColumn("group", F.pmod(F.xxhash64("reference", "block"), F.lit(groups)))
-
-    def kept(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["reference", "block"], kind="stable").reset_index(drop=True)
-        width = group["print"].map(len).to_numpy() // 8
-        own = group[group["reference"] == group["class"]]
-        of = group[["reference", "block"]].merge(own.reset_index()[["reference", "block", "index"]], how="left")["index"].to_numpy()  # each row's reference
-        n = group["n"].to_numpy()
-        far = np.zeros(len(group), np.int64)
-        shared = np.minimum(width, width[of])
-        for w in np.unique(shared):
-            at = np.flatnonzero(shared == w)
-            for v in np.unique(np.stack([width[at], width[of[at]]], 1), axis=0):
-                some = at[(width[at] == v[0]) & (width[of[at]] == v[1])]
-                mine, theirs = (_folded(np.frombuffer(b"".join(group["print"].iloc[i]), np.uint64).reshape(len(i), -1), w) for i in (some, of[some]))
-                far[some] = np.bitwise_count(mine ^ theirs).sum(1, dtype=np.int64)
-        # of the two coordinates the reference's own is 0
-        good = (np.abs(far - far[of]) <= np.floor((1 - threshold) / (1 + threshold) * (n + n[of]) + 1e-9)) & (of != np.arange(len(group)))
-        x, y = group["reference"].to_numpy()[good], group["class"].to_numpy()[good]
-        return pd.DataFrame({"x": np.minimum(x, y), "y": np.maximum(x, y)})
-
-    return rows.groupBy("group").applyInPandas(kept, "x long, y long")
+        near = found.where("x is not null").select("x", "y")
+        near = near.unionByName(found.where("x is null").drop("x", "y").groupBy("part", "token", "j", "h").applyInPandas(crossed, "x long, y long"))
+    return near.distinct()
 
 
 def linked_classes(records: DataFrame, record: str, column: str, k: int, threshold: float) -> tuple[DataFrame, DataFrame]:
@@ -322,19 +299,16 @@ def linked_classes(records: DataFrame, record: str, column: str, k: int, thresho
 
     pairs = checkpointed(candidate_pairs(source, k, threshold, rarity))
     wanted = pairs.select(F.explode(F.array("x", "y")).alias("class")).distinct()
-    met = pairs.count()
-    few = met * 2 <= BROADCAST_IDS
+    few = pairs.count() * 2 <= BROADCAST_IDS
     firsts = members.join(F.broadcast(wanted) if few else wanted, "class", "left_semi").groupBy("class").agg(F.min("id").alias("id"))
 
     def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             hashes, bounds = distinct_runs(batch["text"].tolist(), k)
-            rows = [(c, len(s), _fingerprint(s), s.tobytes()) for c, a, b in zip(batch["class"].tolist(), bounds[:-1], bounds[1:]) if len(s := hashes[a:b])]
-            yield pd.DataFrame(rows, columns=["class", "n", "print", "tokens"])
+            yield pd.DataFrame({"class": batch["class"], "tokens": [hashes[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:])]})
 
-    read = source.join(F.broadcast(firsts) if few else firsts, "id").select("class", "text").mapInPandas(sets, "class long, n int, print binary, tokens binary")
-    held = checkpointed(read.dropDuplicates(["class"]))
-    survivors = tabled(pairs, held.select("class", "n", "print"), threshold, max(8, met // TABLE_ROWS))
+    read = source.join(F.broadcast(firsts) if few else firsts, "id").select("class", "text").mapInPandas(sets, "class long, tokens binary")
+    held = read.dropDuplicates(["class"])
 
     @F.pandas_udf("boolean")
     def similar(a: pd.Series, b: pd.Series) -> pd.Series:
@@ -347,7 +321,7 @@ def linked_classes(records: DataFrame, record: str, column: str, k: int, thresho
 
     ta = held.select(F.col("class").alias("x"), F.col("tokens").alias("ta"))
     tb = held.select(F.col("class").alias("y"), F.col("tokens").alias("tb"))
-    return members, survivors.join(ta, "x").join(tb, "y").where(similar("ta", "tb")).select("x", "y").distinct()
+    return members, pairs.join(ta, "x").join(tb, "y").where(similar("ta", "tb")).select("x", "y").distinct()
 
 
 def similar_pairs(records: DataFrame, record: str, column: str, k: int, threshold: float) -> DataFrame:

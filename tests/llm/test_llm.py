@@ -1,5 +1,6 @@
 import random
 import re
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -90,13 +91,38 @@ def test_large_classes_give_all_pairs(spark, monkeypatch):
     assert tuple(got) == (1008 * 1007 // 2,) * 3 + (1005 * 3,)
 
 
-def test_fingerprints_never_exceed_the_distance():
+def test_no_distance_exceeds_the_sets_own():
     rng = np.random.default_rng(5)
     for _ in range(50):
         a, b = (np.unique(rng.integers(0, 300, rng.integers(1, 200)).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) for _ in range(2))
-        x, y = (np.frombuffer(neardup._fingerprint(s), np.uint64).reshape(1, -1) for s in (a, b))
-        width = min(x.shape[1], y.shape[1])
-        assert np.bitwise_count(neardup._folded(x, width) ^ neardup._folded(y, width)).sum() <= len(np.setxor1d(a, b))
+        assert (neardup._fingerprint(a) ^ neardup._fingerprint(b)).bit_count() <= len(np.setxor1d(a, b))
+
+
+def test_tables_discard_only_pairs_beyond_the_bound():
+    rng = np.random.default_rng(6)
+    n = rng.integers(1, 20, 400)
+    sets = [np.unique(rng.integers(0, 40, m).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) for m in n]
+    e = neardup._Entries(np.sort(rng.integers(0, 9, 400).astype(np.uint32)), np.arange(400), np.array([len(s) for s in sets], np.uint16), np.array([neardup._fingerprint(s) for s in sets], np.uint64))
+    e = e.take(np.lexsort((e.n, e.token)))
+    tally = Counter()
+    got = set(map(tuple, neardup._met(e, 0.6, None, tally).to_numpy().tolist()))
+    near = {(a, b) for a in range(400) for b in range(a + 1, 400) if len(np.intersect1d(sets[a], sets[b])) >= 0.6 * len(np.union1d(sets[a], sets[b]))}
+    lists = dict(zip(e.name.tolist(), e.token.tolist()))
+    assert {(a, b) for a, b in near if lists[a] == lists[b]} <= got and tally["discarded"] > 0.5 * tally["met"]
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 9, 10, 11, 16, 17, 40, 41, 300, 321, 2600])
+def test_index_joins_all_similar_sets(n):
+    rng = np.random.default_rng(n)
+    for t in (0.6, 0.7, 0.8):
+        for _ in range(20):
+            a = np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64))
+            b = a[rng.random(len(a)) > rng.choice([0, 0.1, 0.2, 0.35])]
+            b = np.unique(np.concatenate([b, rng.integers(0, 1 << 63, int(rng.choice([0, 0.1, 0.25]) * n) + int(rng.integers(0, 2))).astype(np.uint64)]))
+            both = len(np.intersect1d(a, b))
+            if both >= t * (len(a) + len(b) - both):
+                keys = [{(int(r), int(k)) for f in neardup.entries_of(s, (s >> np.uint64(48)).astype(np.int64) % 7, t) for r, k in zip(f[0], f[1])} for s in (a, b)]
+                assert keys[0] & keys[1]
 
 
 def test_long_lists_are_cut_into_blocks(spark, monkeypatch):
@@ -105,7 +131,6 @@ def test_long_lists_are_cut_into_blocks(spark, monkeypatch):
     rows = [(i, " ".join(rng.sample(vocabulary, rng.choice([3, 5, 9, 12, 14])) + [f"u{j}" for j in range(rng.choice([0, 0, 30]))])) for i in range(120)]
     expected = brute(rows, 1, 0.6)
     monkeypatch.setattr(neardup, "LIST_BLOCK", 7)
-    monkeypatch.setattr(neardup, "TABLE_BLOCK", 3)
     monkeypatch.setattr(neardup, "BROADCAST_IDS", 0)
     monkeypatch.setattr(neardup, "PACKED_ENTRIES", 500)
     got = neardup.similar_pairs(spark.createDataFrame(rows, "d long, t string"), "d", "t", 1, 0.6).collect()
