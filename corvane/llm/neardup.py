@@ -67,9 +67,13 @@ def _fingerprint(tokens: np.ndarray) -> int:
 # --- The prefix index ---
 
 
+#: Sizes up to which sets are cut into 1, 16, 64, 256, … regions.
+EDGES = [40, *(640 * 4**e for e in range(16))]
+
+
 def _regions(n: int) -> int:
-    """Regions of pairs whose larger set has n elements; of 5 to 40 elements each."""
-    return 8 ** max(0, math.ceil(math.log(max(n, 1) / 40, 8) - 1e-9))
+    """Regions of pairs whose larger set has n elements; of up to 40 elements each."""
+    return 1 if n <= EDGES[0] else 16 * 4 ** next(i for i, m in enumerate(EDGES[1:]) if n <= m)
 
 
 def _level(n: int, threshold: float) -> int:
@@ -81,7 +85,7 @@ def _level(n: int, threshold: float) -> int:
 def _forms(n: int, threshold: float) -> list[tuple[int, int]]:
     """(level, regions) of all pairs that a set of n elements may be the smaller one of."""
     largest = math.floor(n / threshold + 1e-9)
-    sizes = [*range(n, min(largest, 16) + 1), n, largest, *(m for e in range(1, 12) if n < (m := 40 * 8**e) <= largest), *([17] if n < 17 <= largest else []), *([40] if n <= 40 <= largest else [])]
+    sizes = [*range(n, min(largest, 17) + 1), n, largest, *(m for m in EDGES if n <= m <= largest)]
     return sorted({(_level(m, threshold), _regions(m)) for m in sizes})
 
 

@@ -111,7 +111,7 @@ def test_tables_discard_only_pairs_beyond_the_bound():
     assert {(a, b) for a, b in near if lists[a] == lists[b]} <= got and tally["discarded"] > 0.5 * tally["met"]
 
 
-@pytest.mark.parametrize("n", [1, 2, 3, 9, 10, 11, 16, 17, 40, 41, 300, 321, 2600])
+@pytest.mark.parametrize("n", [1, 2, 3, 9, 10, 11, 16, 17, 30, 40, 41, 300, 600, 641, 2600, 5200])
 def test_index_joins_all_similar_sets(n):
     rng = np.random.default_rng(n)
     for t in (0.6, 0.7, 0.8):
