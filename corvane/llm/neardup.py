@@ -64,6 +64,21 @@ def _fingerprint(tokens: np.ndarray) -> int:
     return int(np.packbits((n & 1).astype(np.uint8)).view(np.uint64)[0])
 
 
+def _whole(tokens: np.ndarray) -> bytes:
+    """Parities of all elements of a set, in 1.5 to 3 bits an element. The number of bits is a power of two, at least 64."""
+    bits = max(64, 1 << math.ceil(math.log2(1.5 * len(tokens))))
+    n = np.bincount((tokens & np.uint64(bits - 1)).astype(np.int64), minlength=bits)
+    return np.packbits((n & 1).astype(np.uint8)).tobytes()
+
+
+def _apart(a: bytes, b: bytes) -> int:
+    """The distance of two fingerprints, the longer one brought to the other's bits."""
+    x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
+    if len(x) < len(y):
+        x, y = y, x
+    return int(np.bitwise_count(np.bitwise_xor.reduce(x.reshape(-1, len(y)), axis=0) ^ y).sum())
+
+
 # --- The prefix index ---
 
 
@@ -285,12 +300,12 @@ def linked_classes(records: DataFrame, record: str, column: str, k: int, thresho
         for batch in batches:
             hashes, bounds = distinct_runs(batch["text"].tolist(), k)
             counts += np.bincount((hashes >> np.uint64(64 - RARITY_BITS)).astype(np.int64), minlength=len(counts))
-            rows = [(i, _signature(s)) for i, a, b in zip(batch["id"].tolist(), bounds[:-1], bounds[1:]) if (s := hashes[a:b]).size]
-            yield pd.DataFrame(rows, columns=["id", "class"]).assign(data=None, block=-1)
+            rows = [(i, _signature(s), len(s), _whole(s)) for i, a, b in zip(batch["id"].tolist(), bounds[:-1], bounds[1:]) if (s := hashes[a:b]).size]
+            yield pd.DataFrame(rows, columns=["id", "class", "n", "data"]).assign(block=-1)
         for j, part in enumerate(np.split(counts, RARITY_BLOCKS)):
-            yield pd.DataFrame({"id": [0], "class": [0], "data": [part.tobytes()], "block": [j]})
+            yield pd.DataFrame({"id": [0], "class": [0], "n": [0], "data": [part.tobytes()], "block": [j]})
 
-    surveyed = checkpointed(source.mapInPandas(survey, "id long, class long, data binary, block int"))
+    surveyed = checkpointed(source.mapInPandas(survey, "id long, class long, n int, data binary, block int"))
 
     def added(parts: pd.DataFrame) -> pd.DataFrame:
         total = np.sum([np.frombuffer(d, np.int64) for d in parts["data"]], axis=0)
@@ -301,7 +316,15 @@ def linked_classes(records: DataFrame, record: str, column: str, k: int, thresho
     rarity = np.concatenate([np.frombuffer(r.data, np.int64) for r in sorted(blocks)]) if blocks else np.zeros(1 << RARITY_BITS, np.int64)
     members = surveyed.where("block < 0").select("id", "class").distinct()
 
-    pairs = checkpointed(candidate_pairs(source, k, threshold, rarity))
+    @F.pandas_udf("boolean")
+    def near(a: pd.Series, b: pd.Series, n: pd.Series) -> pd.Series:
+        most = np.floor((1 - threshold) / (1 + threshold) * n.to_numpy() + 1e-9)
+        return pd.Series([_apart(x, y) <= m for x, y, m in zip(a, b, most)], dtype=bool)
+
+    prints = surveyed.where("block < 0").groupBy("class").agg(F.first("n").alias("n"), F.first("data").alias("p"))  # equal in all of a class
+    px, py = (prints.select(F.col("class").alias(c), F.col("n").alias(f"n{c}"), F.col("p").alias(f"p{c}")) for c in "xy")
+    met = candidate_pairs(source, k, threshold, rarity).join(px, "x").join(py, "y")
+    pairs = checkpointed(met.where(near("px", "py", F.col("nx") + F.col("ny"))).select("x", "y"))
     wanted = pairs.select(F.explode(F.array("x", "y")).alias("class")).distinct()
     few = pairs.count() * 2 <= BROADCAST_IDS
     firsts = members.join(F.broadcast(wanted) if few else wanted, "class", "left_semi").groupBy("class").agg(F.min("id").alias("id"))

@@ -96,6 +96,7 @@ def test_no_distance_exceeds_the_sets_own():
     for _ in range(50):
         a, b = (np.unique(rng.integers(0, 300, rng.integers(1, 200)).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) for _ in range(2))
         assert (neardup._fingerprint(a) ^ neardup._fingerprint(b)).bit_count() <= len(np.setxor1d(a, b))
+        assert neardup._apart(neardup._whole(a), neardup._whole(b)) <= len(np.setxor1d(a, b))
 
 
 def test_tables_discard_only_pairs_beyond_the_bound():
