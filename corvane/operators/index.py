@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 import json
-import os
 import uuid
 from hashlib import sha256
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from .. import storage
 from .changes import latest
 
 
@@ -100,11 +100,8 @@ class Snapshots:
         self.spark, self.path = spark, path
 
     def current(self) -> str | None:
-        try:
-            with open(f"{self.path}/CURRENT", encoding="ascii") as f:
-                return f.read().strip()
-        except FileNotFoundError:
-            return None
+        version = storage.read(self.spark, f"{self.path}/CURRENT")
+        return version.strip() if version else None
 
     def read(self) -> DataFrame | None:
         version = self.current()
@@ -114,10 +111,5 @@ class Snapshots:
         version = f"v-{uuid.uuid4().hex}"
         writer = df.write.option("maxRecordsPerFile", records_per_file) if records_per_file else df.write
         writer.parquet(f"{self.path}/{version}")
-        staged = f"{self.path}/CURRENT.{version}"
-        with open(staged, "w", encoding="ascii") as f:
-            f.write(version)
-            f.flush()
-            os.fsync(f.fileno())
-        os.replace(staged, f"{self.path}/CURRENT")
+        storage.replace(self.spark, f"{self.path}/CURRENT", version)
         return version

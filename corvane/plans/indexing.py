@@ -12,6 +12,7 @@ from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from .. import storage
 from ..functions.vectors import HashingEmbedder
 from ..operators import chunks, index
 from ..sources import extract, inventory
@@ -21,11 +22,28 @@ MANIFEST = "document_id string, source_path string, relative_path string, extens
 BUILDS = "build_id string, started_at timestamp, finished_at timestamp, status string, embedding_version string, config_version string, index_signature string, indexed_count long, failed_count long, chunk_count long"
 
 
+#: Seconds after which a lock on storage without locks of its own is taken for that of a build that has died.
+LOCKED = 6 * 3600
+
+
 @contextmanager
-def single_writer(root: str) -> Iterator[None]:
+def single_writer(spark: SparkSession, root: str) -> Iterator[None]:
     """One build at a time on a state folder; a second one fails at once."""
-    os.makedirs(root, exist_ok=True)
-    with open(f"{root}/build.lock", "w") as f:
+    here = storage.local(spark, root)
+    if here is None:
+        lock = f"{root}/build.lock"
+        held = storage.read(spark, lock)
+        if held and float(held) < time.time():
+            storage.remove(spark, lock)
+        if not storage.claim(spark, lock, str(time.time() + LOCKED)):
+            raise RuntimeError("index_build_already_running")
+        try:
+            yield
+        finally:
+            storage.remove(spark, lock)
+        return
+    os.makedirs(here, exist_ok=True)
+    with open(f"{here}/build.lock", "w") as f:
         try:
             fcntl.flock(f, fcntl.LOCK_EX | fcntl.LOCK_NB)
         except BlockingIOError:
@@ -58,7 +76,7 @@ class Indexer:
 
     def run(self, max_files: int | None = None, prune_missing: bool = False) -> dict:
         """Counts of the build. Missing files are pruned only by a scan of everything."""
-        with single_writer(self.settings.state_root):
+        with single_writer(self.spark, self.settings.state_root):
             return self._run(max_files, prune_missing and max_files is None)
 
     def _run(self, max_files: int | None, prune: bool) -> dict:
@@ -108,6 +126,5 @@ class Indexer:
         report["status"] = "complete" if not report["failed"] else "complete_with_errors" if report["indexed"] or report["skipped"] else "failed"
         report["files_per_second"] = round(report["discovered"] / max(time.time() - began, 1e-3), 2)
         self.builds.write(index.finish_build(self.builds.read(), build, F.current_timestamp(), report["indexed"], report["failed"], report["chunks"]))
-        with open(f"{s.state_root}/report.json", "w", encoding="utf-8") as f:
-            json.dump(report, f)
+        storage.replace(spark, f"{s.state_root}/report.json", json.dumps(report))
         return report

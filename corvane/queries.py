@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from .functions import names, rules, text as T, vectors
 from .operators import changes, chat, chunks, context, control, events, files, index, search, spans
-from .session import table
+from .session import shared_folder, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -37,11 +38,12 @@ def oracle_sql() -> dict[str, str]:
 
 STATES = """files as (
   select * from (select distinct * from source_scan where document_id is not null)
-  qualify row_number() over (partition by document_id order by seen_at desc nulls last) = 1),
+  qualify row_number() over (partition by document_id order by seen_at desc nulls last, relative_path desc nulls last, extension desc nulls last, size desc nulls last, mtime_ns desc nulls last, revision desc nulls last) = 1),
 states as (
   select * from (select distinct * exclude (loaded_at) from manifest_documents where document_id is not null)
-  qualify row_number() over (partition by document_id order by updated_at desc nulls last) = 1),
-b as (select index_signature as current_signature from builds order by started_at desc nulls last limit 1)"""
+  qualify row_number() over (partition by document_id order by updated_at desc nulls last, source_path desc nulls last, relative_path desc nulls last, extension desc nulls last, size desc nulls last,
+    mtime_ns desc nulls last, revision desc nulls last, status desc nulls last, indexed_revision desc nulls last, index_signature desc nulls last, error_code desc nulls last, build_id desc nulls last) = 1),
+b as (select index_signature as current_signature from builds order by started_at desc nulls last, index_signature desc nulls last limit 1)"""
 
 
 @query(f"""with {STATES}
@@ -50,7 +52,8 @@ select document_id from files f where not exists (
   and s.mtime_ns = f.mtime_ns and lower(s.revision) = lower(f.revision) and lower(s.indexed_revision) = lower(s.revision)
   and lower(s.index_signature) = lower(b.current_signature))""")
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
-    rows = changes.due(table(spark, folder, "source_scan"), table(spark, folder, "manifest_documents"), table(spark, folder, "builds"))
+    ledger = changes.Ledger(spark, f"{shared_folder(spark)}/ledger-{uuid.uuid4().hex}")
+    rows = changes.due(ledger, table(spark, folder, "source_scan"), table(spark, folder, "manifest_documents"), table(spark, folder, "builds"))
     return rows.select("document_id")
 
 

@@ -27,16 +27,24 @@ def build_session(app: str = "corvane", master: str | None = None, **conf: str)
     return builder.getOrCreate()
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """`df` written once to the shared checkpoint folder and read from there.
+def shared_folder(spark: SparkSession) -> str:
+    """The session's `spark.checkpoint.dir`. Where it is unset a session of this machine alone gets a temporary folder; a cluster gets an error."""
+    configured = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if configured:
+        return configured
+    held = spark.sparkContext._jsc.sc().getCheckpointDir()
+    if not held.isEmpty():
+        return held.get()
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+    return tempfile.mkdtemp(prefix="corvane-checkpoint-")
+
 
-    The folder is the session's `spark.checkpoint.dir`; only where that is unset (tests, a laptop) a
-    temporary one is set. The files survive the loss of any executor.
-    """
+def checkpointed(df: DataFrame) -> DataFrame:
+    """`df` written once to the shared folder and read from there. The files survive the loss of any executor."""
     context = df.sparkSession.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        configured = context.getConf().get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(configured or tempfile.mkdtemp(prefix="corvane-checkpoint-"))
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
 
 

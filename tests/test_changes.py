@@ -11,40 +11,80 @@ def t(n):
     return datetime(2024, 1, 1, n)
 
 
-def test_due(spark):
+def test_due(spark, tmp_path):
+    ledger = (changes.Ledger(spark, str(tmp_path / f"ledger{n}")) for n in range(9))
     scan = [("a", 1, 1, "AA", t(1), "x"), ("b", 1, 1, "bb", t(1), None), ("b", 2, 1, "bb", t(2), None), ("c", 1, 1, "cc", t(1), None), ("c", 1, 1, "cc", t(1), None), ("d", 1, 1, None, t(1), None), ("e", 1, 1, "ee", None, None), (None, 1, 1, "x", t(1), None)]
     state = [tuple(dict(i=i, s=1, m=1, r=r, st=st, ir=ir, sig=sig, e=None, u=u, n=1).values()) for i, r, st, ir, sig, u in [
         ("a", "aa", "indexed", "Aa", "s", t(3)), ("a", "zz", "failed", None, None, t(2)), ("b", "bb", "indexed", "bb", "S", t(3)), ("c", "cc", "indexed", "cc", "old", t(3)), ("d", None, "indexed", None, "S", t(3))]]
     builds = spark.createDataFrame([("1", t(1), "old"), ("2", t(2), "S")], BUILD)
-    got = changes.due(spark.createDataFrame(scan, SCAN), spark.createDataFrame(state, STATE), builds)
+    got = changes.due(next(ledger), spark.createDataFrame(scan, SCAN), spark.createDataFrame(state, STATE), builds)
     assert sorted(r["document_id"] for r in got.collect()) == ["b", "c", "d", "e"]
     assert got.columns == [c.split()[0] for c in SCAN.split(", ")]
-    none = changes.due(spark.createDataFrame(scan, SCAN), spark.createDataFrame([], STATE), spark.createDataFrame([], BUILD))
+    none = changes.due(next(ledger), spark.createDataFrame(scan, SCAN), spark.createDataFrame([], STATE), spark.createDataFrame([], BUILD))
     assert none.count() == 5
-    assert changes.due(spark.createDataFrame([], SCAN), spark.createDataFrame(state, STATE), builds).count() == 0
+    assert changes.due(next(ledger), spark.createDataFrame([], SCAN), spark.createDataFrame(state, STATE), builds).count() == 0
 
 
 def test_ledger_survives_expiry_and_stale_writers(spark, tmp_path):
     ledger = changes.Ledger(spark, str(tmp_path / "ledger"))
-    items = spark.createDataFrame([("a", "1"), ("b", "1"), ("b", "1")], "item string, version string")
+    items = spark.createDataFrame([("a", "1"), ("b", "1"), ("b", "1"), (None, "1")], "item string, version string")
     ledger.offer(items, 0)
     ledger.offer(items, 1)
-    first = ledger.lease("w1", 2, 10)
-    first_rows = [tuple(r) for r in first.collect()]
-    assert sorted(first_rows) == [("a", "1", 1), ("b", "1", 1)]
+    first = [tuple(r) for r in ledger.lease("w1", 2, 10).collect()]
+    assert sorted(r[:2] for r in first) == [("a", "1"), ("b", "1")]
     assert ledger.lease("w2", 3, 10).count() == 0
     # w1 dies; its leases expire and go to w2
     second = [tuple(r) for r in ledger.lease("w2", 20, 10).collect()]
-    assert sorted(second) == [("a", "1", 2), ("b", "1", 2)]
-    stale = spark.createDataFrame([(*r, "old") for r in first_rows], "item string, version string, token long, value string")
-    ledger.finish(stale, 21)
-    fresh = spark.createDataFrame([(*r, "new") for r in second], stale.schema)
-    ledger.finish(fresh, 22)
-    ledger.finish(fresh, 23)
-    assert sorted((r["item"], r["value"]) for r in ledger.results(24).collect()) == [("a", "new"), ("b", "new")]
+    assert sorted(r[:2] for r in second) == [("a", "1"), ("b", "1")] and second[0][2] > first[0][2]
+    stale = spark.createDataFrame([(*r[:2], "old") for r in first], "item string, version string, value string")
+    assert ledger.finish(stale, first[0][2], "w1", 21).count() == 2
+    fresh = spark.createDataFrame([(*r[:2], v) for r in second for v in ("new", "newer")], stale.schema)
+    assert ledger.finish(fresh, second[0][2], "w1", 22).count() == 2  # the token of another
+    assert ledger.finish(fresh, second[0][2], "w2", 22).count() == 0
+    assert ledger.finish(fresh, second[0][2], "w2", 23).count() == 0
+    assert sorted((r["item"], r["value"]) for r in ledger.results(24).collect()) == [(i, v) for i in "ab" for v in ("new", "newer")]
     assert {r["state"] for r in ledger.states(99).collect()} == {"done"}
-    ledger.offer(spark.createDataFrame([("a", "2")], items.schema), 30)
-    assert ledger.lease("w3", 31, 5, 1).count() == 1
+    # a newer version supersedes; the old one offered again is known as done
+    ledger.offer(spark.createDataFrame([("a", "2"), ("a", "3")], items.schema), 30)
+    ledger.offer(spark.createDataFrame([("a", "4")], items.schema), 30)
+    assert [r["version"] for r in ledger.lease("w3", 31, 5, 1).collect()] == ["4"]
+    ledger.offer(spark.createDataFrame([("a", "1")], items.schema), 40)
+    assert ledger.lease("w3", 41, 5).count() == 0
+
+
+def test_two_that_lease_at_once(spark, tmp_path, monkeypatch):
+    ledger, other = (changes.Ledger(spark, str(tmp_path / "ledger")) for _ in range(2))
+    ledger.offer(spark.createDataFrame([("a", "1"), ("b", "1")], "item string, version string"), 0)
+    claim, met = changes.storage.claim, []
+
+    def late(spark, path, text):  # the other one commits between the look at the states and the claim
+        if not met:
+            met.append(1)
+            met.extend(other.lease("B", 1, 10, 1).collect())
+        return claim(spark, path, text)
+
+    monkeypatch.setattr(changes.storage, "claim", late)
+    mine = ledger.lease("A", 1, 10).collect()
+    assert [r["item"] for r in met[1:]] == ["a"] and [r["item"] for r in mine] == ["b"] and mine[0]["token"] > met[1]["token"]
+    assert len(list((tmp_path / "ledger" / "events").iterdir())) == 3  # what the first try wrote is gone
+    rows = spark.createDataFrame([("a", "1", "x"), ("b", "1", "y")], "item string, version string, value string")
+    assert [r["item"] for r in ledger.finish(rows, mine[0]["token"], "A", 2).collect()] == ["a"]
+    assert [(r["item"], r["value"]) for r in ledger.results(3).collect()] == [("b", "y")]
+    files = sorted(p.name for p in (tmp_path / "ledger" / "results").rglob("part=0"))
+    ledger.finish(rows, mine[0]["token"], "A", 2)
+    assert files == sorted(p.name for p in (tmp_path / "ledger" / "results").rglob("part=0")) and ledger.results(3).count() == 1
+
+
+def test_compaction_keeps_the_states(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(changes, "COMPACTED", 3)
+    ledger = changes.Ledger(spark, str(tmp_path / "ledger"))
+    for n in range(4):
+        ledger.offer(spark.createDataFrame([(i, str(n)) for i in "abc"], "item string, version string"), n)
+        token = ledger.lease("w", n, 100, 2).first()["token"]
+        ledger.finish(spark.createDataFrame([("a", str(n), n)], "item string, version string, value int"), token, "w", n)
+        states = {(r["item"], r["version"]): (r["state"], r["owner"]) for r in ledger.states(n).collect()}
+        assert {k: v for k, v in states.items() if k[1] == str(n)} == {("a", str(n)): ("done", "w"), ("b", str(n)): ("leased", "w"), ("c", str(n)): ("pending", None)}
+    assert len(ledger._since()[1]) <= 4 and sorted(r["value"] for r in ledger.results(9).collect()) == [0, 1, 2, 3]
 
 
 def test_index_state(spark, tmp_path):
