@@ -129,7 +129,7 @@ def test_index_and_ask(spark, tmp_path):
     third = indexer.run(prune_missing=True)
     assert (third["indexed"], third["skipped"]) == (1, 1)
     assert {r["relative_path"]: r["status"] for r in indexer.manifest.read().collect()} == {"harbour lamp.txt": "indexed", "bad.json": "indexed", "sub/b+c.md": "deleted"}
-    with single_writer(held.state_root), pytest.raises(RuntimeError, match="already_running"):
+    with single_writer(spark, held.state_root), pytest.raises(RuntimeError, match="already_running"):
         indexer.run()
     seen = []
 
