@@ -1,9 +1,10 @@
 """Keyword-stuffed and link-list pages (problem 9).
 
-Lines are reduced to shapes: the bucket of their word count, their share of capitals, their separators, links and
-tags, whether they end as a sentence, and how far they repeat few words. Lines of one shape are grouped; shapes that
-no sentence, table or list of contents has are counted by their length. A page is flagged when most of its text
-belongs to such shapes.
+Lines are reduced to shapes: the bucket of their word count, their share of capitals, their separators and how many
+there are, links and tags, whether they end as a sentence, how many function words and figures they have, and whether
+they repeat the page's words. The shape alone decides what a line is. Lines of one shape are grouped; shapes that no
+sentence, table or list of contents has are counted by their length. A page is flagged when most of its text belongs
+to such shapes.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ DIGIT = re.compile(r"\d")
 HASHTAG = re.compile(r"(?<![\w&])#[\w-]+")
 CAMEL = re.compile(r"[A-ZА-ЯЁÀ-ÖØ-Þ]?[a-zа-яёß-öø-ÿ]+|\d+[A-Z]*|[A-ZА-ЯЁÀ-ÖØ-Þ]+(?![a-zа-яёß-öø-ÿ])")
 REFERENCE = re.compile(r"^\s*(?:\[\d+\]|\(\d+\)|\d+[.)])\s")
-CODE = re.compile(r"\b[A-ZА-Я]{2,4}-?\d{2,}\b")
+NUMBER = re.compile(r"\(?\d[\d.,]*[):;,.]?")
 LEADER = re.compile(r"\.{3,}\s*\d+\s*$|(?:\. ){3,}\d+\s*$")
 END = re.compile(r"[.!?…]['\"»”)\]]*\s+|[.!?…]['\"»”)\]]*$")
 SEPARATORS = ("|", "/", "»", "•", "·", ">", ",", ";", "\t")
@@ -40,16 +41,38 @@ class Limits(NamedTuple):
     least: int = 8  #: words, links and tags a page must have at least
     whole: float = 0.5  #: share of distinct words below which a page's lists, taken together, repeat their words
     letters: float = 0.65  #: share of letters from which a line is a list of words, not of figures
+    figures: float = 0.5  #: share of a line's tokens with digits from which it is data
+    numbers: float = 0.2  #: the same for tokens that are whole numbers, as quantities and pages are
+    items: int = 8  #: separators from which a line of short items without sentences is a list of tags, whether they repeat or not
 
 
 class Shape(NamedTuple):
     words: int  #: bit length of the word count
     capitals: int  #: tenths of words that begin with a capital
     separator: str  #: the separator that occurs most, if it does at least twice
+    items: int  #: 0 to 3: less than two separators, some, many with long items, many with short items
     links: int  #: bit length of the number of links
+    linked: bool  #: most of what can be read of the line is links
     tags: int  #: bit length of the number of hashtags
+    tagged: bool  #: most of the line is hashtags
     sentence: bool
-    label: str  #: 'links', 'tags', 'keywords', 'data' or 'text'
+    stops: int  #: tenths of function words
+    figures: int  #: 0 to 2: few tokens with digits, some, most
+    ordered: bool  #: it has a number of its own, a leader to a page number, or columns
+    repeated: bool  #: it repeats words of the page
+
+    @property
+    def label(self) -> str:
+        """'links', 'tags', 'keywords', 'data' or 'text'."""
+        if self.linked and not (self.ordered and self.sentence):
+            return "links"
+        if self.tagged:
+            return "tags"
+        if self.ordered or self.figures == 2 or self.figures == 1 and self.sentence:
+            return "data"
+        if self.repeated or self.items == 3 and not self.stops and not self.sentence:
+            return "keywords"
+        return "text"
 
 
 def _lines(text: str, limits: Limits) -> Iterator[str]:
@@ -147,22 +170,23 @@ def shapes_of(text: str, limits: Limits = Limits()) -> list[tuple[Shape, int]]:
 
 def _shapes(parts: list[_Line], few: list[bool], limits: Limits) -> list[tuple[Shape, int]]:
     out = []
-    for (line, links, bare, tags, _, found), repeated in zip(parts, few):
+    for (line, links, bare, tags, words, found), repeated in zip(parts, few):
         linked = (len(line) - len(bare) if links else 0) / len(line)
-        data = bool(LEADER.search(line) or CODE.search(bare) and "SKU" not in bare or line.count("\t") >= 2 or line.count(";") - line.count("; ") >= 3 or len(DIGIT.findall(bare)) > sum(map(len, found)))
-        if links and linked >= limits.linked and not (REFERENCE.match(line) and "](" not in line):
-            label = "links"
-        elif len(tags) >= 2 and sum(map(len, tags)) > len(line) / 2:
-            label = "tags"
-        elif data or REFERENCE.match(line) and links:
-            label = "data"
-        elif repeated:
-            label = "keywords"
-        else:
-            label = "text"
+        numbered = bool(REFERENCE.match(line))
+        tokens = bare.split()
+        figured = [t for t in tokens if DIGIT.search(t)] if DIGIT.search(bare) else []
+        numbers, digits = sum(bool(NUMBER.fullmatch(t)) for t in figured), len(figured)
+        columns = line.count("\t") >= 2 or line.count(";") - line.count("; ") >= 3
+        separator = _separator(line)
+        n = line.count(separator) if separator else 0
+        items = 0 if n < 2 else 1 if n < limits.items else 3 if len(found) <= 4 * n and sum(map(len, found)) >= limits.letters * len(bare.strip()) else 2
+        stops = sum(w in STOP_WORDS for w in words)
         shape = Shape(
-            len(found).bit_length(), 10 * sum(w[0].isupper() for w in found) // max(1, len(found)), _separator(line),
-            len(links).bit_length(), len(tags).bit_length(), bool(END.search(line)), label,
+            len(found).bit_length(), 10 * sum(w[0].isupper() for w in found) // max(1, len(found)), separator, items,
+            len(links).bit_length(), bool(links) and linked >= limits.linked and not (numbered and "](" not in line), len(tags).bit_length(), len(tags) >= 2 and sum(map(len, tags)) > len(line) / 2,
+            bool(END.search(line)), 10 * stops // max(1, len(words)),
+            2 if digits and len(DIGIT.findall(bare)) > sum(map(len, found)) or digits >= limits.figures * max(1, len(tokens)) or numbers and numbers >= limits.numbers * len(tokens) else 1 if digits else 0,
+            bool(LEADER.search(line)) or columns or numbered and bool(links), repeated,
         )
         out.append((shape, len(line)))
     return out
@@ -174,7 +198,8 @@ def score(text: str | None, limits: Limits = Limits()) -> float:
         return 0.0
     parts = _read(plain_signs(text), limits)
     few = _repeated(parts, limits)
-    if not any(few) and not any(p.links or len(p.tags) > 1 for p in parts):  # no line can be of such a shape
+    # without these no shape of the page can be of another kind than data or text
+    if not any(few) and not any(p.links or len(p.tags) > 1 or max(map(p.line.count, SEPARATORS)) >= limits.items for p in parts):
         return 0.0
     lines = _shapes(parts, few, limits)
     weight: Counter[Shape] = Counter()

@@ -317,6 +317,29 @@ def test_keyword_pages():
         assert spam.score(good) <= 0.6
 
 
+def test_pages_of_other_makes_are_judged_by_their_shapes():
+    r = random.Random(2)
+    selling = "red shoes best buy cheap sale offer online price top quality discount order fast new free".split()
+    parts = [a + b for a in "lamp desk chair valve pump rope tent boot coat sock glove scarf".split() for b in "ora ine ell ust ix".split()]
+    goods = ["filter housing", "level sensor", "pump seal", "conveyor belt", "work gloves", "battery string"]
+    spam_pages = [
+        "\n".join(f"ART AB-{i:04d} red shoes best buy cheap sale" for i in range(30)),
+        " | ".join(f"{a} {b}" for a in parts for b in parts[:8]),
+        ", ".join([*parts, *(w + "s" for w in parts)]),
+        ", ".join(parts * 20),
+        " ".join("#" + r.choice(selling).title() + r.choice(parts).title() for _ in range(80)),
+        "\n".join(f"{r.choice(selling)} {r.choice(selling)} here: http://x{i}.test/p?{i}" for i in range(40)),
+    ]
+    good_pages = [
+        "\n".join(f"{i + 1}. {r.choice(goods)}, {r.randint(1, 90)} pcs, lot KR-{r.randint(1000, 9999)}" for i in range(60)),
+        "\n".join(f"{r.choice(goods)} {r.randint(1, 90)} pcs" for i in range(60)),
+        "\n".join(f"Chapter {i + 1}: {' '.join(r.sample(parts, 3))} {i * 3 + 1}" for i in range(40)),
+        "\n".join(f"{w}: a part of the {r.choice(parts)} that holds the {r.choice(parts)} in place." for w in parts),
+        " ".join(f"On day {i} the pump was checked and the level was {r.randint(1, 99)} percent, as on the day before." for i in range(40)),
+    ]
+    assert [spam.score(p) > 0.58 for p in spam_pages + good_pages] == [True] * len(spam_pages) + [False] * len(good_pages)
+
+
 def test_long_lists_and_many_shapes_are_keyword_pages(spark):
     rng = random.Random(10)
     make = lambda k, n: ["".join(rng.choice("bdfglmnprstvz") + rng.choice("aeiou") for _ in range((n + 1) // 2))[:n] for _ in range(k)]
