@@ -42,28 +42,32 @@ STOP_WORDS = frozenset(
 TAG = re.compile(r"</?(?:%s)(?:\s[^<>]*)?/?>" % "|".join(ELEMENTS), re.I)
 ENTITY = re.compile(r"&(?:[A-Za-z]{2,8}\d{0,2}|#\d{2,6}|#[xX][0-9a-fA-F]{2,5});")
 COMMENT = re.compile(r"<!--.*?(?:-->|$)|<!DOCTYPE[^>]*>", re.S)
-OWN_LINE = re.compile(r"^\s*<(div|center|p|details|summary|br|img|a)\b[^<>]*>[^<>\n]*(?:</\1>)?\s*$", re.I)
+ANY_TAG = re.compile(r"<(?:[A-Za-z][\w:-]*(?:\s+[\w:-]+=(?:\"[^\"<>\n]*\"|'[^'<>\n]*'))+\s*/?|/[A-Za-z][\w:-]*\s*)>")
+NAME = re.compile(r"</?([A-Za-z][\w:-]*)")
+# HTML elements that the languages have as signs of their own.
+OWN_TAGS = {"markdown": frozenset(["br"]), "wiki": frozenset("br ref references nowiki small sub sup s u gallery blockquote math code pre".split())}
 MARKER = re.compile(r"\[\[[A-Z]+_\d{4}\]\]")
 PROJECT = re.compile(r"\[(?:PAGE_BREAK|NOTES|SLIDE \d+)\]|\[SHEET\][^\n]*")
 
 STRONG = {
     "markdown": re.compile(
         r"^#{2,6} \S|^ {0,3}(?:```|~~~)|\*\*(?=\S)[^*\n]+?(?<=\S)\*\*|(?<!\w)__(?=\S)[^_\n]+?__(?!\w)|!?\[[^\]\n]*\]\([^)\s]+\)|^[^\n]*\w[^\n]*\n(?:={3,}|-{3,})$|^\|?\s*:?-{3,}:?\s*(?:\|\s*:?-{3,}:?\s*)*\|$"
-        r"|^> \S|(?<!`)`[^`\n]+`(?!`)|~~(?=\S)[^~\n]+~~|^\s*[-*+] \[[ xX]\] |(?<![\w_])_(?=[^\W_])[^_\n]{1,80}(?<=[^\W_])_(?![\w_])",
+        r"|^> \S|(?<!`)`[^`\n]+`(?!`)|~~(?=\S)[^~\n]+~~|^\s*[-*+] \[[ xX]\] |(?<![\w_])_(?=[^\W_])[^_\n]{1,80}(?<=[^\W_])_(?![\w_])|(?<![\w*])\*(?=[^\W\d_])[^*\n]{1,80}(?<=[^\W\d_])\*(?![\w*])",
         re.M,
     ),
     "wiki": re.compile(r"\[\[(?![A-Z]+_\d+\]\])[^\[\]\n]+\]\]|\{\{[^{}\n]+\}\}|^(={2,6})[^=\n]*\w[^=\n]*\1\s*$|'''?(?=[^\s'])[^\n]+?'''?(?!\w)|^\{\||^\|\}|__(?:TOC|NOTOC)__", re.M),
-    "latex": re.compile(r"\\(?:%s)(?![A-Za-z])\*?|\$\$[^$\n]+\$\$|\$[^$\n]*\\[A-Za-z][^$\n]*\$" % "|".join(COMMANDS)),
+    "latex": re.compile(r"\\(?:%s)(?![A-Za-z])\*?|\\[A-Za-z]{2,}\*?(?:\[[^\]\n]*\])?\{[^{}\n]*\}|\{\\[A-Za-z]{2,} [^{}\n]*\}|(?<![\w$])\$(?=\S)[^$\n]{0,200}[\^_][^$\n]{0,200}(?<=\S)\$(?![\w$])|\$\$[^$\n]+\$\$|\$[^$\n]*\\[A-Za-z][^$\n]*\$" % "|".join(COMMANDS)),
 }
-#: One of these substrings is in every text with a strong sign of the language; they keep most texts from the patterns.
+#: One of these substrings is in every match of the language's patterns; they only save time.
 GATES = {
     "html": ("<", "&"),
-    "markdown": ("## ", "```", "~~", "**", "__", "](", "===", "---", "> ", "`", "- [", "* [", "+ [", " _", "\n_", "_ "),
-    "wiki": ("[[", "{{", "==", "''", "{|", "|}"),
+    "markdown": ("# ", "~~", "*", "_", "](", "===", "---", "> ", "`", "- [", "+ ["),
+    "wiki": ("[[", "{{", "==", "''", "{|", "|}", "__"),
     "latex": ("\\", "$"),
 }
 WEAK = {"markdown": re.compile(r"^(?:# |[-*+] )\S", re.M), "wiki": re.compile(r"^[*#:;]+ ?\S", re.M)}
 LINK = re.compile(r"https?://\S+|<a\s[^>]*>.*?</a>|\[[^\]\n]*\]\([^)\s]*\)", re.S)
+DOLLARS = re.compile(r"\$\$[^$]+\$\$|\$[^$\n]+\$")
 WORD = re.compile(r"[^\W\d_]+")
 #: A block of at least this many letters can be decided as prose; its share of stop words must reach the second figure.
 PROSE_LETTERS, PROSE_STOP_WORDS, LINK_DENSITY = 70, 0.15, 0.3
@@ -86,7 +90,7 @@ UNUSUAL = re.compile("[\xad​-‏⁠﻿＀-～̀-ͯ]")
 
 def _first_pass(text: str) -> Block:
     kinds = {kind for kind, pattern in STRONG.items() if any(g in text for g in GATES[kind]) and pattern.search(text)}
-    if ("<" in text and (COMMENT.search(text) or any(not OWN_LINE.match(line) for line in text.split("\n") if TAG.search(line)))) or ("&" in text and ENTITY.search(text)):
+    if "<" in text and (COMMENT.search(text) or TAG.search(text) or ANY_TAG.search(text)) or "&" in text and ENTITY.search(text):
         kinds.add("html")
     if kinds:
         return Block(text, frozenset(kinds), "markup")
@@ -103,10 +107,11 @@ def _own(block: Block) -> frozenset[str]:
     """What an undecided block's shared signs could mean."""
     if PROGRAM.search(block.text):
         return frozenset()
-    out = {kind for kind, pattern in WEAK.items() if pattern.search(block.text)}
-    if "<" in block.text and TAG.search(block.text):
-        out |= {"html", "markdown"}
-    return frozenset(out)
+    return frozenset(kind for kind, pattern in WEAK.items() if pattern.search(block.text))
+
+
+#: Shared signs that are a language's own where no block decides: a heading and a list, each a paragraph of its own.
+TITLE, LIST = re.compile(r"^# \S[^\n]*$"), re.compile(r"^(?:[-*+] \S[^\n]*(?:\n|$)){2,}")
 
 
 def blocks_of(text: str) -> list[Block]:
@@ -118,24 +123,32 @@ def blocks_of(text: str) -> list[Block]:
         if b.label in ("undecided", "links") and (may := _own(b)):
             near = sorted(decided, key=lambda j: (abs(i - j), j))
             taken = next((blocks[j].kinds & may for j in near if blocks[j].kinds & may), frozenset())
-            if not taken and "html" in may:
-                taken = frozenset({"html"})
             if taken:
                 b = Block(b.text, taken, "markup")
         out.append(b)
+    if not decided and any(TITLE.match(b.text) for b in out) and any(LIST.match(b.text.strip("\n")) for b in out):
+        out = [Block(b.text, frozenset({"markdown"}), "markup") if TITLE.match(b.text) or LIST.match(b.text) else b for b in out]
     return out
 
 
+def _foreign_html(text: str, others: set[str]) -> bool:
+    """Whether a text of another language has HTML that isn't that language's own."""
+    own = frozenset().union(*(OWN_TAGS[k] for k in others))
+    return bool(COMMENT.search(text)) or any(NAME.match(m[0])[1].lower() not in own for p in (TAG, ANY_TAG) for m in p.finditer(text))
+
+
 def kinds_of(text: str | None) -> list[str]:
     """The markup languages of a text, in the order of KINDS. Null, empty and blank texts have none."""
     if not text:
         return []
     text = plain_signs(text)
-    if not any(g in text for gates in GATES.values() for g in gates):
-        return []
     found: set[str] = set()
     for b in blocks_of(text):
         found |= b.kinds
+    if "html" in found and (others := found & OWN_TAGS.keys()) and not _foreign_html(text, others):
+        found.discard("html")
+    if {"markdown", "latex"} <= found and not STRONG["latex"].search(DOLLARS.sub(" ", text)):  # Markdown has formulas between dollars
+        found.discard("latex")
     return [k for k in KINDS if k in found]
 
 

@@ -242,8 +242,11 @@ def test_spans_stay_in_place_under_noise():
 
 @pytest.mark.parametrize("text,kinds", [
     ("<p>Hello <b>you</b></p>", ["html"]), ("a &nbsp; b", ["html"]), ("# Head\n\n**bold** and [x](y.md)\n\n- item", ["markdown"]), ("== Head ==\n\n* a [[link|b]]\n\n# one\n# two", ["wiki"]), ("\\section{A} \\emph{b}", ["latex"]),
-    ("see `code` here", ["markdown"]), ("[[PER_0001]] [PAGE_BREAK]\n1. one\n• two\nif a < b and c > d: #tag file_1_final", []), (None, []), ("", []), ("**b** text\n\n<div align=center>x</div>\n\n- [ ] do", ["markdown"]), ("Title\n=====\n\ntext `x`", ["markdown"]),
-    ("$$\\frac{a}{b}$$ and **x**", ["markdown", "latex"]), ("{{cite|x}}", ["wiki"]), ('<a href="http://x.test/1">one</a>\n<a href="http://x.test/2">two</a>', ["html"]), ("  # comment\n  x = 1", []),
+    ("see `code` here", ["markdown"]), ("[[PER_0001]] [PAGE_BREAK]\n1. one\n• two\nif a < b and c > d: #tag file_1_final", []), (None, []), ("", []), ("**b** text\n\n<div align=center>x</div>\n\n- [ ] do", ["html", "markdown"]), ("**b**<br>\nx", ["markdown"]), ("Title\n=====\n\ntext `x`", ["markdown"]),
+    ("$$\\frac{a}{b}$$ and **x**", ["markdown"]), ("$$\\frac{a}{b}$$ and **x** \\emph{y}", ["markdown", "latex"]), ("$$\\frac{a}{b}$$", ["latex"]),
+    ("# Title\n\n- item one\n- item two", ["markdown"]), ("It is $x^2$ here", ["latex"]), ("so {\\bf x} is", ["latex"]), ("a \\mycommand{x} b", ["latex"]), ("some *emphasis* here", ["markdown"]), ("(_x_)", ["markdown"]), ("<custom a=\"1\">x</custom>", ["html"]),
+    ("E = m * c^2 / n", []), ("costs $5 and $6_a", []), ("- a\n- b", []), ("x <ref>a</ref>\n\n== H ==", ["wiki"]),
+    ("{{cite|x}}", ["wiki"]), ('<a href="http://x.test/1">one</a>\n<a href="http://x.test/2">two</a>', ["html"]), ("  # comment\n  x = 1", []),
 ])
 def test_markup_kinds(text, kinds):
     assert markup.kinds_of(text) == kinds
