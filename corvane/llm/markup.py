@@ -197,7 +197,7 @@ RULES: dict[str, list[tuple[re.Pattern[str], str]]] = {
         (re.compile(r"^[*#:;]+ ?(?=\S)", re.M), "• "),
     ],
     "latex": [
-        (re.compile(r"(?<!\\)%.*$\n?", re.M), ""),
+        (re.compile(r"(?<![\\\d])%.*$\n?", re.M), ""),  # after a digit it is a per cent sign
         (re.compile(r"\\(?:usepackage|documentclass|includegraphics)\*?(?:\[[^\]]*\])?\{[^{}]*\}\n?"), ""),
         (re.compile(r"\\(?:footnote|cite|label|ref)\*?(?:\[[^\]]*\])?\{[^{}]*\}"), ""),
         (re.compile(r"\\(?:begin|end)\{[^{}]*\}(?:\[[^\]]*\])?\n?"), ""),
