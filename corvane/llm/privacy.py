@@ -142,6 +142,19 @@ PHONES = re.compile(
 )
 IDS = re.compile(r"(?<![\w+.,-])(?:\d{3}-\d{3}-\d{3}[ -]\d{2}|\d{3} \d{3} \d{3} \d{2}|\d{2} \d{2} \d{6}|\d{4} \d{6}|\d{10,12})(?![\w-]|[.,]\d)")
 
+#: Numbers known by their shape and check digits or by the word before them.
+IBAN = re.compile(r"(?<![\w-])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![\w-])")
+SOCIAL = re.compile(r"(?<![\w.+-])(?!000|666|9)\d{3}-(?!00)\d{2}-(?!0000)\d{4}(?![\w-]|\.\d)")
+PASSPORT = re.compile(r"(?i:passport|passeport|reisepass|personalausweis|identity card|id card|carte d'identité|паспорт\w*)(?i:\s*(?:no\.?|number|nr\.?|nummer|numéro|n°|№|номер|is|:|#)){0,3}\s*([A-Z]{1,3}[ -]?\d{6,9}|\d{2}[A-Z]{2}\d{5}|[CFGHJKLMNPRTVWXYZ][0-9CFGHJKLMNPRTVWXYZ]{8})(?![\w-])")
+PASSPORT_SIGNS = ("passp", "passe", "reisepass", "ausweis", "identity card", "id card", "identité", "паспорт")
+
+
+def valid_iban(value: str) -> bool:
+    """Check digits by ISO 13616: the moved-round number modulo 97 is 1."""
+    v = value.replace(" ", "")
+    return 15 <= len(v) <= 34 and int("".join(str(int(c, 36)) for c in v[4:] + v[:4])) % 97 == 1
+
+
 _TYPES = r"(?i:Street|St\.|Road|Rd\.|Lane|Avenue|Ave\b\.?|Row|Square|Sq\.|Drive|Court|Close|Way|Terrace)"
 _NAMED = r"[A-ZÀ-Þ][\w'’-]*"
 _PLACE = rf"{_NAMED}(?: {_NAMED})?"
@@ -150,6 +163,7 @@ ADDRESSES = [
      re.compile(rf"(?<![\w-])(?:\d{{1,4}}[A-Za-z]? (?:{_NAMED} ){{1,3}}{_TYPES}(?:, (?i:Flat|Apt\.?|Apartment) \d+\w?)?(?:, {_NAMED}(?: \d{{5}})?(?![\w]))?|(?:{_NAMED} ){{1,3}}{_TYPES} \d{{1,4}}[A-Za-z]?(?:, (?i:Flat|Apt\.?) \d+)?, \d{{5}} {_NAMED})")),
     ((" rue ", " avenue ", " boulevard ", " place ", " chemin "), re.compile(rf"(?<![\w-])\d{{1,4}}(?: bis| ter)?,? (?:rue|avenue|boulevard|place|chemin) (?:de la |de l'|des |du |de |d')?{_PLACE}(?:, (?:appt|app\.|apt) \d+)?(?:, \d{{5}} {_NAMED})?", re.I)),
     (("ул.", "улица", "проспект", "пр-т", "пер.", "переулок"), re.compile(r"(?<!\w)(?:\d{6}, )?(?:г\. [А-ЯЁ][\w-]+, )?(?:ул\.|улица|проспект|пр-т|пер\.|переулок) [А-ЯЁ][\w-]*(?: [А-ЯЁ][\w-]*)?(?:,? (?:д\.|дом) ?\d+\w?(?:, (?:кв\.|квартира) ?\d+)?| \d+\w?(?:-\d+)?)", re.I)),
+    (("via ", "viale ", "piazza ", "corso ", "calle ", "avenida ", "rua "), re.compile(rf"(?<![\w-])(?:Via|Viale|Piazza|Corso|Calle|Avenida|Rua) (?:(?:dei|della|delle|del|di|de|da|do|la) )*{_NAMED}(?: {_NAMED}){{0,2}},? \d{{1,4}}[A-Za-z]?(?:, \d{{5}} {_NAMED})?")),
     (("straße", "strasse", "str.", "weg ", "gasse", "platz ", "allee"), re.compile(rf"(?<!\w)[A-ZÀ-Þ][\w-]*(?:straße|strasse|str\.|weg|gasse|platz|allee) \d{{1,4}}[A-Za-z]?(?:, (?:Wohnung|Whg\.) \d+)?(?:, \d{{5}} {_NAMED})?", re.I)),
 ]
 
@@ -178,6 +192,22 @@ GENERAL = [
     ((".",), re.compile(rf"(?<![\w.-])({_I} ?{_I} ?{_W}|{_W} [{_UP}]\. ?[{_UP}]\.)(?![\w-])")),
     (("вич", "вна", "вны", "вне", "вну", "ичем"), re.compile(rf"(?<![\w-])((?:{_W} )?{_W} [А-ЯЁ][а-яё]+(?:вич(?:а|у|ем|е)?|вн(?:а|ы|е|у|ой))(?: {_W})?)(?![\w-])")),
 ]
+# Given names that are frequent in the four languages. With a surname after one of them no other evidence is needed.
+GIVEN = (
+    "Adam Alan Albert Alex Alexander Alfred Alice Amanda Amy Andrea Andreas Andrew Angela Anja Anna Anne Anton Antoine Arthur Barbara Benjamin Bernard Bernd Brian Camille Carl Carla Catherine Charles Charlotte "
+    "Christian Christine Christoph Claire Claudia Daniel David Diana Dieter Dmitri Dorothea Edward Elena Elisabeth Elizabeth Emily Emma Eric Erik Eva Florian François Frank Franz Friedrich Gabriele George Georg "
+    "Hannah Hans Heinrich Helen Helga Henri Henry Igor Ingrid Irina Isabelle Ivan Jacques Jakob James Jan Jane Jean Jennifer Jessica Johann John Jonas Joseph Julia Julie Jürgen Karin Karl Katharina Kevin Klaus Laura "
+    "Linda Louis Louise Lucas Lukas Maria Marie Mark Markus Martin Mary Matthew Matthias Michael Michel Monika Natalia Nicole Nikolai Olga Oliver Oscar Patricia Patrick Paul Paula Peter Petra Philip Philippe Pierre "
+    "Rachel Ralf Rebecca Richard Robert Sabine Samuel Sandra Sarah Sergei Sophie Stefan Stephanie Stephen Susan Susanne Svetlana Thomas Tatiana Ursula Uwe Victor Werner William Wolfgang"
+).split()
+GIVEN_CYRILLIC = "Александр Алексей Анастасия Андрей Анна Антон Виктор Виктория Владимир Галина Дарья Дмитрий Евгений Екатерина Елена Иван Игорь Ирина Ксения Людмила Максим Мария Михаил Наталья Николай Ольга Павел Пётр Сергей Светлана Татьяна Юлия Юрий".split()
+_FIRM = r"(?! ?(?:&|und Söhne|and Sons|et Fils|GmbH|AG\b|KG\b|Ltd|LLC|Inc|Corp|plc|SA\b|SARL|S\.A\.|Street|St\.|Road|Avenue|Lane|Square|Hotel|Hospital|Bank|School))"
+_NO_SURNAME = r"(?!(?:Street|St|Road|Avenue|Lane|Square|Way|Court|Drive|Hotel|Hospital|School|Bank|Luther King)\b)"
+_KEEL = r"(?<!\bMS )(?<!\bSS )(?<!\bMV )(?<!\bship )(?<!\bvessel )(?<!\bSchiff )(?<!\bHotel )(?<!\bnavire )(?<!судно )(?<!теплоход )(?<!\bSt\. )(?<!\bSankt )"
+GIVEN_NAME = re.compile(rf"(?<![\w.'’-]){_KEEL}((?:{'|'.join(GIVEN + GIVEN_CYRILLIC)})(?:-[{_UP}][^\W\d_]+)?(?: {_I}){{0,2}} {_NO_SURNAME}{_W}(?:-{_W})?)(?![\w-]){_FIRM}")
+#: Words at the end of a letter and of minutes, before a name of at least two words.
+CLOSING = re.compile(rf"(?i:kind regards|best regards|regards|yours sincerely|yours faithfully|sincerely|freundlichen grüßen|freundliche grüße|cordialement|bien à vous|с уважением|(?:taken|prepared|written|checked|approved|reported|submitted) by|protokoll:|geprüft von|erstellt von|rédigé par|составил[аи]?|подготовил[аи]?)[,:]?\s+({_W}(?: {_I}){{0,2}} {_W}(?:-{_W})?)(?![\w-]){_FIRM}")
+CLOSINGS = ("regards", "sincerely", "faithfully", " grü", "cordialement", "bien à vous", "уважением", " by ", "protokoll:", " von ", "rédigé par", "составил", "подготовил")
 _NO_PERSONS = frozenset("sir sirs madam madame all team customer customers colleague colleagues friend friends reader readers damen herren herr frau kollegen kunden client clients collègues коллеги друзья господа клиенты".split())
 _LEAD = re.compile(r"^(?:(?:Tenant|Our|The|Contact|Colleague|Mr|Mrs|Ms|Dr|Prof|Herr|Frau|Mme)\.? )+", re.I)
 
@@ -199,7 +229,14 @@ def _names(text: str, low: str) -> Iterator[tuple[int, int]]:
 
 
 def _general(text: str, low: str) -> Iterator[tuple[int, int]]:
-    """Names by titles, salutations, initials and patronymics."""
+    """Names by titles, salutations, initials, patronymics, given names and closings."""
+    for m in GIVEN_NAME.finditer(text):
+        a, b = m.span(1)
+        yield a, b - 2 if text[b - 2 : b] in ("'s", "’s") else b
+    if any(c in low for c in CLOSINGS):
+        for m in CLOSING.finditer(text):
+            if not {w.lower() for w in m[1].split()} & (_NOT_NAMES | _NO_PERSONS):
+                yield m.span(1)
     for anchors, pattern in GENERAL:
         if any(a in low for a in anchors):
             for m in pattern.finditer(text):
@@ -254,6 +291,10 @@ def detect(text: str | None) -> list[Span]:
     for anchors, pattern in ADDRESSES:
         for a, b in _near(low, anchors, 70, 70):
             found += [(m.start(), m.end(), 2, "ADDRESS") for m in pattern.finditer(s, a, b)]
+    found += [(m.start(), m.end(), 2, "ID_NUMBER") for m in IBAN.finditer(s) if valid_iban(m[0])]
+    found += [(m.start(), m.end(), 3, "ID_NUMBER") for m in SOCIAL.finditer(s)]
+    if any(w in low for w in PASSPORT_SIGNS):
+        found += [(*m.span(1), 3, "ID_NUMBER") for m in PASSPORT.finditer(s)]
     for m in NUMBERS.finditer(s):
         a, b = max(0, m.start() - 1), m.end() + 2
         piece = s[a:b]
