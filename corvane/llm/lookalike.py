@@ -1,10 +1,10 @@
 """One consistent spelling for text that looks the same (problem 1).
 
 Look-alike classes are built by union-find over code points and strings: full-width forms, kinds of blank
-and hyphen, letters of other scripts with the same shape, composed and decomposed accents, and invisible
-characters (the class of the empty string). The representative of a class is its most frequent member in the
-corpus, counted over all texts. Texts are rewritten greedily, leftmost and longest first, by one automaton
-over all members that aren't representatives.
+and hyphen, letters of other scripts with the same shape, ligatures, letters of other fonts, composed and decomposed
+accents, and invisible characters (the class of the empty string). The representative of a class is its most frequent
+member in the corpus, strings included, counted over all texts. Texts are rewritten greedily, leftmost and longest
+first, by one automaton over all members that aren't representatives.
 """
 
 from __future__ import annotations
@@ -12,6 +12,7 @@ from __future__ import annotations
 import hashlib
 import re
 import unicodedata
+from collections import Counter
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
@@ -27,11 +28,31 @@ SAME_SHAPE = """
 АA ВB ЕE ЅS ІI ЈJ КK МM НH ОO РP СC ТT УY ХX ԚQ ԜW
 аa еe ѕs іi јj оo рp сc уy хx ԛq ԝw һh ԁd
 ΑA ΒB ΕE ΖZ ΗH ΙI ΚK ΜM ΝN ΟO ΡP ΤT ΥY ΧX
-οo νv ϲc ϳj
+οo νv ϲc ϳj ρp
+ҮY ӏl ԛq ԝw ԌG օo հh ցg ՕO ՍU ՏS ɡg ɑa
+ᎪA ᏴB ᏟC ᎠD ᎬE ᏀG ᎻH ᎫJ ᏦK ᏞL ᎷM ᏢP ᏒR ᏚS ᎢT ᏙV ᎳW ᏃZ
+ꓮA ꓐB ꓚC ꓓD ꓰE ꓝF ꓖG ꓧH ꓲI ꓙJ ꓗK ꓡL ꓟM ꓠN ꓳO ꓑP ꓣR ꓢS ꓔT ꓴU ꓦV ꓪW ꓫX ꓬY ꓜZ
 """.split()
 
-MARKS = re.compile("[̀-ͯ]")
-_LIMIT = 0x32400
+#: Code points of all planes that have letters, marks or invisible characters.
+_LIMIT = 0xE0200
+
+
+@lru_cache(1)
+def _mark_set() -> frozenset[str]:
+    """Characters that stand after the first in a canonical decomposition, and narrow letters that compose as those do."""
+    marks = {c for cp in range(1, 0x1F000) for c in unicodedata.normalize("NFD", chr(cp))[1:]}
+    return frozenset(marks | set("ﾞﾟ") | set(map(chr, range(0xFFA1, 0xFFDD))))
+
+
+def _class_of(chars: Iterable[str]) -> str:
+    """A pattern's class of these characters; of the planes above the first it takes all, as the pattern is slow on many of them."""
+    low = sorted(c for c in chars if c < "\U00010000")
+    return "[" + re.escape("".join(low)) + "\U00010000-\U0010ffff]"
+
+
+#: Texts that may hold accents apart from their letters.
+MARKS = re.compile(_class_of(_mark_set()))
 
 
 class UnionFind:
@@ -53,29 +74,29 @@ class UnionFind:
 
 def _invisible(c: str) -> bool:
     kind = unicodedata.category(c)
-    return kind == "Cf" or kind == "Cc" and c not in "\t\n\r\x0b\x0c\x85" or "︀" <= c <= "️" or c in "͏ᅟᅠ឴឵ㅤﾠ"
+    return kind == "Cf" or kind == "Cc" and c not in "\t\n\r\x0b\x0c\x85" or "︀" <= c <= "️" or "\U000e0100" <= c <= "\U000e01ef" or c in "͏ᅟᅠ឴឵ㅤﾠ"
 
 
 def _sources() -> Iterator[tuple[str, str]]:
     """Pairs of strings that a reader cannot tell apart, by rule except for the letters above."""
     for a, b in SAME_SHAPE:
         yield a, b
-    for cp in range(0xFF01, 0xFF5F):
-        yield chr(cp), chr(cp - 0xFEE0)
-    for cp in range(0x10000):
+    for cp in range(_LIMIT):
         c = chr(cp)
         kind = unicodedata.category(c)
+        if kind in ("Cn", "Cs", "Co"):
+            continue
         if kind == "Zs" and c != " ":
             yield c, " "
         elif kind == "Pd" and "HYPHEN" in unicodedata.name(c, "") and c != "-":
             yield c, "-"
         elif _invisible(c):
             yield c, ""
-    for cp in range(0x1F00):
-        c = chr(cp)
-        whole = unicodedata.normalize("NFD", c)
-        if len(whole) > 1:
-            yield c, whole
+        elif whole := unicodedata.decomposition(c):
+            if whole.startswith(("<wide>", "<narrow>", "<font>")) or whole.startswith("<compat>") and re.search("LIGATURE|ROMAN NUMERAL", unicodedata.name(c, "")):
+                yield c, unicodedata.normalize("NFC", unicodedata.normalize("NFKD", c))
+            elif whole[0] != "<":
+                yield c, unicodedata.normalize("NFD", c)
 
 
 @lru_cache(1)
@@ -94,15 +115,22 @@ def classes() -> dict[str, frozenset[str]]:
     return {s: frozen for members in out.values() if len(members) > 1 for frozen in [frozenset(members)] for s in members}
 
 
+def _spelled(s: str) -> bool:
+    """Several letters that one sign stands for; they are always the representative."""
+    return len(s) > 1 and _mark_set().isdisjoint(s)
+
+
 class Lookalikes:
     """Classes with chosen representatives, and the automaton that rewrites texts."""
 
     def __init__(self, frequency: dict[str, int] | None = None) -> None:
         frequency = frequency or {}
+        self.plain = None if not frequency else lookalikes()  # shortest representatives, composed
         self.representative: dict[str, str] = {}
         self.automaton = ahocorasick.Automaton()
         for members in set(classes().values()):
-            best = "" if "" in members else min(members, key=lambda s: (-frequency.get(s, 0), len(s), s))
+            spelled = [s for s in members if _spelled(s)]
+            best = "" if "" in members else min(spelled) if spelled else min(members, key=lambda s: (-frequency.get(s, 0), len(s), s))
             for s in members:
                 self.representative[s] = best
         final = {s: "".join(self.representative.get(c, c) for c in r) if len(r) > 1 else r for s, r in self.representative.items()}
@@ -111,12 +139,19 @@ class Lookalikes:
             if s and s != r:
                 self.automaton.add_word(s, (len(s), r))
         self.automaton.make_automaton()
-        self.strange = re.compile("[" + re.escape("".join(sorted({c for s, r in final.items() if s != r for c in s if c not in r}))) + "]")
+        # of a longer member what stands after its first character
+        odd = {c for s, r in final.items() if s and s != r for c in (s if len(s) == 1 else s[1:])}
+        self.strange = re.compile(_class_of(odd | _mark_set()))
+
+        #: Texts whose form differs in length from what single characters become.
+        self.uneven = re.compile(_class_of(_mark_set() | {s for s, r in final.items() if len(s) == 1 and len(r) > 1}))
 
     def rewrite(self, text: str) -> str:
         """`text` in the consistent form. Idempotent."""
         if not self.strange.search(text):
             return text
+        if self.plain and MARKS.search(text):  # accents meet their letters first, so that longer members are seen whole
+            text = self.plain.rewrite(text)
         out, at = [], 0
         for end, (n, new) in self.automaton.iter_long(text):
             out.append(text[at : end + 1 - n])
@@ -124,7 +159,7 @@ class Lookalikes:
             at = end + 1
         out.append(text[at:])
         text = "".join(out)
-        if MARKS.search(text):  # an accent that an invisible character kept from its letter
+        if not self.plain and MARKS.search(text):  # an accent that an invisible character kept from its letter
             whole = unicodedata.normalize("NFC", text)
             if whole != text:
                 return self.rewrite(whole)
@@ -140,22 +175,41 @@ def codes_of(texts: Iterable[str]) -> np.ndarray:
     return np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
 
 
+@lru_cache(1)
+def _strings() -> tuple[ahocorasick.Automaton, np.ndarray]:
+    """The members of several code points as an automaton, and which code points are members."""
+    automaton, single = ahocorasick.Automaton(), np.zeros(0x110000, bool)
+    for s in classes():
+        if len(s) > 1 and not _spelled(s):
+            automaton.add_word(s, s)
+        elif len(s) == 1:
+            single[ord(s)] = True
+    automaton.make_automaton()
+    return automaton, single
+
+
 def count_members(df: DataFrame, column: str) -> DataFrame:
-    """(code int, n long): how often each member of a class that is one code point occurs, over all texts."""
+    """(member string, n long): how often each member of a class occurs, over all texts; the longest member at a place counts."""
 
     def tally(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        wanted = np.zeros(0x110000, bool)
-        wanted[[ord(s) for s in classes() if len(s) == 1]] = True
-        total = np.zeros(0x110000, np.int64)
+        automaton, single = _strings()
+        total, strings = np.zeros(0x110000, np.int64), Counter()
         for batch in batches:
-            codes = codes_of(batch["text"].dropna())
+            texts = batch["text"].dropna()
+            codes = codes_of(texts)
             if len(codes):
                 n = np.bincount(codes)
                 total[: len(n)] += n
-        codes = np.flatnonzero(total * wanted)
-        yield pd.DataFrame({"code": codes.astype("int32"), "n": total[codes]})
+            for text in texts:
+                if not text.isascii() and MARKS.search(text):
+                    strings.update(s for _, s in automaton.iter_long(text))
+        for s, n in strings.items():
+            for c in s:
+                total[ord(c)] -= n
+        codes = np.flatnonzero(total * single)
+        yield pd.DataFrame({"member": pd.Series([*map(chr, codes), *strings], dtype=object), "n": pd.Series([*total[codes].tolist(), *strings.values()], dtype="int64")})
 
-    return df.select(F.col(column).alias("text")).mapInPandas(tally, "code int, n long").groupBy("code").agg(F.sum("n").alias("n"))
+    return df.select(F.col(column).alias("text")).mapInPandas(tally, "member string, n long").groupBy("member").agg(F.sum("n").alias("n"))
 
 
 def representatives(*texts: DataFrame) -> tuple[tuple[str, int], ...]:
@@ -164,8 +218,8 @@ def representatives(*texts: DataFrame) -> tuple[tuple[str, int], ...]:
     for df in texts:
         part = count_members(df, df.columns[0])
         counted = part if counted is None else counted.unionByName(part)
-    rows = counted.groupBy("code").agg(F.sum("n").alias("n")).collect()
-    return tuple(sorted((chr(r.code), r.n) for r in rows))
+    rows = counted.groupBy("member").agg(F.sum("n").alias("n")).collect()
+    return tuple(sorted((r.member, r.n) for r in rows))
 
 
 def normalize(df: DataFrame, column: str, frequency: tuple[tuple[str, int], ...] = ()) -> DataFrame:
@@ -198,35 +252,48 @@ def keyed(df: DataFrame, record: str, column: str, frequency: tuple[tuple[str, i
     )
 
 
-#: Rows of one stored form that one task pairs with another form's rows at most.
-SALT_ROWS = 4096
+#: Rows of one shown text that one task pairs with others at most, and how many texts are taken for hot at most.
+SALT_ROWS, HOT_TEXTS = 4096, 1000
 
 
 def same_looking_pairs(keyed_rows: DataFrame) -> DataFrame:
     """(table_name, id_a, id_b) of records that are shown alike but stored differently.
 
-    Input: (table_name, id, raw, shown). Copies of one stored form are counted first, so a form that a third of
-    all rows share costs one row here; its rows are salted before they meet those of the other forms. The
-    work is in proportion to the pairs returned.
+    Input: (table_name, id, raw, shown). Copies of one stored form are counted first, so a form that a third of all
+    rows share costs one row there. Texts that hold more than a thousandth of all rows are known before the first
+    join and salted in it. The work is in proportion to the pairs returned.
     """
+    text = ["table_name", "shown"]
     rows = checkpointed(keyed_rows.distinct())  # digests only; the texts are rewritten once
-    forms = rows.groupBy("table_name", "shown", "raw").agg(F.count("*").alias("n"))
-    several = forms.groupBy("table_name", "shown").agg(F.count("*").alias("forms")).where("forms > 1").select("table_name", "shown")
-    forms = forms.join(several, ["table_name", "shown"], "left_semi")
-    a, b = forms.alias("a"), forms.alias("b")
-    met = a.join(b, (F.col("a.table_name") == F.col("b.table_name")) & (F.col("a.shown") == F.col("b.shown")) & (F.col("a.raw") < F.col("b.raw")))
-    left_larger = F.col("a.n") >= F.col("b.n")
-    met = met.select(
-        F.col("a.table_name").alias("table_name"),
-        F.col("a.shown").alias("shown"),
-        F.when(left_larger, F.col("a.raw")).otherwise(F.col("b.raw")).alias("large"),
-        F.when(left_larger, F.col("b.raw")).otherwise(F.col("a.raw")).alias("small"),
-        F.ceil(F.greatest("a.n", "b.n") / F.lit(SALT_ROWS)).cast("int").alias("salts"),
-    ).withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
-    members = rows.join(several, ["table_name", "shown"], "left_semi").select("table_name", "shown", "raw", "id")
-    smaller = met.join(members.withColumnRenamed("raw", "small").withColumnRenamed("id", "s"), ["table_name", "shown", "small"])
-    larger = members.join(forms.select("table_name", "shown", "raw", "n"), ["table_name", "shown", "raw"]).select(
-        "table_name", "shown", F.col("raw").alias("large"), F.col("id").alias("l"), F.pmod(F.xxhash64("id"), F.ceil(F.col("n") / F.lit(SALT_ROWS))).cast("int").alias("salt")
-    )
-    pairs = smaller.join(larger, ["table_name", "shown", "large", "salt"]).where("s <> l")
+    forms = rows.groupBy(*text, "raw").agg(F.count("*").alias("n"))
+    several = checkpointed(forms.groupBy(*text).agg(F.count("*").alias("forms"), F.sum("n").alias("all")).where("forms > 1"))
+    least = max(SALT_ROWS, rows.count() // HOT_TEXTS)
+    hot = F.broadcast(several.where(F.col("all") > least).select(*text, F.ceil(F.col("all") / F.lit(SALT_ROWS)).cast("int").alias("salts")))  # HOT_TEXTS rows at most
+    salts = F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1)
+    salted = several.join(hot, text, "left").select(*text, "salts", F.explode(salts).alias("salt"))
+    members = rows.join(hot, text, "left").withColumn("salt", F.coalesce(F.pmod(F.xxhash64("id"), F.col("salts")), F.lit(0)).cast("int")).join(salted.select(*text, "salt"), [*text, "salt"], "left_semi")
+    parts = members.groupBy(*text, "raw", "salt").agg(F.count("*").alias("n")).drop("n")  # what stands for the rows of one form and salt
+    a, b = parts.select(*text, F.col("raw").alias("ra"), F.col("salt").alias("sa")), parts.select(*text, F.col("raw").alias("rb"), F.col("salt").alias("sb"))
+    met = a.join(b, text).where("ra < rb")
+    left = members.select(*text, F.col("raw").alias("ra"), F.col("salt").alias("sa"), F.col("id").alias("s"))
+    right = members.select(*text, F.col("raw").alias("rb"), F.col("salt").alias("sb"), F.col("id").alias("l"))
+    pairs = met.join(left, [*text, "ra", "sa"]).join(right, [*text, "rb", "sb"]).where("s <> l")
     return pairs.select("table_name", F.least("s", "l").alias("id_a"), F.greatest("s", "l").alias("id_b")).distinct()
+
+
+def same_looking_classes(keyed_rows: DataFrame) -> DataFrame:
+    """(table_name, id, class_id, size, links): each record, the smallest id shown alike, how many are, and how many of them are stored differently.
+
+    Rows are in proportion to the records, also where a third of them is shown alike.
+    """
+    text = ["table_name", "shown"]
+    rows = checkpointed(keyed_rows.distinct())
+    forms = rows.groupBy(*text, "raw").agg(F.count("*").alias("n"), F.min("id").alias("first"))
+    shown = forms.groupBy(*text).agg(F.sum("n").alias("size"), F.min("first").alias("class_id"))
+    known = forms.join(shown, text).select(*text, "raw", "class_id", "size", (F.col("size") - F.col("n")).alias("links"))
+    least = max(SALT_ROWS, rows.count() // HOT_TEXTS)
+    large = known.where(F.col("size") - F.col("links") > least)  # forms of more rows than that are few
+    small = known.where(F.col("size") - F.col("links") <= least)
+    columns = ["table_name", "id", "class_id", "size", "links"]
+    hot = rows.join(F.broadcast(large), [*text, "raw"]).select(*columns)
+    return hot.unionByName(rows.join(F.broadcast(large.select(*text, "raw")), [*text, "raw"], "left_anti").join(small, [*text, "raw"]).select(*columns))

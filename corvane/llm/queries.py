@@ -8,12 +8,19 @@ from ..session import table
 from . import leakage, lookalike, markup, neardup, privacy, spam, splitting, tokens
 
 
-def p1_found(spark: SparkSession, folder: str) -> DataFrame:
+def _shown(spark: SparkSession, folder: str) -> DataFrame:
     documents, messages = table(spark, folder, "documents"), table(spark, folder, "chat_messages")
     frequency = lookalike.representatives(documents.select("text"), messages.select("content"))
     rows = lookalike.keyed(documents, "doc_id", "text", frequency).withColumn("table_name", F.lit("documents"))
-    rows = rows.unionByName(lookalike.keyed(messages, "message_id", "content", frequency).withColumn("table_name", F.lit("chat_messages")))
-    return lookalike.same_looking_pairs(rows)
+    return rows.unionByName(lookalike.keyed(messages, "message_id", "content", frequency).withColumn("table_name", F.lit("chat_messages")))
+
+
+def p1_found(spark: SparkSession, folder: str) -> DataFrame:
+    return lookalike.same_looking_pairs(_shown(spark, folder))
+
+
+def p1_classes(spark: SparkSession, folder: str) -> DataFrame:
+    return lookalike.same_looking_classes(_shown(spark, folder))
 
 
 def p1_text(spark: SparkSession, folder: str) -> DataFrame:
@@ -70,7 +77,7 @@ def p9_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict:
-    found = (p1_found, p1_text, p2_found, p2_classes, p3_found, p5_found, p5_text, p6_found, p6_text, p7_ids, p8_found, p9_found)
+    found = (p1_found, p1_classes, p1_text, p2_found, p2_classes, p3_found, p5_found, p5_text, p6_found, p6_text, p7_ids, p8_found, p9_found)
     return {f.__name__: f for f in found}
 
 

@@ -12,7 +12,7 @@ from typing import NamedTuple
 
 import numpy as np
 
-from .lookalike import _LIMIT, MARKS, codes_of, lookalikes
+from .lookalike import _LIMIT, codes_of, lookalikes
 
 BREAK = np.uint32(10)
 _DROP = np.uint32(0xFFFFFFFF)
@@ -94,8 +94,8 @@ def words_of(texts: Sequence[str], piece: int = 1 << 21) -> Words:
 
 
 def _composed(t: str) -> str:
-    """Texts with accents of their own are rewritten first; for the others the tables suffice."""
-    return t if t.isascii() or not MARKS.search(t) else lookalikes().rewrite(t)
+    """Texts with accents of their own or ligatures are rewritten first; for the others the tables suffice."""
+    return t if t.isascii() or not lookalikes().uneven.search(t) else lookalikes().rewrite(t)
 
 
 def _words(texts: Sequence[str]) -> Words:

@@ -16,6 +16,7 @@ LOC = "array<struct<char_start:int,char_end:int,location_kind:string,location_va
 def test_forms_are_consistent():
     L = lookalike.lookalikes()
     same = [("Ｔｈｅ　ｌａｍｐ", "The lamp"), ("Тhе lаmр", "The lamp"), ("cafe\u0301", "café"), ("a\u00a0b\u202fc", "a b c"), ("e\u2011mail", "e-mail"), ("so\u00adft\u200b", "soft"), ("е\u200b\u0308", "ë"), ("\u0395\u03b1", "E\u03b1")]
+    same += [("か\u3099", "が"), ("\u1112\u1161\u11ab", "한"), ("ｶﾞ", "ガ"), ("ﬁne", "fine"), ("Ⅳ", "IV"), ("𝐀b", "Ab"), ("օne", "one"), ("Үes", "Yes"), ("a\U000e0041b\U000e0101", "ab"), ("\u212b", "Å"), ("e\u200b\U000e0101\u0301", "é"), ("а\u0301", "á")]
     for a, b in same:
         assert L.rewrite(a) == L.rewrite(b) and L.rewrite(L.rewrite(a)) == L.rewrite(a)
     for a, b in [("Lamp", "lamp"), ("café", "cafe"), ("1", "2"), ("m²", "m2"), ("a\r\nb", "a\nb"), ("a—b", "a-b")]:
@@ -29,6 +30,18 @@ def test_representatives_follow_frequency(spark):
     assert lookalike.normalize(df, "t", frequency).first()["t"] == "оооо о"
 
 
+def test_strings_may_represent_a_class(spark):
+    df = spark.createDataFrame([("e\u0301 e\u0301 é о",), ("ｶﾞ",)], "t string")
+    frequency = lookalike.representatives(df)
+    assert dict(frequency)["e\u0301"] == 2 and dict(frequency)["é"] == 1
+    got = [r["t"] for r in lookalike.normalize(df, "t", frequency).collect()]
+    assert got[0] == "e\u0301 e\u0301 e\u0301 о"
+    L = lookalike.lookalikes(frequency)
+    for t in ("é", "e\u0301", "е\u200b\u0301", "ガ", "ｶﾞ", "x"):
+        assert L.rewrite(L.rewrite(t)) == L.rewrite(t)
+    assert L.rewrite("é") == L.rewrite("е\u200b\u0301") and L.rewrite("ガ") == L.rewrite("ｶﾞ")
+
+
 def test_pairs(spark, monkeypatch):
     monkeypatch.setattr(lookalike, "SALT_ROWS", 2)
     rows = [(1, "lamp"), (2, "lаmp"), (3, "lamp"), (4, "LAMP"), (5, None), (6, " "), (7, "\u200b"), (2, "lаmp"), (8, "la\u200bmp"), (9, "lamp"), (10, "lamp")]
@@ -43,10 +56,10 @@ def test_pairs(spark, monkeypatch):
 # --- 2 ---
 
 def test_word_hashes_equal_words():
-    texts = ["One two-three, ONE_two", "", "é E\u0301 ё", "x" * 5000 + " y", "Ｏｎｅ ｔｗｏ"]
+    texts = ["One two-three, ONE_two", "", "é E\u0301 ё", "x" * 5000 + " y", "Ｏｎｅ ｔｗｏ", "ﬁne Ⅳ 𝐀b"]
     w = words.words_of(texts)
     plain = [re.findall(r"[^\W_]+", lookalike.lookalikes().rewrite(t).lower()) for t in texts]
-    assert np.bincount(w.text, minlength=5).tolist() == [len(p) for p in plain]
+    assert np.bincount(w.text, minlength=6).tolist() == [len(p) for p in plain]
     seen = {}
     for word, h in zip((x for p in plain for x in p), w.hashes.tolist()):
         assert seen.setdefault(word, h) == h
