@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import argparse
 import json
+import os
 import sys
 
 from .plans.asking import Pipeline
@@ -15,6 +16,7 @@ from .sources import settings
 def main(arguments: list[str] | None = None) -> int:
     parser = argparse.ArgumentParser("corvane")
     parser.add_argument("--config")
+    parser.add_argument("--environment", default=".env", help="file of KEY=value lines; what is set already wins")
     commands = parser.add_subparsers(dest="command", required=True)
     commands.add_parser("doctor")
     build = commands.add_parser("index")
@@ -29,10 +31,13 @@ def main(arguments: list[str] | None = None) -> int:
     demark.add_argument("answer_file")
     args = parser.parse_args(arguments)
     try:
+        if os.path.isfile(args.environment):
+            settings.load_environment(args.environment)
         held = settings.load(args.config)
         if args.command == "doctor":
-            print(json.dumps({"source_root": held.source_root, "state_root": held.state_root, "ok": True}))
-            return 0
+            ok = {"source_root": os.path.isdir(held.source_root), "state_root": os.access(os.path.dirname(os.path.abspath(held.state_root)) or "/", os.W_OK)}
+            print(json.dumps({"source_root": held.source_root, "state_root": held.state_root, "found": ok["source_root"], "writable": ok["state_root"], "ok": all(ok.values())}))
+            return 0 if all(ok.values()) else 1
         spark = build_session("corvane-cli")
         if args.command == "index":
             report = Indexer(spark, held).run(args.max_files, args.prune)

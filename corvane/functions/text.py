@@ -78,16 +78,9 @@ def slice_text(c: Column, start: Column, end: Column) -> Column:
 def window(low: Column, high: Column, focus_start: Column, focus_end: Column, budget: Column) -> Column:
     """struct<start,end> of at most `budget` characters of low..high around the focus, moved where a bound is near."""
     start = F.least(F.greatest(focus_start, low), high)
-    end = F.least(F.greatest(focus_end, start), high)
-    rest = budget - (end - start)
-    before = F.least(start - low, (rest / 2).cast("int"))
-    after = F.least(high - end, rest - before)
-    before = F.least(start - low, rest - after)
-    return (
-        F.when(high - low <= budget, F.struct(low.alias("start"), high.alias("end")))
-        .when(rest <= 0, F.struct(start.alias("start"), F.least(high, start + budget).alias("end")))
-        .otherwise(F.struct((start - before).alias("start"), (end + after).alias("end")))
-    )
+    spare = budget - (F.least(F.greatest(focus_end, start), high) - start)
+    begin = F.when(spare <= 0, start).otherwise(F.least(F.greatest(start - F.floor(spare / 2).cast("int"), low), high - budget))
+    return F.when(high - low <= budget, F.struct(low.alias("start"), high.alias("end"))).otherwise(F.struct(begin.alias("start"), F.least(high, begin + budget).alias("end")))
 
 
 def table_excerpt(text: Column, low: Column, high: Column, focus_start: Column, focus_end: Column, budget: Column, separator: str, header: int = 3000) -> Column:

@@ -22,7 +22,7 @@ from .. import storage
 EVENTS = "item string, version string, kind string, token long, owner string, until long"
 
 
-def latest(df: DataFrame, key: str, *order: str) -> DataFrame:
+def latest(df: DataFrame, key: str | tuple[str, ...], *order: str) -> DataFrame:
     """The row of each key with the greatest `order`; of equal rows one, of others that tie the greatest in all columns.
 
     Rows whose order columns are null come last. One aggregation with partial results, so of a key that holds a third
@@ -30,7 +30,8 @@ def latest(df: DataFrame, key: str, *order: str) -> DataFrame:
     """
     rest = [c for c in df.columns if c not in order]
     row = F.struct(*[F.col(c) for c in (*order, *rest)])
-    return df.groupBy(F.col(key).alias("_key")).agg(F.max(row).alias("_row")).select("_row.*").select(*df.columns)
+    keys = [F.col(k).alias(f"_key{i}") for i, k in enumerate((key,) if isinstance(key, str) else key)]
+    return df.groupBy(*keys).agg(F.max(row).alias("_row")).select("_row.*").select(*df.columns)
 
 
 def _hex(c: Column) -> Column:

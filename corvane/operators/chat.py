@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions import text as T
+from .changes import latest
 
 ROLES = ("system", "user", "assistant", "tool")
 # The names of the roles and the heading in contexts.
@@ -14,9 +15,10 @@ KEYS = ("user_id", "chat_id")
 
 
 def usable(messages: DataFrame) -> DataFrame:
-    """Messages of a known role with content, stripped; each (user, chat, position) once, the one loaded last."""
-    good = messages.where(F.col("role").isin(*ROLES)).withColumn("content", T.strip(F.col("content"))).where("content <> ''")
-    return good
+    """Messages of a known role with content, stripped; each (user, chat, position) once, the one
+    loaded last, of several of that time the one with the greatest columns."""
+    one = latest(messages, (*KEYS, "position"), *[c for c in ("loaded_at",) if c in messages.columns])
+    return one.where(F.col("role").isin(*ROLES)).withColumn("content", T.strip(F.col("content"))).where("content <> ''")
 
 
 def _suffix(c: Column, n: Column) -> Column:

@@ -32,10 +32,11 @@ def drift(template: DataFrame, target: DataFrame) -> DataFrame:
 
 
 def fresh(hits: DataFrame, manifest: DataFrame, scan: DataFrame) -> DataFrame:
-    """Hits whose file still has the size, time and hash that it was indexed with."""
+    """Hits whose file still has the size, time and, where the scan has hashed it, hash that it was indexed with."""
+    hashed = "revision" in scan.columns
     m = manifest.select("document_id", "size", "mtime_ns", F.lower("revision").alias("_r"))
-    s = scan.select("document_id", "size", "mtime_ns", F.lower("revision").alias("_r"))
-    same = m.join(s, ["document_id", "size", "mtime_ns", "_r"], "left_semi").select("document_id", "_r")
+    s = scan.select("document_id", "size", "mtime_ns", *([F.lower("revision").alias("_r")] if hashed else []))
+    same = m.join(s, s.columns, "left_semi").select("document_id", "_r")
     return hits.withColumn("_r", F.lower("revision")).join(same, ["document_id", "_r"], "left_semi").drop("_r")
 
 

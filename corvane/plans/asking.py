@@ -16,7 +16,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import rules, text as T
-from ..operators import chunks, context, control, search, spans
+from ..operators import chunks, context, control, files, search, spans
 from ..operators.index import canonical
 from ..sources import extract, inventory
 from ..sources.settings import Settings
@@ -46,7 +46,12 @@ class Retriever:
         asked = requests.select("request_id", T.normalize_query(F.col("question")).alias("q")).where("q <> ''").select("request_id", ix.embedder.embed(F.col("q")).alias("embedding"))
         condition = search.Policy(s.access_group).condition(ix.embedder.version, ix.signature())
         hits = search.top_k(ix.points.read(), asked, top_k or s.top_k, condition, s.score_threshold)
-        return self._with_text(search.validated(hits, ix.manifest.read()))
+        return self._with_text(self._fresh(search.validated(hits, ix.manifest.read())))
+
+    def _fresh(self, hits: DataFrame) -> DataFrame:
+        """Hits whose files are as they were when they were indexed, by a listing of the source folder; none is read."""
+        s = self.settings
+        return files.fresh(hits, self.indexer.manifest.read(), inventory.scan(self.spark, s.source_root, s.extensions))
 
     def _with_text(self, hits: DataFrame) -> DataFrame:
         d = self.indexer.documents.read().select("document_id", F.col("revision").alias("_r"), F.col("text").alias("_t"))
@@ -59,7 +64,7 @@ class Retriever:
     def around(self, hits: DataFrame, radius: int | None = None) -> DataFrame:
         """Neighbouring chunks of hits in the current index, with the hit's score."""
         near = search.neighbours(hits.select("request_id", "rank", "score", "document_id", "revision", "ordinal", "chunk_id"), self.indexer.points.read().where(F.col("index_signature") == self.indexer.signature()).drop("embedding"), self.settings.adjacent_radius if radius is None else radius)
-        return self._with_text(search.validated(near, self.indexer.manifest.read()))
+        return self._with_text(self._fresh(search.validated(near, self.indexer.manifest.read())))
 
     def attachment(self, question: str, name: str, request_id: str, top_k: int | None = None) -> DataFrame:
         """Hits inside one file that the user named, which needn't be in the index."""

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .. import storage
 from ..functions.vectors import HashingEmbedder
-from ..operators import chunks, index
+from ..operators import chunks, files as kept, index
 from ..sources import extract, inventory
 from ..sources.settings import Settings
 
@@ -106,7 +106,8 @@ class Indexer:
         )
         gone = index.missing(files, manifest).select("document_id") if prune else spark.createDataFrame([], "document_id string")
         replaced = texts.where("error_code is null").select("document_id").unionByName(gone)
-        self.points.write(vectors if points is None else index.replace_children(points, vectors, "document_id", replaced), 100_000)
+        vectors = kept.same_dimension(vectors, self.embedder.dimension)
+        kept.retried(lambda: self.points.write(vectors if points is None else index.replace_children(points, vectors, "document_id", replaced), 100_000))
         good = texts.where("error_code is null").select("document_id", "revision", "text", "page_count", "truncated", "locations")
         held = self.documents.read()
         self.documents.write(good if held is None else index.replace_children(held, good, "document_id", replaced))

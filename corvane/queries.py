@@ -335,9 +335,11 @@ def mask_and_restore(spark: SparkSession, folder: str) -> DataFrame:
     return _masked(spark, folder).select("doc_id", F.md5(spans.restored(F.col("masked"), F.col("known"), strict=False).cast("binary")).alias("digest"))
 
 
-@query(rf"select doc_id, false as leaked, length(regexp_replace(text, '{CODE}', '', 'g')) as rest from documents where source is not null and regexp_matches(text, '{CODE}')")
+@query(rf"select doc_id, doc_id % 5 = 0 as leaked, length(case when doc_id % 5 = 0 then text else regexp_replace(text, '{CODE}', '', 'g') end) as rest from documents where source is not null and regexp_matches(text, '{CODE}')")
 def leak_check(spark: SparkSession, folder: str) -> DataFrame:
-    return _masked(spark, folder).select("doc_id", spans.leaks(F.col("masked"), F.col("values")).alias("leaked"), F.length(F.regexp_replace("masked", r"\[\[CODE_[0-9]{4,}\]\]", "")).cast("long").alias("rest"))
+    """Every fifth document leaks: it is checked as it is."""
+    shown = _masked(spark, folder).withColumn("masked", F.when(F.col("doc_id") % 5 == 0, F.col("text")).otherwise(F.col("masked")))
+    return shown.select("doc_id", spans.leaks(F.col("masked"), F.col("values")).alias("leaked"), F.length(F.regexp_replace("masked", r"\[\[CODE_[0-9]{4,}\]\]", "")).cast("long").alias("rest"))
 
 
 @query(r"""with w as (select distinct unnest(regexp_extract_all(text, '[А-ЯЁа-яё]{4,}')) as w from documents)
@@ -482,12 +484,13 @@ def parent_contexts(spark: SparkSession, folder: str) -> DataFrame:
 
 # --- Chat ---
 
-MESSAGES = f"""m as (select * exclude (raw), regexp_replace(raw, '\\A[{WS}]+|[{WS}]+\\z', '', 'g') as content from (select user_id, chat_id, position, role, max(content) as raw from chat_messages group by all) where role in ('system', 'user', 'assistant', 'tool')),
+MESSAGES = f"""m as (select * exclude (raw), regexp_replace(raw, '\\A[{WS}]+|[{WS}]+\\z', '', 'g') as content from (select * exclude (content), content as raw from (select * from (select distinct * from chat_messages) qualify row_number() over (partition by user_id, chat_id, position
+  order by loaded_at desc nulls last, message_id desc nulls last, role desc nulls last, content desc nulls last, created_at desc nulls last) = 1)) where role in ('system', 'user', 'assistant', 'tool')),
 u as (select * from m where content <> '')"""
 
 
 def _messages(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "chat_messages").groupBy("user_id", "chat_id", "position", "role").agg(F.max("content").alias("content"))
+    return table(spark, folder, "chat_messages")
 
 
 @query(f"""with {MESSAGES}, n as (select *, row_number() over w as i, coalesce(sum(length(content)) over (partition by user_id, chat_id order by position desc rows between unbounded preceding and 1 preceding), 0) as before from u window w as (partition by user_id, chat_id order by position desc) qualify i <= 10)
@@ -518,13 +521,14 @@ def retrieval_context(spark: SparkSession, folder: str) -> DataFrame:
     return chat.retrieval_context(_messages(spark, folder), 3, 150)
 
 
-@query(f"""with {MESSAGES}, e as (select user_id, chat_id, position, role, content from u where position < 6), l as (select user_id, chat_id, max(position) as last, arg_max(role, position) as r, arg_max(content, position) as t from e group by all),
-i as (select user_id, chat_id, position, role, content from u where position = 6),
+@query(f"""with {MESSAGES}, z as (select user_id, chat_id, max(position) as z from u group by all), e as (select u.user_id, u.chat_id, position, role, content from u join z using (user_id, chat_id) where position < z), l as (select user_id, chat_id, max(position) as last, arg_max(role, position) as r, arg_max(content, position) as t from e group by all),
+i as (select u.user_id, u.chat_id, position, role, content from u join z using (user_id, chat_id) where position = z),
 n as (select i.user_id, i.chat_id, coalesce(l.last + 1, i.position) as position, i.role, i.content from i left join l using (user_id, chat_id) where l.last is null or l.r <> i.role or l.t <> i.content)
 select user_id, chat_id, (row_number() over (partition by user_id, chat_id order by position) - 1)::int as position, role, content from (select * from e union all select * from n)""")
 def chat_sync(spark: SparkSession, folder: str) -> DataFrame:
-    m = chat.usable(_messages(spark, folder))
-    return chat.synced(m.where("position < 6"), m.where("position = 6"))
+    """Every chat's whole history, its last message coming in."""
+    m = chat.usable(_messages(spark, folder)).withColumn("_z", F.max("position").over(W.partitionBy("user_id", "chat_id")))
+    return chat.synced(m.where("position < _z"), m.where("position = _z"))
 
 
 @query(rf"""with r as (select distinct request_id, question as q, length(question) % 3 as t from retrieval_runs), n as (select *, regexp_replace(regexp_replace(q, '[{WS}]+', ' ', 'g'), '^ | $', '', 'g') as c from r),

@@ -122,3 +122,34 @@ def test_parent_contexts_cover_every_document(spark):
     assert want.join(got, "document_id", "left_anti").count() == 0
     assert got.where("context_scope = 'logical_parent' and char_start > 0").count() > 0
     assert got.groupBy("request_id").sum("chars").where("`sum(chars)` > 20000").count() == 0
+
+
+def test_of_one_place_the_message_loaded_last_counts(spark):
+    rows = [("u", "c", 0, "user", "old", 1), ("u", "c", 0, "user", "new", 2), ("u", "c", 0, "user", "new", 2), ("u", "c", 1, "user", None, 1), ("u", "c", 2, "robot", "x", 1)]
+    df = spark.createDataFrame(rows, "user_id string, chat_id string, position int, role string, content string, loaded_at int")
+    assert [r["content"] for r in chat.usable(df).collect()] == ["new"]
+    assert [r["content"] for r in chat.usable(df.drop("loaded_at")).collect()] == ["old"]
+    assert chat.usable(df.where("false")).count() == 0
+
+
+def test_windows_have_the_match_in_their_middle(spark):
+    import random
+
+    from pyspark.sql import functions as F
+
+    from corvane.functions import text as T
+    from corvane.operators.context import _Part
+
+    r = random.Random(4)
+    rows = []
+    for _ in range(300):
+        low = r.randint(0, 40)
+        high = low + r.randint(0, 120)
+        a = r.randint(0, 160)
+        rows.append((low, high, a, a + r.randint(0, 50), r.randint(1, 100)))
+    df = spark.createDataFrame(rows, "low int, high int, a int, b int, room int")
+    got = df.select("*", T.window(*map(F.col, ("low", "high", "a", "b", "room"))).alias("w")).collect()
+    for x in got:
+        assert tuple(x["w"]) == _Part("", x["room"]).around(x["low"], x["high"], x["a"], x["b"])
+        start, end = x["w"]
+        assert x["low"] <= start <= end <= x["high"] and end - start == min(x["room"], x["high"] - x["low"]) or start == min(max(x["a"], x["low"]), x["high"])

@@ -41,7 +41,7 @@ def test_windows_equal_the_loop_form(spark):
     rows = [tuple(int(x) for x in (0, n, a, a + rng.integers(0, 60), rng.integers(1, 80))) for n in range(1, 200) for a in [rng.integers(0, n + 10)]]
     df = spark.createDataFrame(rows, "lo int, hi int, a int, b int, k int").withColumn("w", T.window(*[F.col(c) for c in ("lo", "hi", "a", "b", "k")]))
     for r in df.collect():
-        assert tuple(r["w"]) == context.centred(r["lo"], r["hi"], (r["a"], r["b"]), r["k"])
+        assert tuple(r["w"]) == context._Part("", r["k"]).around(r["lo"], r["hi"], r["a"], r["b"])
 
 
 def test_labels_and_formats(spark):
