@@ -144,8 +144,3 @@ def test_index_and_ask(spark, tmp_path):
     assert result["answer"] == "Ask ivo@mail.test." and len(seen) == 2
     assert result["sources"][0]["path"] == "harbour lamp.txt" and "harbour lamp.txt" not in json.dumps(seen)
     assert Pipeline(spark, held).run("??!", None)["answer"] is None
-    asked = spark.createDataFrame([("q", "harbour lamp oil")], "request_id string, question string")
-    search = Pipeline(spark, held).retriever.search
-    assert search(asked).where("relative_path = 'harbour lamp.txt'").count() > 0
-    (root / "harbour lamp.txt").write_text("Another text.")  # what is indexed is stale and not served
-    assert search(asked).where("relative_path = 'harbour lamp.txt'").count() == 0
