@@ -8,7 +8,8 @@ distances of fingerprints are never more than the sets' own.
 
 Tables of distances alone would have to be compared for all pairs, so the pairs that reach the tables come from an
 exact prefix index: two similar sets share one of their rarest elements. Rarity is counted over all records in a table
-of fixed size. Small sets, whose elements are frequent, are indexed by combinations of elements. Of each list of the
+of fixed size. A rare element is a key by itself; a frequent one, whose list would grow with the data, is one only
+together with the next one or two elements that both sets hold. Small sets are indexed by combinations throughout. Of each list of the
 index up to REFERENCES members are the reference fingerprints; the distances of all members to them are computed once,
 and by the triangle inequality a pair whose coordinates differ by more than the bound anywhere is discarded. Survivors
 are verified, on the fingerprints and then on the sets themselves. No filter loses a pair. Copies (equal sets) are one
@@ -34,9 +35,16 @@ from ..session import checkpointed
 from .words import _mix, distinct_runs
 
 #: Counters of the rarity table, by the upper bits of an element's hash; in blocks that are added up apart.
-RARITY_BITS, RARITY_BLOCKS = 16, 64
+RARITY_BITS, RARITY_BLOCKS = 22, 64
+#: Records up to whose number an element is a key alone, and together with one further element; beyond, with two. In tables
+#: of more than MANY elements, both are larger by the square root of how much more, as keys of several elements cost entries.
+ALONE, PAIRED, MANY = 48, 1024, 1 << 25
+#: Elements that are worked on at once.
+ELEMENTS = 1 << 17
 #: Entries of the prefix index that one part holds, on average, and that a task packs at once.
 PART_ENTRIES, PACKED_ENTRIES = 1_500_000, 1_000_000
+#: Entries for each element of the plain prefixes, for the keys of several elements; an estimate that only the number of parts follows from.
+KEYS_EACH = 2
 #: Groups of regions that parts are made of.
 REGION_GROUPS = 8
 #: Members of a list that are references, spread over its sizes.
@@ -79,6 +87,39 @@ def _apart(a: bytes, b: bytes) -> int:
     return int(np.bitwise_count(np.bitwise_xor.reduce(x.reshape(-1, len(y)), axis=0) ^ y).sum())
 
 
+# --- Rarity ---
+
+
+def _code(count: np.ndarray | int) -> np.ndarray:
+    """Counts in one byte, eight steps each time they double."""
+    return np.minimum(8 * np.log2(1.0 + np.asarray(count)), 255).astype(np.uint8)
+
+
+def _tallied(slots: np.ndarray, width: int) -> bytes:
+    """Counts of slots below `width` as bytes: the distance from the last one, and a number up to 255."""
+    at, n = np.unique(slots, return_counts=True)
+    times = (n + 254) // 255
+    last = np.zeros(int(times.sum()), bool)
+    last[np.cumsum(times) - 1] = True
+    number = np.full(len(last), 255)
+    number[last] = n - 255 * (times - 1)
+    steps = np.arange(0, width, 255)  # slots that stand for no element, so that no distance is longer
+    at, number = np.concatenate([np.repeat(at, times).astype(np.int64), steps]), np.concatenate([number, np.zeros(len(steps), np.int64)])
+    order = np.argsort(at, kind="stable")
+    return np.stack([np.diff(at[order], prepend=0), number[order]]).astype(np.uint8).tobytes()
+
+
+def _counted(data: bytes, width: int) -> np.ndarray:
+    gaps, number = np.frombuffer(data, np.uint8).reshape(2, -1)
+    return np.bincount(np.cumsum(gaps, dtype=np.int64), number, width).astype(np.int64)
+
+
+def _rarity(codes: np.ndarray, elements: int) -> np.ndarray:
+    """Codes of what counters hold beyond the usual, which is other elements' part, at the size of a table of MANY elements."""
+    held = np.exp2(np.arange(256) / 8) - 1
+    return _code(np.maximum(held - held[int(np.median(codes))] * 1.1, 0) / math.sqrt(max(1, elements / MANY)))[codes]
+
+
 # --- The prefix index ---
 
 
@@ -115,37 +156,98 @@ def _choices(n: int, level: int) -> np.ndarray:
 
 
 def _keys(tokens: np.ndarray, threshold: float, level: int) -> np.ndarray:
-    """Keys of a small set whose elements are given from the rarest to the most frequent."""
-    if level > len(tokens):
-        return tokens[:0]
-    chosen = tokens[_choices(_prefix(len(tokens), threshold, level), level)]
-    keys = np.full(len(chosen), level, np.uint64)
+    """Keys of small sets of one size, a row each, whose elements are given from the rarest to the most frequent."""
+    if level > tokens.shape[1]:
+        return tokens[:, :0]
+    chosen = tokens[:, _choices(_prefix(tokens.shape[1], threshold, level), level)]
+    keys = np.full(chosen.shape[:2], level, np.uint64)
     with np.errstate(over="ignore"):
-        for c in np.sort(chosen, axis=1).T:  # in an order that doesn't depend on the set
+        for c in np.moveaxis(np.sort(chosen, axis=2), 2, 0):  # in an order that doesn't depend on the set
             keys = _mix(keys * np.uint64(0x9E3779B97F4A7C15) + c)
     return keys
 
 
-def entries_of(tokens: np.ndarray, count: np.ndarray, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """(region, keys, sizes, prints) of a set: of each key its region's number, size and fingerprint. `count` says how frequent an element is."""
-    for level, regions in _forms(len(tokens), threshold):
-        if regions == 1:
-            order = np.argsort(count, kind="stable")  # ascending hashes break ties of rarity alike in all records
-            keys = _keys(tokens[order], threshold, level)
-            size = len(keys)
-            yield np.zeros(size, np.uint64), keys, np.full(size, len(tokens), np.uint16), np.full(size, _fingerprint(tokens), np.uint64)
-            continue
-        region = (tokens >> np.uint64(20)) % np.uint64(regions)
-        order = np.lexsort((tokens, count, region))
-        region, ordered = region[order], tokens[order]
-        start = np.flatnonzero(np.diff(region, prepend=~region[:1]))
-        size = np.diff(start, append=len(ordered))
-        parity = np.bitwise_xor.reduceat(np.uint64(1) << (ordered & np.uint64(63)), start)
-        place = np.arange(len(ordered)) - np.repeat(start, size)
-        kept = place < np.repeat(size - np.ceil(threshold * size - 1e-9).astype(np.int64) + 1, size)
-        of = np.repeat(np.arange(len(start)), size)[kept]
-        with np.errstate(over="ignore"):
-            yield _mix(region[kept] + np.uint64(regions)), _mix(ordered[kept] + np.uint64(regions)), np.minimum(size[of], 0xFFFF).astype(np.uint16), parity[of]
+def _further(at: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(of, next): for each place all further ones before its end."""
+    n = np.maximum(end - at - 1, 0)
+    of = np.repeat(np.arange(len(at)), n)
+    return of, at[of] + 1 + np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)
+
+
+def _small(tokens: np.ndarray, count: np.ndarray, start: np.ndarray, n: int, threshold: float, level: int) -> tuple[np.ndarray, ...]:
+    at = start[:, None] + np.arange(n)
+    order = np.argsort(count[at], axis=1, kind="stable")  # ascending hashes break ties of rarity alike in all records
+    keys = _keys(np.take_along_axis(tokens[at], order, 1), threshold, level)
+    each = keys.shape[1]
+    print_ = np.bitwise_xor.reduce(np.uint64(1) << (tokens[at] & np.uint64(63)), axis=1)
+    return np.zeros(keys.size, np.uint64), keys.ravel(), np.full(keys.size, n, np.uint16), np.repeat(print_, each), np.repeat(np.arange(len(start)), each)
+
+
+def _regional(tokens: np.ndarray, count: np.ndarray, start: np.ndarray, n: np.ndarray, threshold: float, regions: int) -> tuple[np.ndarray, ...]:
+    """Entries of sets that are cut into regions.
+
+    Of a region, the elements are ordered by rarity. If two records share o elements of it, the rarest shared one stands
+    among the first n - o + 1 of both, the l-th among the first n - o + l. How many elements a key has follows from the
+    first one's count alone, so both records make it alike; where a record's region may share fewer, it makes the shorter keys too.
+    """
+    owner = np.repeat(np.arange(len(start)), n)
+    at = np.arange(len(owner)) + np.repeat(start - np.cumsum(n) + n, n)
+    token = tokens[at]
+    region = (token >> np.uint64(20)) % np.uint64(regions)
+    bits = np.uint64(len(at).bit_length())
+    order = owner.astype(np.uint64) * np.uint64(regions) + region << np.uint64(8) | count[at].astype(np.uint64)
+    order = np.sort(order << bits | np.arange(len(at), dtype=np.uint64))  # as places ascend with hashes, these break ties of rarity
+    group, order = order >> bits + np.uint64(8), (order & (np.uint64(1) << bits) - np.uint64(1)).astype(np.int64)
+    ordered, frequent = token[order], count[at][order]
+    first = np.flatnonzero(np.diff(group, prepend=~group[:1]))
+    size = np.diff(first, append=len(ordered))
+    parity = np.bitwise_xor.reduceat(np.uint64(1) << (ordered & np.uint64(63)), first) if len(first) else ordered
+    of = np.repeat(np.arange(len(first)), size)
+    least = np.ceil(threshold * size - 1e-9).astype(np.int64)  # elements that a similar region shares
+    begin, least, size_of = first[of], least[of], size[of]
+    place = np.arange(len(ordered))
+    wanted = 1 + (frequent > _code(ALONE)).astype(np.int64) + (frequent > _code(PAIRED))
+    found = []
+    with np.errstate(over="ignore"):
+        hashed = _mix(ordered + np.uint64(regions))
+        for level in (1, 2, 3):
+            end = begin + np.minimum(size_of, size_of - least + level)
+            i = np.flatnonzero((wanted >= level) & (np.minimum(wanted, least) <= level) & (place < end - level + 1))
+            keys, last = hashed[i], i
+            for _ in range(level - 1):
+                back, last = _further(last, end[i])
+                i, keys = i[back], _mix(keys[back] * np.uint64(0x9E3779B97F4A7C15) + ordered[last])
+            found.append((of[i], keys))
+        of, keys = (np.concatenate([f[j] for f in found]) for j in (0, 1))
+        order = np.argsort(of, kind="stable")  # a region's entries stand together
+        of, keys = of[order], keys[order]
+        here = group[first] % np.uint64(regions)
+        where = np.zeros(len(of), np.uint64) if regions == 1 else _mix(here + np.uint64(regions))[of]
+    return where, keys, np.minimum(size[of], 0xFFFF).astype(np.uint16), parity[of], (group[first] // np.uint64(regions)).astype(np.int64)[of]
+
+
+def entries_of_all(tokens: np.ndarray, count: np.ndarray, start: np.ndarray, size: np.ndarray, threshold: float) -> Iterator[tuple[np.ndarray, ...]]:
+    """(region, keys, sizes, prints, owners) of sets, of which each has `size` ascending elements from `start` on: of each key
+    its region's number, size and fingerprint, and its set's number. `count` says in a byte how frequent an element is."""
+    sizes, kind = np.unique(size, return_inverse=True)
+    regional: dict[int, list[int]] = {}
+    for j, n in enumerate(sizes.tolist()):
+        for level, regions in _forms(n, threshold):
+            if level == 1:
+                regional.setdefault(regions, []).append(j)
+            else:
+                sets = np.flatnonzero(kind == j)
+                *entries, owner = _small(tokens, count, start[sets], n, threshold, level)
+                yield *entries, sets[owner]
+    for regions, kinds in regional.items():
+        sets = np.flatnonzero(np.isin(kind, kinds))
+        *entries, owner = _regional(tokens, count, start[sets], size[sets], threshold, regions)
+        yield *entries, sets[owner]
+
+
+def entries_of(tokens: np.ndarray, count: np.ndarray, threshold: float) -> Iterator[tuple[np.ndarray, ...]]:
+    """The entries of one set."""
+    return entries_of_all(tokens, count, np.zeros(1, np.int64), np.array([len(tokens)]), threshold)
 
 
 class _Entries:
@@ -162,12 +264,12 @@ class _Entries:
     def packed(self) -> tuple[bytes, ...]:
         """Bytes of the columns; neighbouring entries of one region of a record hold what they share once."""
         first = np.flatnonzero((np.diff(self.name, prepend=~self.name[:1]) != 0) | (np.diff(self.print, prepend=~self.print[:1]) != 0) | (np.diff(self.n, prepend=~self.n[:1]) != 0))
-        counts = np.diff(first, append=len(self.name)).astype(np.uint16)  # a region's prefix is no longer
+        counts = np.diff(first, append=len(self.name)).astype(np.uint32)
         return self.token.tobytes(), self.name[first].tobytes(), self.n[first].tobytes(), self.print[first].tobytes(), counts.tobytes()
 
     @staticmethod
     def unpacked(rows: pd.DataFrame) -> _Entries:
-        token, name, n, print_, counts = (np.frombuffer(b"".join(rows[c]), t) for c, t in zip(_Entries.COLUMNS, (np.uint32, np.int64, np.uint16, np.uint64, np.uint16)))
+        token, name, n, print_, counts = (np.frombuffer(b"".join(rows[c]), t) for c, t in zip(_Entries.COLUMNS, (np.uint32, np.int64, np.uint16, np.uint64, np.uint32)))
         return _Entries(token, np.repeat(name, counts), np.repeat(n, counts), np.repeat(print_, counts))
 
 
@@ -212,10 +314,10 @@ def _met(e: _Entries, threshold: float, across: np.ndarray | None = None, tally:
 _PACKED = "tokens binary, names binary, sizes binary, prints binary, counts binary"
 
 
-def candidate_pairs(source: DataFrame, k: int, threshold: float, rarity: np.ndarray) -> DataFrame:
-    """(x, y) of classes that no distance table discards, each once. `source`: (id, text)."""
-    shared = source.sparkSession.sparkContext.broadcast(rarity.astype(np.uint32 if rarity.max(initial=0) < 1 << 32 else np.uint64))
-    shares = max(1, math.ceil(rarity.sum() * (1 - threshold) / PART_ENTRIES / REGION_GROUPS))  # parts of each group of regions
+def candidate_pairs(source: DataFrame, k: int, threshold: float, codes: np.ndarray, elements: int) -> DataFrame:
+    """(x, y) of classes that no distance table discards, each once. `source`: (id, text); `codes`: of the counters, which add up to `elements`."""
+    shared = source.sparkSession.sparkContext.broadcast(_rarity(codes, elements))
+    shares = max(1, math.ceil(elements * (1 - threshold) * KEYS_EACH / PART_ENTRIES / REGION_GROUPS))  # parts of each group of regions
 
     def index(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen: set[int] = set()
@@ -223,8 +325,7 @@ def candidate_pairs(source: DataFrame, k: int, threshold: float, rarity: np.ndar
         size = 0
 
         def flushed() -> pd.DataFrame:
-            region, keys, sizes, prints = (np.concatenate([h[i] for h in held]) for i in range(4))
-            names = np.repeat(np.array([h[4] for h in held], np.int64), [len(h[0]) for h in held])
+            region, keys, sizes, prints, names = (np.concatenate([h[i] for h in held]) for i in range(5))
             part = ((region % np.uint64(REGION_GROUPS)) * np.uint64(shares) + keys % np.uint64(shares)).astype(np.int32)
             order = np.argsort(part, kind="stable")
             whole = _Entries((keys >> np.uint64(32)).astype(np.uint32), names, sizes, prints).take(order)
@@ -235,14 +336,21 @@ def candidate_pairs(source: DataFrame, k: int, threshold: float, rarity: np.ndar
         for batch in batches:
             hashes, bounds = distinct_runs(batch["text"].tolist(), k)
             count = shared.value[(hashes >> np.uint64(64 - RARITY_BITS)).astype(np.int64)]
-            for a, b in zip(bounds[:-1], bounds[1:]):
+            kept = []
+            for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
                 if a == b or (own := _signature(hashes[a:b])) in seen:
                     continue
                 if len(seen) < 1_000_000:  # copies in this task; those in others fall together in the index
                     seen.add(own)
-                for entry in entries_of(hashes[a:b], count[a:b], threshold):
-                    held.append((*entry, own))
-                    size += len(entry[0])
+                kept.append((own, a, b - a))
+            if not kept:
+                continue
+            own, start, n = np.array(kept, np.int64).T
+            cuts = np.flatnonzero(np.diff(np.cumsum(n) // ELEMENTS, prepend=-1))
+            for c, d in zip(cuts, [*cuts[1:], len(n)]):
+                for *entry, owner in entries_of_all(hashes, count, start[c:d], n[c:d], threshold):
+                    held.append((*entry, own[c:d][owner]))
+                    size += len(owner)
                 if size >= PACKED_ENTRIES:
                     yield flushed()
                     held.clear()
@@ -254,7 +362,8 @@ def candidate_pairs(source: DataFrame, k: int, threshold: float, rarity: np.ndar
 
     def lists(group: pd.DataFrame) -> pd.DataFrame:
         e = _Entries.unpacked(group)
-        e = e.take(np.lexsort((e.name, e.n, e.token)))
+        key = e.token.astype(np.uint64) << np.uint64(32) | e.n.astype(np.uint64) << np.uint64(16) | e.name.astype(np.uint64) & np.uint64(0xFFFF)
+        e = e.take(np.argsort(key))
         same = np.zeros(len(e.token), bool)  # copies in several tasks
         same[1:] = (e.token[1:] == e.token[:-1]) & (e.name[1:] == e.name[:-1]) & (e.n[1:] == e.n[:-1]) & (e.print[1:] == e.print[:-1])
         e = e.take(~same)
@@ -284,7 +393,7 @@ def candidate_pairs(source: DataFrame, k: int, threshold: float, rarity: np.ndar
     indexed = source.mapInPandas(index, f"part int, {_PACKED}")
     found = indexed.groupBy("part").applyInPandas(lists, f"x long, y long, part int, token long, j int, h int, side int, {_PACKED}")
     near = found.where("x is not null").select("x", "y")
-    if rarity.max(initial=0) > LIST_BLOCK:  # no element's list is longer than its counter
+    if codes.max(initial=0) >= _code(LIST_BLOCK):  # no element's list is longer than its counter
         found = checkpointed(found)
         near = found.where("x is not null").select("x", "y")
         near = near.unionByName(found.where("x is null").drop("x", "y").groupBy("part", "token", "j", "h").applyInPandas(crossed, "x long, y long"))
@@ -296,24 +405,39 @@ def linked_classes(records: DataFrame, record: str, column: str, k: int, thresho
     source = records.select(F.col(record).cast("long").alias("id"), F.col(column).alias("text")).where("id is not null and text is not null")
 
     def survey(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        counts = np.zeros(1 << RARITY_BITS, np.int64)
+        slots = [np.zeros(0, np.uint32)]
         for batch in batches:
             hashes, bounds = distinct_runs(batch["text"].tolist(), k)
-            counts += np.bincount((hashes >> np.uint64(64 - RARITY_BITS)).astype(np.int64), minlength=len(counts))
+            slots.append((hashes >> np.uint64(64 - RARITY_BITS)).astype(np.uint32))
             rows = [(i, _signature(s), len(s), _whole(s)) for i, a, b in zip(batch["id"].tolist(), bounds[:-1], bounds[1:]) if (s := hashes[a:b]).size]
             yield pd.DataFrame(rows, columns=["id", "class", "n", "data"]).assign(block=-1)
-        for j, part in enumerate(np.split(counts, RARITY_BLOCKS)):
-            yield pd.DataFrame({"id": [0], "class": [0], "n": [0], "data": [part.tobytes()], "block": [j]})
+            if sum(map(len, slots)) > 1 << 23:
+                yield tallied(slots)
+                slots = [np.zeros(0, np.uint32)]
+        yield tallied(slots)
+
+    width = (1 << RARITY_BITS) // RARITY_BLOCKS
+
+    def tallied(slots: list[np.ndarray]) -> pd.DataFrame:
+        """A row for each block of counters that has any."""
+        at = np.sort(np.concatenate(slots))
+        cuts = np.searchsorted(at, np.arange(RARITY_BLOCKS + 1) * width)
+        rows = [(0, 0, 0, _tallied(at[c:d] - j * width, width), j) for j, (c, d) in enumerate(zip(cuts, cuts[1:])) if c < d]
+        return pd.DataFrame(rows, columns=["id", "class", "n", "data", "block"])
 
     surveyed = checkpointed(source.mapInPandas(survey, "id long, class long, n int, data binary, block int"))
 
     def added(parts: pd.DataFrame) -> pd.DataFrame:
-        total = np.sum([np.frombuffer(d, np.int64) for d in parts["data"]], axis=0)
-        return pd.DataFrame({"block": [parts["block"].iloc[0]], "data": [total.tobytes()]})
-
-    # RARITY_BLOCKS rows, half a megabyte in all
-    blocks = surveyed.where("block >= 0").groupBy("block").applyInPandas(added, "block int, data binary").collect()
-    rarity = np.concatenate([np.frombuffer(r.data, np.int64) for r in sorted(blocks)]) if blocks else np.zeros(1 << RARITY_BITS, np.int64)
+        total = np.zeros(width, np.int64)
+        for d in parts["data"]:
+            total += _counted(d, width)
+        return pd.DataFrame({"block": [parts["block"].iloc[0]], "data": [_code(total).tobytes()], "elements": [int(total.sum())]})
+
+    # up to RARITY_BLOCKS rows, a byte for each counter
+    codes, elements = np.zeros((RARITY_BLOCKS, width), np.uint8), 0
+    for r in surveyed.where("block >= 0").groupBy("block").applyInPandas(added, "block int, data binary, elements long").collect():
+        codes[r.block] = np.frombuffer(r.data, np.uint8)
+        elements += r.elements
     members = surveyed.where("block < 0").select("id", "class").distinct()
 
     @F.pandas_udf("boolean")
@@ -323,7 +447,7 @@ def linked_classes(records: DataFrame, record: str, column: str, k: int, thresho
 
     prints = surveyed.where("block < 0").groupBy("class").agg(F.first("n").alias("n"), F.first("data").alias("p"))  # equal in all of a class
     px, py = (prints.select(F.col("class").alias(c), F.col("n").alias(f"n{c}"), F.col("p").alias(f"p{c}")) for c in "xy")
-    met = candidate_pairs(source, k, threshold, rarity).join(px, "x").join(py, "y")
+    met = candidate_pairs(source, k, threshold, codes.ravel(), elements).join(px, "x").join(py, "y")
     pairs = checkpointed(met.where(near("px", "py", F.col("nx") + F.col("ny"))).select("x", "y"))
     wanted = pairs.select(F.explode(F.array("x", "y")).alias("class")).distinct()
     few = pairs.count() * 2 <= BROADCAST_IDS

@@ -139,6 +139,55 @@ def test_index_joins_all_similar_sets(n):
                 assert keys[0] & keys[1]
 
 
+def test_lists_of_frequent_elements_stay_short():
+    rng = np.random.default_rng(8)
+    known = np.unique(rng.integers(0, 1 << 63, 400).astype(np.uint64))
+    keys = []
+    for _ in range(2000):
+        s = np.sort(np.concatenate([rng.integers(0, 1 << 63, 10).astype(np.uint64), rng.choice(known, 26, replace=False)]))
+        keys.append(np.unique(np.concatenate([f[1] for f in neardup.entries_of(s, np.where(np.isin(s, known), 200, 0).astype(np.uint8), 0.6)])))
+    _, n = np.unique(np.concatenate(keys), return_counts=True)
+    assert (n * (n - 1) // 2).sum() < 150_000  # with one element a key, 1,463,823
+
+
+@pytest.mark.parametrize("alone,paired", [(0, 0), (0, 5), (2, 9)])
+@pytest.mark.parametrize("t", [0.3, 0.6, 0.8])
+def test_keys_of_several_elements_join_all_similar_sets(monkeypatch, alone, paired, t):
+    monkeypatch.setattr(neardup, "ALONE", alone)
+    monkeypatch.setattr(neardup, "PAIRED", paired)
+    rng = np.random.default_rng(9)
+    count_of = lambda s: neardup._code((s >> np.uint64(48)) % np.uint64(12))
+    met = 0
+    for n in [1, 2, 3, 5, 10, 17, 18, 25, 40, 41, 60, 300, 700] * 12:
+        a = np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64))
+        b = np.unique(np.concatenate([a[rng.random(len(a)) > rng.choice([0, 0.1, 0.2, 0.35])], rng.integers(0, 1 << 63, int(rng.choice([0, 0.1, 0.4, 0.9]) * n)).astype(np.uint64)]))
+        both = len(np.intersect1d(a, b))
+        if both and both >= t * (len(a) + len(b) - both):
+            met += 1
+            x, y = ({(int(r), int(k)) for f in neardup.entries_of(s, count_of(s), t) for r, k in zip(f[0], f[1])} for s in (a, b))
+            assert x & y
+    assert met > 20
+
+
+def test_pairs_of_frequent_elements_are_whole(spark, monkeypatch):
+    for name, value in (("ALONE", 1), ("PAIRED", 4), ("ELEMENTS", 200)):
+        monkeypatch.setattr(neardup, name, value)
+    rng = random.Random(10)
+    base = [rng.choices([f"w{i}" for i in range(90)], k=n) for n in (20, 45, 80) for _ in range(8)]
+    rows = [(i, " ".join(w if rng.random() > 0.05 else f"w{rng.randrange(90)}" for w in rng.choice(base))) for i in range(150)]
+    expected = brute(rows, 1, 0.7)
+    got = neardup.similar_pairs(spark.createDataFrame(rows, "d long, t string"), "d", "t", 1, 0.7).collect()
+    assert len(expected) > 100 and sorted((r["id_a"], r["id_b"]) for r in got) == expected
+
+
+def test_counters_survive_packing():
+    rng = np.random.default_rng(11)
+    slots = np.sort(np.concatenate([rng.integers(0, 5000, 300), np.full(1000, 4999), np.full(255, 7), np.zeros(256, np.int64)]).astype(np.uint32))
+    assert neardup._counted(neardup._tallied(slots, 5000), 5000).tolist() == np.bincount(slots, minlength=5000).tolist()
+    codes = neardup._code(np.array([100] * 9 + [100_000]))
+    assert neardup._rarity(codes, 1).tolist()[:9] == [0] * 9 and neardup._rarity(codes, 1)[9] > neardup._code(neardup.PAIRED)
+
+
 def test_long_lists_are_cut_into_blocks(spark, monkeypatch):
     rng = random.Random(3)
     vocabulary = [f"w{i}" for i in range(14)]
