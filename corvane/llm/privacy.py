@@ -9,7 +9,7 @@ spans are mapped back to the text as stored. Each detector runs only on texts th
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -49,6 +49,14 @@ DIGITS = {
     for i, w in enumerate(words.split())
 }
 SPELLED = re.compile(r"(?<!\w)(?:plus\s+|плюс\s+)?(?:(?:%s)[\s-]+){5,}(?:%s)(?!\w)" % ("|".join(DIGITS), "|".join(DIGITS)), re.I)
+#: Letters that re.I takes for others than their small letters are.
+_ODD_CASE = re.compile("[%s]" % "".join(c for c in map(chr, range(128, 0x10000)) if len(c.lower()) != 1 or re.fullmatch("[a-zа-яёßäöüàâçéèêëîïôùû]", c, re.I) and not re.fullmatch("[a-zа-яёßäöüàâçéèêëîïôùû]", c.lower())))
+
+
+def _odd_case(text: str) -> bool:
+    return not text.isascii() and _ODD_CASE.search(text) is not None
+
+
 _TO_LATIN = {a: b for a, b in SAME_SHAPE}
 _TO_CYRILLIC = {b: a for a, b in SAME_SHAPE if "Ѐ" <= a <= "ӿ" and a not in "ԚԜԁһ"}
 _ONLY_CYRILLIC = re.compile("[%s]" % "".join(c for c in map(chr, range(0x410, 0x452)) if c not in _TO_LATIN))
@@ -101,6 +109,9 @@ class Text:
             self._edit([(m.start(), m.end(), " " if m[0][0] == "&" and m[0] != "&quot;" or m[0].lower().startswith("<br") else "") for m in INLINE.finditer(t)])
 
     def spelled(self) -> None:
+        """All words of a number but the first and the last stand by themselves, so a text of fewer such words than four has none."""
+        if sum(map(DIGITS.__contains__, self.out.lower().replace("-", " ").split())) < 4 and not _odd_case(self.out):
+            return
         edits = []
         for m in SPELLED.finditer(self.out):
             for w in re.finditer(r"[^\W\d_]+|[\s-]+", m[0]):
@@ -204,9 +215,16 @@ GIVEN_CYRILLIC = "Александр Алексей Анастасия Андр
 _FIRM = r"(?! ?(?:&|und Söhne|and Sons|et Fils|GmbH|AG\b|KG\b|Ltd|LLC|Inc|Corp|plc|SA\b|SARL|S\.A\.|Street|St\.|Road|Avenue|Lane|Square|Hotel|Hospital|Bank|School))"
 _NO_SURNAME = r"(?!(?:Street|St|Road|Avenue|Lane|Square|Way|Court|Drive|Hotel|Hospital|School|Bank|Luther King)\b)"
 _KEEL = r"(?<!\bMS )(?<!\bSS )(?<!\bMV )(?<!\bship )(?<!\bvessel )(?<!\bSchiff )(?<!\bHotel )(?<!\bnavire )(?<!судно )(?<!теплоход )(?<!\bSt\. )(?<!\bSankt )"
+_GIVEN = frozenset(GIVEN + GIVEN_CYRILLIC)
+_GIVEN_WORD = re.compile(r"[%s][^\W\d_]+(?=[ -])" % "".join(sorted({w[0] for w in _GIVEN})))
 GIVEN_NAME = re.compile(rf"(?<![\w.'’-]){_KEEL}((?:{'|'.join(GIVEN + GIVEN_CYRILLIC)})(?:-[{_UP}][^\W\d_]+)?(?: {_I}){{0,2}} {_NO_SURNAME}{_W}(?:-{_W})?)(?![\w-]){_FIRM}")
 #: Words at the end of a letter and of minutes, before a name of at least two words.
 CLOSING = re.compile(rf"(?i:kind regards|best regards|regards|yours sincerely|yours faithfully|sincerely|freundlichen grüßen|freundliche grüße|cordialement|bien à vous|с уважением|(?:taken|prepared|written|checked|approved|reported|submitted) by|protokoll:|geprüft von|erstellt von|rédigé par|составил[аи]?|подготовил[аи]?)[,:]?\s+({_W}(?: {_I}){{0,2}} {_W}(?:-{_W})?)(?![\w-]){_FIRM}")
+#: What its matches begin with.
+CLOSING_CUES = (
+    "kind regards", "best regards", "regards", "yours sincerely", "yours faithfully", "sincerely", "freundlichen grüßen", "freundliche grüße", "cordialement", "bien à vous", "с уважением",
+    "taken by", "prepared by", "written by", "checked by", "approved by", "reported by", "submitted by", "protokoll:", "geprüft von", "erstellt von", "rédigé par", "составил", "подготовил",
+)
 CLOSINGS = ("regards", "sincerely", "faithfully", " grü", "cordialement", "bien à vous", "уважением", " by ", "protokoll:", " von ", "rédigé par", "составил", "подготовил")
 _NO_PERSONS = frozenset("sir sirs madam madame all team customer customers colleague colleagues friend friends reader readers damen herren herr frau kollegen kunden client clients collègues коллеги друзья господа клиенты".split())
 _LEAD = re.compile(r"^(?:(?:Tenant|Our|The|Contact|Colleague|Mr|Mrs|Ms|Dr|Prof|Herr|Frau|Mme)\.? )+", re.I)
@@ -228,13 +246,23 @@ def _names(text: str, low: str) -> Iterator[tuple[int, int]]:
                     yield a, b
 
 
+def _matches(pattern: re.Pattern[str], text: str, starts: Iterable[int]) -> Iterator[re.Match[str]]:
+    """What `finditer` gives, for all places in ascending order where a match may begin."""
+    end = 0
+    for a in starts:
+        if a >= end and (m := pattern.match(text, a)):
+            end = m.end()
+            yield m
+
+
 def _general(text: str, low: str) -> Iterator[tuple[int, int]]:
     """Names by titles, salutations, initials, patronymics, given names and closings."""
-    for m in GIVEN_NAME.finditer(text):
+    for m in _matches(GIVEN_NAME, text, (w.start() for w in _GIVEN_WORD.finditer(text) if w[0] in _GIVEN)):
         a, b = m.span(1)
         yield a, b - 2 if text[b - 2 : b] in ("'s", "’s") else b
     if any(c in low for c in CLOSINGS):
-        for m in CLOSING.finditer(text):
+        whole = len(low) != len(text) or _odd_case(text)
+        for m in CLOSING.finditer(text) if whole else _matches(CLOSING, text, sorted({a for a, _ in _places(low, CLOSING_CUES)})):
             if not {w.lower() for w in m[1].split()} & (_NOT_NAMES | _NO_PERSONS):
                 yield m.span(1)
     for anchors, pattern in GENERAL:

@@ -300,6 +300,30 @@ def test_spans_stay_in_place_under_noise():
         assert text[span.start : span.end] == noisy
 
 
+def test_whole_texts_are_not_searched_for_rare_things(monkeypatch):
+    class Anchored:
+        def __init__(self, pattern):
+            self.match = pattern.match
+
+    for name in ("SPELLED", "GIVEN_NAME", "CLOSING"):
+        monkeypatch.setattr(privacy, name, Anchored(getattr(privacy, name)))  # finditer is an error
+    text = "Seen by one of the six men. Approved by Ada Holm-Lund, Anna Maria Weber and Jean-Luc Picard's. Kind regards,\n\nTibor Raaquist"
+    assert [text[a:b] for a, b, _ in privacy.detect(text)] == ["Ada Holm-Lund", "Anna Maria", "Jean-Luc Picard", "Tibor Raaquist"]
+
+
+def test_anchored_searches_find_what_whole_ones_do():
+    assert set(privacy.CLOSING_CUES) == {c for c in privacy.CLOSING_CUES if privacy.CLOSING.match(f"{c.title()} Ivo Lund")}
+    rng = random.Random(12)
+    parts = [*privacy.CLOSING_CUES, "составила", "подготовили", "KIND REGARDS", "Regard\u017f", "\u0130", "Anna", "Jean", "Luc", "Maria", "Karl-Heinz", "Пётр", "Ivo", "Lund", "J.", "GmbH", "Street", "MS", "a", "3Anna", "eAnna", "by"]
+    for _ in range(3000):
+        text = "".join(rng.choice(parts) + rng.choice([" ", " ", " ", "-", ", ", "\n", "."]) for _ in range(12))
+        got = sorted(privacy._general(text, text.lower()))
+        given = [m.span(1) for m in privacy.GIVEN_NAME.finditer(text)]
+        closing = [m.span(1) for m in privacy.CLOSING.finditer(text) if not {w.lower() for w in m[1].split()} & (privacy._NOT_NAMES | privacy._NO_PERSONS)]
+        assert not any(c in text.lower() for c in privacy.CLOSINGS) or {*given, *closing} <= set(got)
+        assert [m.span() for m in privacy._matches(privacy.GIVEN_NAME, text, (w.start() for w in privacy._GIVEN_WORD.finditer(text) if w[0] in privacy._GIVEN))] == [m.span() for m in privacy.GIVEN_NAME.finditer(text)]
+
+
 @pytest.mark.parametrize("text,values", [
     ("Yesterday Anna Petrova visited the office with Mark Weber.", ["Anna Petrova", "Mark Weber"]), ("Kind regards,\nTibor Raaquist", ["Tibor Raaquist"]), ("Minutes taken by Anna Ross", ["Anna Ross"]), ("Frank Zappa's record", ["Frank Zappa"]),
     ("Александр Иванов пришёл", ["Александр Иванов"]), ("MS Anna Petrova left port; Klaus Weber GmbH, Paul Street", []), ("Paris is nice. Mark the date. Approved by the board", []),
