@@ -15,7 +15,7 @@ and by the triangle inequality a pair whose coordinates differ by more than the
 are verified, on the fingerprints and then on the sets themselves. No filter loses a pair. Copies (equal sets) are one
 class throughout.
 
-Tasks pack the entries of many records for one part of the index into one row, so an entry costs at most 24 bytes of
+Tasks pack the entries of many records for one part of the index into one row, so an entry costs at most 26 bytes of
 shuffle however many parts there are.
 """
 
